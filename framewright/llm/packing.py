@@ -8,11 +8,11 @@ one for each gap and count, whatever the group's size) are emptied and packed ag
 from __future__ import annotations
 
 import bisect
+import re
 import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -30,18 +30,26 @@ WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
 
 
 class WordBpe:
-    """Ids of a lower-casing word BPE file; each distinct word goes through the library once and is then cached."""
+    """Ids of a lower-casing word BPE file, as little-endian 32-bit bytes.
 
-    def __init__(self, path: str, cache_limit: int = 400_000):
+    No word spans white space, so a text's ids are those of its blank-separated chunks one after the other.
+    Chunks and words are cached with a bound; each distinct word goes through the library once.
+    """
+
+    def __init__(self, path: str, cache_limit: int = 500_000):
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
         self.find = regex.compile(WORDS).findall
+        # str.split() also parts at four control characters that are no white space for the file's pattern
+        self.odd = re.compile("[\x1c-\x1f]").search
+        self.blank = regex.compile(r"[^\s]+").findall
         self.ends = np.zeros(self.model.get_vocab_size() + 1, dtype=bool)
         for token, i in self.model.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.words: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
         self.limit = cache_limit
 
     @classmethod
@@ -54,28 +62,35 @@ class WordBpe:
         """As the file's normaliser: composed, then lowered letter by letter (so without final sigma)."""
         return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
-    def learn(self, words: list[str]) -> None:
-        """Put words into the cache: one call encodes all, and a token with the word-end mark closes a word."""
-        ids = self.model.encode(" ".join(words), add_special_tokens=False).ids
+    def _learn_words(self, words: list[str]) -> None:
+        """One call encodes all words; a token with the word-end mark closes a word."""
+        ids = np.array(self.model.encode(" ".join(words), add_special_tokens=False).ids, dtype="<u4")
         stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
         if len(stops) == len(words):
-            self.cache.update((w, tuple(ids[a:b])) for w, a, b in zip(words, [0, *stops], stops))
+            data = ids.tobytes()
+            self.words.update((w, data[4 * a : 4 * b]) for w, a, b in zip(words, [0, *stops], stops))
         else:
             for w in words:
-                self.cache[w] = tuple(self.model.encode(w, add_special_tokens=False).ids)
-
-    def encode_batch(self, texts: list[str]) -> Iterator[list[int]]:
-        split = [self.find(self.normal(x)) for x in texts]
-        if len(self.cache) > self.limit:
-            self.cache.clear()
-        if new := set().union(*split).difference(self.cache):
-            self.learn(list(new))
-        look = self.cache.__getitem__
-        for words in split:
-            yield list(chain.from_iterable(map(look, words)))
-
-    def encode(self, text: str) -> list[int]:
-        return next(self.encode_batch([text]))
+                self.words[w] = np.array(self.model.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _learn_chunks(self, chunks: list[str]) -> None:
+        split = [self.find(self.normal(c)) for c in chunks]
+        if len(self.words) > self.limit:
+            self.words.clear()
+        if new := set().union(*split).difference(self.words):
+            self._learn_words(list(new))
+        look = self.words.__getitem__
+        self.chunks.update((c, b"".join(map(look, ws))) for c, ws in zip(chunks, split))
+
+    def encode_batch(self, texts: list[str]) -> Iterator[bytes]:
+        split = [self.blank(x) if self.odd(x) else x.split() for x in texts]
+        if len(self.chunks) > self.limit:
+            self.chunks.clear()
+        if new := set().union(*split).difference(self.chunks):
+            self._learn_chunks(list(new))
+        look = self.chunks.__getitem__
+        for chunks in split:
+            yield b"".join(map(look, chunks))
 
 
 PIECE_SCHEMA = "piece int, start long, length long, ids_crc32 long"
@@ -96,16 +111,16 @@ def cut_pieces(
     """
 
     def make() -> Callable:
-        coder = WordBpe.load(tokenizer_file)
+        coder, end = WordBpe.load(tokenizer_file), SEPARATOR_ID.to_bytes(4, "little")
 
         def work(texts: list[str], _: list) -> Iterator[tuple[int, tuple]]:
-            coded = (ids for group in text_groups(texts) for ids in coder.encode_batch(group))
-            for i, ids in enumerate(coded):
-                ids = np.array([*ids, SEPARATOR_ID], dtype="<u4")
-                for k, at in enumerate(range(0, len(ids), capacity)):
-                    part = ids[at : at + capacity]
-                    row = (k, at, len(part), zlib.crc32(part.tobytes()))
-                    yield i, (*row, part.tolist()) if with_ids else row
+            coded = (data for group in text_groups(texts) for data in coder.encode_batch(group))
+            for i, data in enumerate(coded):
+                data += end
+                for k, at in enumerate(range(0, len(data), 4 * capacity)):
+                    part = data[at : at + 4 * capacity]
+                    row = (k, at // 4, len(part) // 4, zlib.crc32(part))
+                    yield i, (*row, np.frombuffer(part, dtype="<u4").tolist()) if with_ids else row
 
         return work
 
