@@ -83,7 +83,11 @@ def _dup_lines(text: Column) -> Column:
 
 def _reference_language(lang: Column, words: Column) -> Column:
     """The document's own language, or else the one whose common words it has most of."""
-    votes = [F.struct(F.size(F.filter(words, lambda w, c=c: w.isin(c))).alias("n"), F.lit(-k).alias("k"), F.lit(x).alias("lang")) for k, (x, c) in enumerate(COMMON_WORDS.items())]
+
+    def found(common: list[str]) -> Column:
+        return F.size(F.filter(words, lambda w: w.isin(common)))
+
+    votes = [F.struct(found(c).alias("n"), F.lit(-k).alias("k"), F.lit(x).alias("lang")) for k, (x, c) in enumerate(COMMON_WORDS.items())]
     return F.when(lang.isin(LANGUAGES), lang).otherwise(F.array_max(F.array(*votes))["lang"])
 
 
