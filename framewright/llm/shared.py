@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -137,44 +138,61 @@ def flat_map_texts(
     return slim.mapInArrow(run, schema)
 
 
-def connected_components(edges: DataFrame, tag: str = "components", max_rounds: int = 40) -> DataFrame:
+def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Smallest number of each number's component (0 to n - 1), by minima over the pairs and pointer jumping."""
+    label = np.arange(n)
+    while len(i):
+        low = np.minimum(label[i], label[j])
+        new = label.copy()
+        for at in (i, j, label[i], label[j]):
+            np.minimum.at(new, at, low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    return label
+
+
+def _components_of_few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if held:
+        a, b = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+        ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[roots(len(ids), at[: len(a)], at[len(a) :])])], names=["id", "component"])
+
+
+#: A graph with at most so many distinct edges is finished by one task.
+FEW_EDGES = 200_000
+
+
+def connected_components(edges: DataFrame, tag: str = "components", max_rounds: int = 40, few_edges: int = FEW_EDGES) -> DataFrame:
     """Smallest reachable id of each vertex of an undirected graph, as (id, component).
 
-    ``edges`` has longs ``a`` and ``b``.  Each round points a vertex at the smallest label among its
-    neighbours and then at that label's own label (pointer jumping), so the rounds grow with the
-    logarithm of the diameter.  Minima combine on the map side and both joins are plain equi-joins
+    ``edges`` has longs ``a`` and ``b``.  A graph of at most ``few_edges`` edges, whose size is checked, is
+    finished by one task in some megabytes.  A larger one takes rounds: each points a vertex at the smallest
+    label among its neighbours and then at that label's own label (pointer jumping), so the rounds grow with
+    the logarithm of the diameter.  Minima combine on the map side and both joins are plain equi-joins
     whose skewed sides the adaptive planner splits, so a hub with a third of all edges is dealt out.
     Every round is a table in the shared folder.
     """
-    both = stage_out(
-        edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
-        .where("a <> b")
-        .select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e"))
-        .select("e.a", "e.b")
-        .distinct(),
-        f"{tag}-edges",
-    )
+    slim = edges.select(F.least("a", "b").cast("long").alias("a"), F.greatest("a", "b").cast("long").alias("b")).where("a <> b")
+    single = stage_out(slim.distinct(), f"{tag}-edges")
+    if single.count() <= few_edges:
+        return stage_out(single.coalesce(1).mapInArrow(_components_of_few, "id long, component long"), f"{tag}-few")
+    both = single.union(single.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = stage_out(
         both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("label")),
         f"{tag}-0",
     )
     for k in range(1, max_rounds + 1):
-        near = (
-            both.join(labels, F.col("b") == F.col("id"))
-            .groupBy("a")
-            .agg(F.min("label").alias("m"))
-        )
+        near = both.join(labels, F.col("b") == F.col("id")).groupBy("a").agg(F.min("label").alias("m"))
         own = labels.join(near, F.col("id") == F.col("a")).select("id", F.col("label").alias("old"), F.least("label", "m").alias("label"))
         jump = labels.select(F.col("id").alias("label"), F.col("label").alias("next"))
         new = stage_out(
-            own.join(jump, "label", "left").select(
-                "id", F.least("label", F.coalesce("next", "label")).alias("label"), "old"
-            ),
+            own.join(jump, "label", "left").select("id", F.least("label", F.coalesce("next", "label")).alias("label"), "old"),
             f"{tag}-{k}",
         )
         labels = new.select("id", "label")
         if new.where("label <> old").isEmpty():
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return labels.select("id", F.col("label").alias("component"))
+            return labels.select("id", F.col("label").alias("component"))
+    raise RuntimeError(f"components did not settle in {max_rounds} rounds")

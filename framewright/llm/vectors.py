@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import connected_components, stage_out
+from .shared import connected_components, roots, stage_out
 
 THRESHOLD = 0.9
 TILE_ROWS = 4096
@@ -99,23 +99,6 @@ def compare_tiles(a: np.ndarray, b: np.ndarray, axes: np.ndarray, threshold: flo
     return (np.concatenate(keep_i) if keep_i else none), (np.concatenate(keep_j) if keep_j else none)
 
 
-def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Smallest row of each row's component, by minima over the pairs and pointer jumping."""
-    label = np.arange(n)
-    while len(i):
-        low = np.minimum(label[i], label[j])
-        new = label.copy()
-        np.minimum.at(new, i, low)
-        np.minimum.at(new, j, low)
-        np.minimum.at(new, label[i], low)
-        np.minimum.at(new, label[j], low)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    return label
-
-
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = THRESHOLD, tile_rows: int = TILE_ROWS) -> DataFrame:
     """One row per row of ``vectors``: ``id_col``, n_links (other rows linked directly), component_id, kept.
 
@@ -191,7 +174,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
                 np.add.at(links, i, copies[j])
                 np.add.at(links, j, copies[i])
                 hit = np.flatnonzero(links)
-                root = _roots(len(reps), i, j)
+                root = roots(len(reps), i, j)
                 yield pa.RecordBatch.from_arrays([pa.array(reps[hit]), pa.array(links[hit]), pa.array(reps[root[hit]])], names=["rep", "links", "root"])
 
     compared = pairs.join(one, "tile").join(two, "tile2").select("tile", "tile2", "ra", "ca", "da", "rb", "cb", "db")
