@@ -15,14 +15,15 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
-from .shared import stage_out, text_or_empty
+from .shared import map_texts, stage_out, text_or_empty
 
 KINDS = ["email", "ip", "card", "phone"]
+#: Bits of the filter of words to count.
+WORD_SLOTS = 1 << 20
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 
 _domain = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+").match
@@ -124,42 +125,67 @@ _OCC = "array<struct<kind:int,start:int,stop:int,inst:string,known:boolean,left:
 
 
 def _scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows (id, th, base, occ) of all documents, and (word, n) of each task's words."""
+    """(id, th, base, occ) of all documents; th is a hash of the text."""
     text = text_or_empty(text_col)
     slim = docs.select(F.col(id_col).alias("id"), F.xxhash64(text, F.length(text)).alias("th"), text.alias("text"))
-    schema = T.StructType([slim.schema["id"], T.StructField("th", T.LongType()), *T._parse_datatype_string(f"base {SPANS}, occ {_OCC}, word string, n long").fields])
-    arrow = to_arrow_schema(schema)
+    names = ("kind", "start", "stop", "inst", "known", "left", "right")
+
+    def make() -> Callable:
+        def work(texts: list[str], _: list) -> list[tuple]:
+            out = []
+            for x in texts:
+                spans = base_spans(x)
+                out.append(([{"kind": k, "start": a, "stop": b} for k, a, b in spans], [dict(zip(names, o)) for o in occurrences(x, spans)]))
+            return out
+
+        return work
+
+    return map_texts(slim, ["id", "th"], "text", make, f"base {SPANS}, occ {_OCC}")
+
+
+class _Wanted(dict):
+    """Whether a word falls into a slot of the filter."""
+
+    def __init__(self, slots: frozenset[int]):
+        super().__init__()
+        self.slots = slots
+
+    def __missing__(self, word: str) -> bool:
+        if len(self) > 500_000:
+            self.clear()
+        hit = self[word] = (xxhash.xxh64_intdigest(word, seed=42) & (WORD_SLOTS - 1)) in self.slots
+        return hit
+
+
+def count_words(docs: DataFrame, text_col: str, words: DataFrame) -> DataFrame:
+    """(word, total) over all texts for the given words.
+
+    A filter of fixed size, one bit for each hash slot, goes to the tasks, so they count little else.
+    """
+    slots = words.select(F.xxhash64("word").bitwiseAND(WORD_SLOTS - 1).alias("s")).distinct()
+    wanted = docs.sparkSession.sparkContext.broadcast(frozenset(r["s"] for r in slots.collect()))  # at most WORD_SLOTS numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: Counter = Counter()
+        hit, counts = _Wanted(wanted.value), Counter()
 
-        def counted() -> pa.RecordBatch:
-            n = len(words)
-            out = pa.RecordBatch.from_arrays([*[pa.nulls(n, arrow.field(i).type) for i in range(4)], pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], schema=arrow)
-            words.clear()
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+            counts.clear()
             return out
 
         for batch in batches:
-            base, occ = [], []
-            for x in batch.column(2).to_pylist():
-                spans = base_spans(x)
-                base.append([{"kind": k, "start": a, "stop": b} for k, a, b in spans])
-                occ.append([dict(zip(("kind", "start", "stop", "inst", "known", "left", "right"), o)) for o in occurrences(x, spans)])
-                words.update(x.lower().split())
-                if len(words) > 400_000:
-                    yield counted()
-            n = len(base)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(base, arrow.field(2).type), pa.array(occ, arrow.field(3).type), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64())], schema=arrow
-            )
-        if words:
-            yield counted()
+            for x in batch.column(0).to_pylist():
+                counts.update([w for w in x.lower().split() if hit[w]])
+                if len(counts) > 400_000:
+                    yield flush()
+        yield flush()
 
-    return slim.mapInArrow(run, schema)
+    counted = docs.select(text_or_empty(text_col).alias("text")).mapInArrow(run, "word string, n long")
+    return counted.groupBy("word").agg(F.sum("n").alias("total")).join(words, "word", "left_semi")
 
 
-def bootstrap(occ: DataFrame, words: DataFrame, rounds: int = 3, min_support: int = 5, min_precision: float = 0.2, accept: float = 0.5) -> DataFrame:
-    """Accepted candidates as (kind, inst), from occurrences and corpus counts of words.
+def bootstrap(occ: DataFrame, count: Callable[[DataFrame], DataFrame], rounds: int = 3, min_support: int = 5, min_precision: float = 0.2, accept: float = 0.5) -> DataFrame:
+    """Accepted candidates as (kind, inst), from occurrences; ``count`` gives (word, total) of a table of words.
 
     A pattern (side, word, kind) is trusted with at least ``min_support`` different known instances and
     ``min_precision`` of the word's occurrences; an instance scores 1 - product of (1 - precision).
@@ -172,14 +198,14 @@ def bootstrap(occ: DataFrame, words: DataFrame, rounds: int = 3, min_support: in
         .agg(F.count("*").alias("times")),
         "pii-edges",
     )
-    open_edges = edges.where("not known")
+    # A pattern can come to admit an instance only if it has candidates and enough instances in all.
+    hopeful = edges.groupBy("kind", "side", "word").agg(F.count("*").alias("n"), F.count_if(~F.col("known")).alias("open")).where((F.col("n") > min_support) & (F.col("open") > 0))
+    hopeful = stage_out(hopeful.select("kind", "side", "word"), "pii-hopeful")
     accepted = edges.sparkSession.createDataFrame([], "kind int, inst string")
-    if open_edges.isEmpty():
+    if hopeful.isEmpty():
         return accepted
-    # Only words that stand beside some candidate can admit one.
-    beside = open_edges.select("kind", "side", "word").distinct()
-    useful = stage_out(edges.join(beside, ["kind", "side", "word"], "left_semi"), "pii-useful")
-    totals = stage_out(words.join(beside.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.sum("n").alias("total")), "pii-totals")
+    useful = stage_out(edges.join(hopeful, ["kind", "side", "word"], "left_semi"), "pii-useful")
+    totals = stage_out(count(hopeful.select("word").distinct()), "pii-totals")
     for k in range(rounds):
         known = useful.where("known").select("kind", "inst", "side", "word", "times")
         known = known.union(useful.where("not known").join(accepted, ["kind", "inst"], "left_semi").select("kind", "inst", "side", "word", "times"))
@@ -206,12 +232,14 @@ def bootstrap(occ: DataFrame, words: DataFrame, rounds: int = 3, min_support: in
     return accepted
 
 
-def _added(rows: DataFrame) -> DataFrame:
-    """Spans that the contexts add, by document key: id, th, added."""
-    occ = rows.where("word is null").select("id", "th", F.explode("occ").alias("o")).select("id", "th", "o.*")
-    accepted = bootstrap(occ, rows.where("word is not null").select("word", "n"))
+def _found(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Base spans of all rows, and spans that the contexts add by document key (id, th, added)."""
+    rows = stage_out(_scan(docs, id_col, text_col), "pii-scan")
+    occ = rows.select("id", "th", F.explode("occ").alias("o")).select("id", "th", "o.*")
+    accepted = bootstrap(occ, lambda words: count_words(docs, text_col, words))
     hits = occ.where("not known").join(accepted, ["kind", "inst"], "left_semi")
-    return stage_out(hits.groupBy("id", "th").agg(F.sort_array(F.collect_set(F.struct("kind", "start", "stop"))).alias("added")), "pii-added")
+    added = stage_out(hits.groupBy("id", "th").agg(F.sort_array(F.collect_set(F.struct("kind", "start", "stop"))).alias("added")), "pii-added")
+    return rows.select("id", "th", "base"), added
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -220,9 +248,8 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Null texts count as empty and have no spans; rows with the same id and the same text come out alike; a
     null id is kept; an empty table gives no rows; other columns are not read.
     """
-    rows = stage_out(_scan(docs, id_col, text_col), "pii-scan")
-    added = _added(rows).withColumnsRenamed({"id": "__id", "th": "__th"})
-    found = rows.where("word is null").select("id", "th", "base")
+    found, added = _found(docs, id_col, text_col)
+    added = added.withColumnsRenamed({"id": "__id", "th": "__th"})
     joined = found.join(added, found["id"].eqNullSafe(added["__id"]) & (found["th"] == added["__th"]), "left")
     return joined.select(F.col("id").alias(id_col), "base", F.coalesce("added", F.array().cast(SPANS)).alias("added"))
 
@@ -260,8 +287,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broa
     Added spans are joined by the document's key: broadcast if there are at most ``broadcast_rows``
     documents with any, else by a shuffle.
     """
-    rows = stage_out(_scan(docs, id_col, text_col), "pii-scan")
-    added = _added(rows).withColumnsRenamed({"id": "__id", "th": "__th", "added": "__added"})
+    added = _found(docs, id_col, text_col)[1].withColumnsRenamed({"id": "__id", "th": "__th", "added": "__added"})
     few = added.limit(broadcast_rows + 1).count() <= broadcast_rows
     text = text_or_empty(text_col)
     keyed = docs.withColumn("__key", F.xxhash64(text, F.length(text)))
