@@ -81,46 +81,56 @@ def _dup_lines(text: Column) -> Column:
     return let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
 
 
-def _reference_language(lang: Column, words: Column) -> Column:
+#: All languages' common words.
+EVERY_COMMON = sorted({w for c in COMMON_WORDS.values() for w in c})
+
+
+def _common_of(words: Column) -> Column:
+    """The words that are common in any language, a fraction of all."""
+    return F.filter(words, lambda w: w.isin(EVERY_COMMON))
+
+
+def _reference_language(lang: Column, common: Column) -> Column:
     """The document's own language, or else the one whose common words it has most of."""
 
-    def found(common: list[str]) -> Column:
-        return F.size(F.filter(words, lambda w: w.isin(common)))
+    def found(listed: list[str]) -> Column:
+        return F.size(F.filter(common, lambda w: w.isin(listed)))
 
     votes = [F.struct(found(c).alias("n"), F.lit(-k).alias("k"), F.lit(x).alias("lang")) for k, (x, c) in enumerate(COMMON_WORDS.items())]
     return F.when(lang.isin(LANGUAGES), lang).otherwise(F.array_max(F.array(*votes))["lang"])
 
 
 def _class_histogram(text: Column) -> Column:
-    listed = [_count(text, m) for m in LISTED_CLASSES.values()]
+    """Code points in each listed class and in none; plain small letters, most of a text, are dropped first."""
 
     def with_rest(counts: Column) -> Column:
         held = F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x)
         return F.concat(counts, F.array(F.char_length(text).cast("long") - held))
 
-    return let(F.array(*listed), with_rest)
+    return let(F.regexp_replace(text, "[a-z]+", ""), lambda rest: let(F.array(*[_count(rest, m) for m in LISTED_CLASSES.values()]), with_rest))
 
 
-def _word_histogram(reference: Column, words: Column) -> Column:
+def _word_histogram(reference: Column, words: Column, common: Column) -> Column:
     """Counts of the reference language's common words, then of all other words."""
     chosen = F.lit(None)
     for x, c in COMMON_WORDS.items():
         chosen = F.when(reference == x, F.array(*map(F.lit, c))).otherwise(chosen)
-    every = sorted({w for c in COMMON_WORDS.values() for w in c})
-
-    def counted(common: Column) -> Column:
-        counts = F.transform(chosen, lambda c: F.size(F.filter(common, lambda w: w == c)).cast("long"))
-        return let(counts, lambda n: F.concat(n, F.array(F.size(words).cast("long") - F.aggregate(n, F.lit(0).cast("long"), lambda a, x: a + x))))
-
-    return let(F.filter(words, lambda w: w.isin(every)), counted)
+    counts = F.transform(chosen, lambda c: F.size(F.filter(common, lambda w: w == c)).cast("long"))
+    return let(counts, lambda n: F.concat(n, F.array(F.size(words).cast("long") - F.aggregate(n, F.lit(0).cast("long"), lambda a, x: a + x))))
 
 
 def histograms(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """reference, n_words, classes and commons of each document, nothing else."""
-    body = lambda w: let(
-        _reference_language(F.col("__lang"), w),
-        lambda r: F.struct(r.alias("reference"), F.size(w).alias("n_words"), _class_histogram(F.col("__text")).alias("classes"), _word_histogram(r, w).alias("commons")),
-    )
+
+    def body(w: Column) -> Column:
+        def known(c: Column) -> Column:
+            return let(
+                _reference_language(F.col("__lang"), c),
+                lambda r: F.struct(r.alias("reference"), F.size(w).alias("n_words"), _class_histogram(F.col("__text")).alias("classes"), _word_histogram(r, w, c).alias("commons")),
+            )
+
+        return let(_common_of(w), known)
+
     slim = docs.select(text_or_empty(text_col).alias("__text"), F.col(lang_col).alias("__lang"))
     return slim.select(let(_words(F.col("__text")), body).alias("h")).select("h.*")
 
@@ -174,43 +184,43 @@ def verdict(text: Column, lang: Column, references: dict, limits: Limits = Limit
     names = list(LISTED_CLASSES)
 
     def with_words(w: Column) -> Column:
-        def with_reference(r: Column) -> Column:
-            base = let(
-                _class_histogram(text),
-                lambda h: F.struct(
-                    F.size(w).cast("long").alias("n_words"),
-                    (F.char_length(text).cast("long") - h[names.index("blank")]).alias("word_chars"),
-                    h[names.index("symbol")].alias("n_symbols"),
-                    _dup_lines(text).alias("n_dup_lines"),
-                    _repeat_words(w).alias("n_repeat_words"),
-                    F.round(js_distance(h, _shares(r, references, "classes")), 9).alias("class_distance"),
-                    F.round(js_distance(_word_histogram(r, w), _shares(r, references, "commons")), 9).alias("word_distance"),
-                ),
+        return let(_common_of(w), lambda c: let(_reference_language(lang, c), lambda r: with_reference(w, c, r)))
+
+    def with_reference(w: Column, c: Column, r: Column) -> Column:
+        base = let(
+            _class_histogram(text),
+            lambda h: F.struct(
+                F.size(w).cast("long").alias("n_words"),
+                (F.char_length(text).cast("long") - h[names.index("blank")]).alias("word_chars"),
+                h[names.index("symbol")].alias("n_symbols"),
+                _dup_lines(text).alias("n_dup_lines"),
+                _repeat_words(w).alias("n_repeat_words"),
+                F.round(js_distance(h, _shares(r, references, "classes")), 9).alias("class_distance"),
+                F.round(js_distance(_word_histogram(r, w, c), _shares(r, references, "commons")), 9).alias("word_distance"),
+            ),
+        )
+
+        def decide(b: Column) -> Column:
+            failed = (b["n_words"] < limits.min_words) | (100 * b["n_repeat_words"] > limits.max_repeat_percent * b["n_words"])
+            n, c, d = b["n_words"], b["class_distance"], b["word_distance"]
+            far = (
+                ((n >= limits.guard_words) & (c > limits.max_class_distance))
+                | ((n >= limits.word_guard) & (d > limits.max_word_distance))
+                | ((n >= limits.joint_guard) & (c > limits.joint_class_distance) & (d > limits.joint_word_distance))
+            )
+            return F.struct(
+                b["n_words"].alias("n_words"),
+                b["word_chars"].alias("word_chars"),
+                b["n_symbols"].alias("n_symbols"),
+                b["n_dup_lines"].alias("n_dup_lines"),
+                b["n_repeat_words"].alias("n_repeat_words"),
+                failed.alias("base_failed"),
+                (~failed & ~far).alias("kept"),
+                b["class_distance"].alias("class_distance"),
+                b["word_distance"].alias("word_distance"),
             )
 
-            def decide(b: Column) -> Column:
-                failed = (b["n_words"] < limits.min_words) | (100 * b["n_repeat_words"] > limits.max_repeat_percent * b["n_words"])
-                n, c, d = b["n_words"], b["class_distance"], b["word_distance"]
-                far = (
-                    ((n >= limits.guard_words) & (c > limits.max_class_distance))
-                    | ((n >= limits.word_guard) & (d > limits.max_word_distance))
-                    | ((n >= limits.joint_guard) & (c > limits.joint_class_distance) & (d > limits.joint_word_distance))
-                )
-                return F.struct(
-                    b["n_words"].alias("n_words"),
-                    b["word_chars"].alias("word_chars"),
-                    b["n_symbols"].alias("n_symbols"),
-                    b["n_dup_lines"].alias("n_dup_lines"),
-                    b["n_repeat_words"].alias("n_repeat_words"),
-                    failed.alias("base_failed"),
-                    (~failed & ~far).alias("kept"),
-                    b["class_distance"].alias("class_distance"),
-                    b["word_distance"].alias("word_distance"),
-                )
-
-            return let(base, decide)
-
-        return let(_reference_language(lang, w), with_reference)
+        return let(base, decide)
 
     return let(_words(text), with_words)
 
