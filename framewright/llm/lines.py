@@ -70,7 +70,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
         return F.transform(F.concat(let(grams, winnow), singles), around)
 
-    slim = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.lit(None)).alias("_"), _hash(text).alias("th"), hashed.alias("hs")).drop("_")
+    slim = docs.select(F.col(id_col).alias("id"), _hash(text).alias("th"), hashed.alias("hs"))
     return slim.select("id", "th", F.explode(let(F.col("hs"), chosen)).alias("f")).select("f.fp", "id", "th", "f.pos", "f.n", "f.before", "f.own", "f.after")
 
 

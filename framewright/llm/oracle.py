@@ -40,7 +40,7 @@ refs AS (SELECT rc.ref, list_transform(rc.gs, lambda x: round(x / list_sum(rc.gs
 j AS (SELECT e.*, {distance("classes", "rcs")} AS cd, {distance("words", "rws")} AS wd FROM e JOIN refs USING (ref)),
 b AS (SELECT *, n < {limits.min_words} OR 100 * coalesce(k, 0) > {limits.max_repeat_percent} * n AS bad,
     list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
-  FROM (SELECT e.*, cd, wd FROM e LEFT JOIN (SELECT r, cd, wd FROM j) USING (r)) LEFT JOIN n USING (r))
+  FROM (SELECT e.*, coalesce(cd, 0) AS cd, coalesce(wd, 0) AS wd FROM e LEFT JOIN (SELECT r, cd, wd FROM j) USING (r)) LEFT JOIN n USING (r))
 SELECT doc_id, CAST(n AS BIGINT) AS n_words,
   CAST(length(t) - classes[{list(LISTED_CLASSES).index("blank") + 1}] AS BIGINT) AS word_chars,
   CAST(classes[{list(LISTED_CLASSES).index("symbol") + 1}] AS BIGINT) AS n_symbols,

@@ -172,7 +172,7 @@ def js_distance(counts: Column, shares: Column) -> Column:
 
 
 def _shares(reference: Column, references: dict, kind: str) -> Column:
-    out = F.lit(None)
+    out = F.lit(None).cast("array<double>")
     for x, r in references.items():
         out = F.when(reference == x, F.array(*[F.lit(float(v)) for v in r[kind]])).otherwise(out)
     return out
@@ -183,6 +183,10 @@ def verdict(text: Column, lang: Column, references: dict, limits: Limits = Limit
 
     names = list(LISTED_CLASSES)
 
+    def distance(counts: Column, kind: str, reference: Column) -> Column:
+        """0 where the corpus has no document to make a reference of."""
+        return F.coalesce(F.round(js_distance(counts, _shares(reference, references, kind)), 9), F.lit(0.0))
+
     def with_words(w: Column) -> Column:
         return let(_common_of(w), lambda c: let(_reference_language(lang, c), lambda r: with_reference(w, c, r)))
 
@@ -195,8 +199,8 @@ def verdict(text: Column, lang: Column, references: dict, limits: Limits = Limit
                 h[names.index("symbol")].alias("n_symbols"),
                 _dup_lines(text).alias("n_dup_lines"),
                 _repeat_words(w).alias("n_repeat_words"),
-                F.round(js_distance(h, _shares(r, references, "classes")), 9).alias("class_distance"),
-                F.round(js_distance(_word_histogram(r, w, c), _shares(r, references, "commons")), 9).alias("word_distance"),
+                distance(h, "classes", r).alias("class_distance"),
+                distance(_word_histogram(r, w, c), "commons", r).alias("word_distance"),
             ),
         )
 
