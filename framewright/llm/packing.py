@@ -37,11 +37,15 @@ class WordBpe:
     """
 
     def __init__(self, path: str, cache_limit: int = 500_000):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
+        # Words come normalised and split, so the library need only part them at blanks.
+        self.model.normalizer = normalizers.Sequence([])
+        self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.find = regex.compile(WORDS).findall
+        self.find_ascii = re.compile(WORDS.replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9").replace(r"\s", r"\x09-\x0d\x20")).findall
         # str.split() also parts at four control characters that are no white space for the file's pattern
         self.odd = re.compile("[\x1c-\x1f]").search
         self.blank = regex.compile(r"[^\s]+").findall
@@ -74,13 +78,20 @@ class WordBpe:
                 self.words[w] = np.array(self.model.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _learn_chunks(self, chunks: list[str]) -> None:
-        split = [self.find(self.normal(c)) for c in chunks]
+        find, find_ascii, normal = self.find, self.find_ascii, self.normal
+        split = []
+        for c in chunks:
+            if c.isascii():
+                low = c.lower()  # already composed
+                split.append([low] if low.isalpha() else find_ascii(low))
+            else:
+                split.append(find(normal(c)))
         if len(self.words) > self.limit:
             self.words.clear()
         if new := set().union(*split).difference(self.words):
             self._learn_words(list(new))
         look = self.words.__getitem__
-        self.chunks.update((c, b"".join(map(look, ws))) for c, ws in zip(chunks, split))
+        self.chunks.update(zip(chunks, [look(ws[0]) if len(ws) == 1 else b"".join(map(look, ws)) for ws in split]))
 
     def encode_batch(self, texts: list[str]) -> Iterator[bytes]:
         split = [self.blank(x) if self.odd(x) else x.split() for x in texts]
@@ -127,6 +138,27 @@ def cut_pieces(
     return flat_map_texts(docs, [id_col], text_col, make, PIECE_SCHEMA + (", ids array<long>" if with_ids else ""))
 
 
+def repack(items: list[list[int]], lengths: list[int], left: list[int], capacity: int) -> list[list[int]]:
+    """``items`` with the bins ``left`` emptied and filled again by best fit, largest first, if that needs fewer."""
+    again = sorted((i for b in left for i in items[b]), key=lambda i: (-lengths[i], i))
+    fresh: list[list[int]] = []
+    gaps: list[tuple[int, int]] = []
+    for i in again:
+        at = bisect.bisect_left(gaps, (lengths[i], -1))
+        if at == len(gaps):
+            room, b = capacity, len(fresh)
+            fresh.append([])
+        else:
+            room, b = gaps.pop(at)
+        fresh[b].append(i)
+        if room > lengths[i]:
+            bisect.insort(gaps, (room - lengths[i], b))
+    if len(fresh) >= len(left):
+        return items
+    gone = set(left)
+    return [x for b, x in enumerate(items) if b not in gone] + fresh
+
+
 def sum_of_squares(lengths: list[int], capacity: int = CAPACITY) -> tuple[list[int], list[int]]:
     """Bin and offset of each item, in the order given.
 
@@ -163,23 +195,7 @@ def sum_of_squares(lengths: list[int], capacity: int = CAPACITY) -> tuple[list[i
         if gap > s:
             waiting[gap - s].append(b)
             counts[gap - s] += 1
-    left = [b for bins in waiting for b in bins]
-    again = sorted((i for b in left for i in items[b]), key=lambda i: (-lengths[i], i))
-    fresh: list[list[int]] = []
-    gaps: list[tuple[int, int]] = []
-    for i in again:
-        at = bisect.bisect_left(gaps, (lengths[i], -1))
-        if at == len(gaps):
-            room, b = capacity, len(fresh)
-            fresh.append([])
-        else:
-            room, b = gaps.pop(at)
-        fresh[b].append(i)
-        if room > lengths[i]:
-            bisect.insort(gaps, (room - lengths[i], b))
-    if len(fresh) < len(left):
-        gone = set(left)
-        items = [x for b, x in enumerate(items) if b not in gone] + fresh
+    items = repack(items, lengths, [b for bins in waiting for b in bins], capacity)
     bins, offsets = [0] * n, [0] * n
     for b, members in enumerate(items):
         at = 0
