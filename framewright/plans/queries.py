@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import color, f32, geometry, naming, shapes
+from ..functions import color, f32, geometry, naming, points, shapes
 from ..functions.geometry import Box
 from ..operators import detections as det
 from ..operators import imaging, parity, policy
@@ -16,6 +16,10 @@ from .catalog import DETECTIONS, IMAGE_H, IMAGE_W, detections, query, table
 RIGHT, BOTTOM = "CAST({p}x + {p}width AS FLOAT)", "CAST({p}y + {p}height AS FLOAT)"
 
 
+def _d(a: str, b: str) -> str:
+    return f"CAST(CAST({a} AS DOUBLE) / ({b}) AS FLOAT)"
+
+
 def _iou(a: str, b: str) -> str:
     r, t = RIGHT, BOTTOM
     x1, y1 = f"greatest({a}x, {b}x)", f"greatest({a}y, {b}y)"
@@ -233,6 +237,19 @@ def eye_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("image_id", "face_idx", F.get(discs, 0)["x"].alias("eye_x"), F.get(discs, 0)["radius"].alias("eye_radius"), F.round(geometry.eye_angle(F.col("re"), F.col("le")).cast("double"), 5).alias("angle"))
 
 
+@query(
+    f"""SELECT image_id, face_idx, CAST(x + width AS FLOAT) AS sum_x, CAST(y - height AS FLOAT) AS diff_y, {_d('y', '3')} AS third_y,
+  CAST(CAST(x AS DOUBLE) * width + CAST(CAST(y * height AS FLOAT) AS DOUBLE) AS FLOAT) AS product, round(CAST(CAST(sqrt(CAST(x AS DOUBLE) * x + CAST(y AS DOUBLE) * y) AS FLOAT) AS DOUBLE), 3) AS size,
+  CAST(CAST(x AS DOUBLE) * 0.5 + width AS FLOAT) AS moved_x FROM ({DETECTIONS})"""
+)
+def point_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = points.point(F.col("x"), F.col("y")), points.point(F.col("width"), F.col("height"))
+    return detections(spark, sf_dir).select(
+        "image_id", "face_idx", points.add(a, b)["x"].alias("sum_x"), points.sub(a, b)["y"].alias("diff_y"), points.shrink(a, 3.0)["y"].alias("third_y"),
+        points.dot(a, b).alias("product"), F.round(points.length(a).cast("double"), 3).alias("size"), points.along(a, 0.5, b)["x"].alias("moved_x"),
+    )
+
+
 @query("SELECT o_orderkey, o_orderpriority, w AS width, h AS height FROM orders JOIN (VALUES ('idcard', 332, 498), ('avatar', 512, 512), ('linkedin', 400, 400)) p(k, w, h) ON k = ['idcard', 'avatar', 'linkedin', 'none'][o_orderkey % 4 + 1]")
 def preset_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = F.element_at(F.array(*map(F.lit, ["id-CARD", "  Avatar", "Linked_In", "none"])), (F.col("o_orderkey") % 4 + 1).cast("int"))
@@ -423,10 +440,6 @@ def color_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", text.alias("rgba"))
 
 
-def _d(a: str, b: str) -> str:
-    return f"CAST(CAST({a} AS DOUBLE) / ({b}) AS FLOAT)"
-
-
 UNIT = f"SELECT *, {_d('r', '255')} AS rf, {_d('g', '255')} AS gf, {_d('b', '255')} AS bf FROM (SELECT DISTINCT {CHANNELS} FROM lineitem)"
 
 
@@ -464,14 +477,14 @@ def base64_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT image_id, face_idx, CASE WHEN image_id % 4 = 0 THEN NULL ELSE '{' || '"album":"a' || image_id % 7 || '",' || '"generator":"framewright","generator_version":"0.1.0","quality":"' || lower(quality) || '"}' END AS payload FROM """ + FACES
+    """SELECT image_id, face_idx, CASE WHEN image_id % 4 = 0 THEN NULL ELSE '{' || '"album":"a' || image_id % 7 || '",' || '"generator":"framewright","generator_version":"0.1.0","quality":"' || lower(quality) || '","rank":' || qrank || '}' END AS payload FROM """ + FACES
 )
 def metadata_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sources.sinks import metadata_payload
 
     tags = F.create_map(F.lit("album"), F.concat(F.lit("a"), (F.col("image_id") % 7).cast("string")))
     mode = F.when(F.expr("image_id % 4 = 0"), "strip").otherwise("custom")
-    return _faces(spark, sf_dir).select("image_id", "face_idx", metadata_payload(mode, tags, {"quality": F.lower("quality")}).alias("payload"))
+    return _faces(spark, sf_dir).select("image_id", "face_idx", metadata_payload(mode, tags, {"quality": F.lower("quality"), "rank": policy.quality_rank(F.col("quality"))}).alias("payload"))
 
 
 # Mapping tables.

@@ -43,6 +43,26 @@ def read_decoded(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("image.origin", "image.width", "image.height", "image.nChannels", "image.data").mapInArrow(run, "path string, width int, height int, data binary")
 
 
+def read_oriented(spark: SparkSession, path: str) -> DataFrame:
+    """As :func:`read_decoded`, turned as each file's orientation tag says."""
+
+    def tags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([jpeg_orientation(x) for x in batch.column(1).to_pylist()], pa.int32())], names=["path", "tag"])
+
+    plain = F.regexp_replace("path", "^file:/+", "/").alias("path")
+    jpegs = scan(spark, path).where(F.lower("path").rlike(r"\.jpe?g$")).select("path", "content").mapInArrow(tags, "path string, tag int").where("tag > 1").select(plain, "tag")
+    decoded = read_decoded(spark, path).withColumn("path", plain).join(jpegs, "path", "left")
+
+    def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [orient(np.frombuffer(d, dtype=np.uint8).reshape(h, w, 4), t or 1) for w, h, d, t in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 4)))]
+            sizes = [pa.array([m.shape[k] for m in made], pa.int32()) for k in (1, 0)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *sizes, pa.array([m.tobytes() for m in made], pa.binary())], names=["path", "width", "height", "data"])
+
+    return decoded.select("path", "width", "height", "data", "tag").mapInArrow(turn, "path string, width int, height int, data binary")
+
+
 def to_rgba(img: np.ndarray) -> np.ndarray:
     """From one, three (BGR) or four (BGRA) channels."""
     h, w, n = img.shape

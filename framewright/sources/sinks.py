@@ -84,16 +84,24 @@ def encode_images(images: DataFrame, kind: str, compression: str = "default") ->
     return images.mapInArrow(run, T.StructType(fields))
 
 
+def _json(value: Column) -> Column:
+    """A value of any type as JSON text."""
+    return F.regexp_replace(F.to_json(F.array(value)), r"^\[|\]$", "")
+
+
 def metadata_payload(mode: Column, tags: Column, fields: dict[str, Column], generator: str = GENERATOR) -> Column:
-    """JSON of tags and fields, keys in order; fields win over tags; null for mode strip or where there is nothing."""
-    given = F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(k).alias("key"), v.cast("string").alias("value")) for k, v in fields.items()]), lambda e: e["value"].isNotNull()))
-    taken = list(fields) + ["generator", "generator_version"]
-    rest = F.map_filter(F.coalesce(tags, F.create_map().cast("map<string,string>")), lambda k, _: ~k.isin(taken))
-    both = F.map_concat(rest, given.cast("map<string,string>"))
-    empty = F.size(both) == 0
-    signed = F.map_concat(both, F.create_map(F.lit("generator"), F.lit(generator), F.lit("generator_version"), F.lit(__version__)))
-    ordered = F.map_from_entries(F.sort_array(F.map_entries(signed)))
-    return F.when((F.lower(mode) != "strip") & ~empty, F.to_json(ordered))
+    """JSON of tags and fields, keys in order; fields win over tags; null for mode strip or where there is nothing.
+
+    Fields keep their type: numbers stay numbers, structs become objects, nulls are left out.
+    """
+    entry = lambda k, v: F.struct(k.alias("k"), v.alias("v"))
+    given = F.filter(F.array(*[F.when(v.isNotNull(), entry(F.lit(k), _json(v))) for k, v in fields.items()]), lambda e: e.isNotNull())
+    taken = [*fields, "generator", "generator_version"]
+    rest = F.filter(F.map_entries(F.coalesce(tags, F.create_map().cast("map<string,string>"))), lambda e: ~e["key"].isin(taken))
+    both = F.concat(F.transform(rest, lambda e: entry(e["key"], _json(e["value"]))), given)
+    signed = F.concat(both, F.array(entry(F.lit("generator"), F.lit(f'"{generator}"')), entry(F.lit("generator_version"), F.lit(f'"{__version__}"'))))
+    text = F.concat(F.lit("{"), F.array_join(F.transform(F.sort_array(signed), lambda e: F.concat(_json(e["k"]), F.lit(":"), e["v"])), ","), F.lit("}"))
+    return F.when((F.lower(mode) != "strip") & (F.size(both) > 0), text)
 
 
 def with_png_metadata(png: bytes, payload: str | None, exif: list[bytes] | None = None, key: bytes = b"Framewright") -> bytes:
@@ -125,9 +133,24 @@ def jpeg_segments(jpeg: bytes) -> list[tuple[int, bytes]]:
     return out
 
 
+def without_orientation(tiff: bytes) -> bytes:
+    """An Exif body whose orientation says upright, for pixels that have been turned already."""
+    order = {b"II": "<", b"MM": ">"}.get(tiff[:2])
+    if order is None or len(tiff) < 8:
+        return tiff
+    at = struct.unpack_from(f"{order}I", tiff, 4)[0]
+    out = bytearray(tiff)
+    if at + 2 <= len(tiff):
+        for k in range(struct.unpack_from(f"{order}H", tiff, at)[0]):
+            entry = at + 2 + 12 * k
+            if entry + 12 <= len(tiff) and struct.unpack_from(f"{order}HH", tiff, entry) == (0x0112, 3):
+                struct.pack_into(f"{order}H", out, entry + 8, 1)
+    return bytes(out)
+
+
 def with_jpeg_metadata(jpeg: bytes, payload: str | None, exif: list[bytes] | None = None) -> bytes:
     """Put Exif bodies and the payload (base64 in an XMP packet) behind the start; what exceeds a segment is left out."""
-    bodies = [b"Exif\0\0" + e for e in exif or []]
+    bodies = [b"Exif\0\0" + without_orientation(e) for e in exif or []]
     if payload is not None:
         text = base64.b64encode(payload.encode()).decode()
         packet = f'<x:xmpmeta xmlns:x="adobe:ns:meta/"><rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#"><rdf:Description xmlns:f="urn:framewright" f:payload="{text}"/></rdf:RDF></x:xmpmeta>'

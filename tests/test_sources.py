@@ -119,6 +119,9 @@ def test_png_round_trip_and_metadata():
     assert sinks.png_exif(png) == [b"exif-bytes"] and b'Framewright\0{"a":1}' in png and (images.decode_png(png) == img).all()
     jpeg = sinks.with_jpeg_metadata(b"\xff\xd8\xff\xda", "{}", [b"x" * 70000, b"MM"])
     assert [m for m, _ in sinks.jpeg_segments(jpeg)] == [0xE1, 0xE1]
+    tiff = b"II*\0\x08\0\0\0\x01\0" + b"\x12\x01\x03\0\x01\0\0\0\x06\0\0\0" + b"\0\0\0\0"
+    turned = sinks.with_jpeg_metadata(b"\xff\xd8\xff\xda", None, [tiff])
+    assert images.jpeg_orientation(turned) == 1 and images.exif_orientation(tiff) == 6
     with pytest.raises(ValueError):
         sinks.encode(img, "webp")
 
@@ -132,6 +135,7 @@ def test_spark_reads_what_is_written(spark, tmp_path):
         (d / f"a.{kind}").write_bytes(sinks.encode(img, kind))
         got = images.read_decoded(spark, str(d)).first()
         assert (np.frombuffer(got.data, dtype=np.uint8).reshape(12, 9, 4) == img).all()
+    assert images.read_oriented(spark, str(tmp_path)).count() == 2
     (tmp_path / "png" / "b.TXT").write_text("no image")
     assert [os.path.basename(r.path) for r in images.targets(spark, str(tmp_path)).select("path").collect()] == ["a.bmp", "a.png"]
     with pytest.raises(Exception):
