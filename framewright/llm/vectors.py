@@ -130,7 +130,8 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
                 yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(_units(x) @ first), pa.array([r.tobytes() for r in x], pa.binary())], names=["rep", "copies", "p", "data"])
 
     projected = distinct.select("v", "rep", "copies").mapInArrow(project, "rep long, copies long, p double, data binary")
-    ordered = projected.repartitionByRange(max(1, -(-n // tile_rows)), "p", "rep")
+    tiles_wanted = max(1, -(-n // tile_rows))
+    ordered = projected.repartitionByRange(tiles_wanted, "p", "rep").coalesce(tiles_wanted)  # no more even where ranges are cut finer
 
     def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def made(rows: list[tuple]) -> pa.RecordBatch:
