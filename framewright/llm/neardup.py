@@ -6,8 +6,9 @@
    any size of the corpus, far below that pseudo-count.
 3. Improved consistent weighted sampling draws 64 samples of a document's weighted shingles; 16 bands of
    four are its buckets.
-4. In a bucket every member is compared with the bucket's leader.  What stays apart from it is compared in
-   full in small buckets and parted by further bands in large ones, so none is capped or paired off in full.
+4. In a bucket every member is compared with the bucket's leader.  Members that stay apart from it are
+   compared with all others of another component: in small buckets pair by pair, in larger ones block by block
+   in matrix products, so that no pair becomes a row.  Nothing is left out but pairs already in one component.
 5. A pair is linked if its weighted Jaccard similarity, from all shingles, is at least 0.8.  Classes are
    the connected components.
 """
@@ -24,14 +25,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import connected_components, map_texts, stage_out, text_or_empty
+from .shared import connected_components, map_texts, roots, stage_out, text_or_empty
 
 WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 16, 4
-#: Buckets left with more components than this are parted by the keys of the bands so far ahead, level by level.
-FEW = 4
-STRIDES = ((1, 2, 5), (3,))
+#: Buckets of more members than this are compared in blocks of about so many documents and bytes.
+FEW = 8
+BLOCK_ROWS, BLOCK_BYTES = 256, 2_000_000
+#: Shingle levels that one matrix product covers, and its rounding; pairs within that are looked at again.
+WIDE, SLACK = 4096, 1e-4
 SKETCH_WIDTH, SKETCH_DEPTH = 1 << 16, 2
 SKETCH_BLOCK = 32
 PSEUDO = 1.0
@@ -220,52 +223,128 @@ def _verify(spark: SparkSession, pairs: DataFrame, payloads: DataFrame, threshol
     return pairs.join(left, "a").join(right, "b").select("a", "b", "pa", "pb").mapInArrow(run, "a long, b long")
 
 
+def alike(a: list[tuple[np.ndarray, np.ndarray]], b: list[tuple[np.ndarray, np.ndarray]], threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the documents (shingles in order, levels) of two lists that are similar enough; all pairs are compared.
+
+    A sum of minima is a product: each level that a shingle has anywhere is a column, a document has those up
+    to its own level, and a column weighs what its level adds to the one below.
+    """
+    totals = [np.array([np.exp2(levels / LEVELS_PER_OCTAVE).sum() for _, levels in docs]) for docs in (a, b)]
+    sides = [(np.concatenate([d[0] for d in docs]), np.concatenate([d[1] for d in docs]).astype(np.int64), np.repeat(np.arange(len(docs)), [len(d[0]) for d in docs])) for docs in (a, b)]
+    common = np.intersect1d(sides[0][0], sides[1][0])
+    shared = np.zeros((len(a), len(b)))
+    if len(common):
+        keyed = []
+        for shingles, levels, row in sides:
+            at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
+            both = common[at] == shingles
+            keyed.append((at[both] << 8 | levels[both] + 128, row[both]))
+        columns = np.unique(np.concatenate([k for k, _ in keyed]))
+        of, weight = columns >> 8, np.exp2(((columns & 255) - 128) / LEVELS_PER_OCTAVE)
+        first = np.searchsorted(of, of)
+        step = (weight - np.where(first == np.arange(len(of)), 0, np.roll(weight, 1))).astype(np.float32)
+        spread = []
+        for key, row in keyed:
+            own = np.searchsorted(columns, key)
+            n = own - first[own] + 1
+            column = np.repeat(first[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            order = np.argsort(column, kind="stable")
+            spread.append((column[order], np.repeat(row, n)[order]))
+        for lo in range(0, len(columns), WIDE):
+            dense = []
+            for (column, row), docs in zip(spread, (a, b)):
+                p, q = np.searchsorted(column, [lo, lo + WIDE])
+                x = np.zeros((len(docs), min(WIDE, len(columns) - lo)), dtype=np.float32)
+                x[row[p:q], column[p:q] - lo] = 1
+                dense.append(x)
+            shared += (dense[0] * step[lo : lo + WIDE]) @ dense[1].T
+    similarity = shared / np.maximum(totals[0][:, None] + totals[1] - shared, 1e-300)
+    i, j = np.nonzero(similarity >= threshold - SLACK)
+    good = similarity[i, j] >= threshold + SLACK
+    for k in np.flatnonzero(~good):
+        good[k] = weighted_jaccard(a[i[k]], b[j[k]]) >= threshold
+    return i[good], j[good]
+
+
+def _compare_blocks(blocks: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between the components in pairs of blocks (bucket, apart, cell, docs) that have one apart: a forest of each pair."""
+    cells = blocks.select("bucket", "apart", "cell")
+    other = cells.select("bucket", F.col("apart").alias("apart2"), F.col("cell").alias("cell2"))
+    pairs = stage_out(cells.where("apart").join(other, "bucket").where("not apart2 or cell <= cell2").select("bucket", "cell", "apart2", "cell2"), "near-block-pairs")
+    one = blocks.where("apart").select("bucket", "cell", F.col("docs").alias("one"))
+    two = blocks.select("bucket", F.col("apart").alias("apart2"), F.col("cell").alias("cell2"), F.col("docs").alias("two"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                one, two = (batch.column(c)[k].as_py() for c in (0, 1))
+                i, j = alike([_unpack(d["payload"]) for d in one], [_unpack(d["payload"]) for d in two], threshold)
+                both = one + two
+                ids, component = (np.array([d[c] for d in both], dtype=np.int64) for c in ("id", "component"))
+                j = j + len(one)
+                new = component[i] != component[j]
+                _, node = np.unique(component, return_inverse=True)
+                root = roots(int(node.max()) + 1, node[i[new]], node[j[new]])[node]
+                _, least = np.unique(node, return_index=True)  # a document of each component
+                moved = np.flatnonzero(root != node)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[least[root[moved]]])], names=["a", "b"])
+
+    joined = pairs.join(one, ["bucket", "cell"]).join(two, ["bucket", "apart2", "cell2"]).select("one", "two")
+    return joined.mapInArrow(run, "a long, b long")
+
+
 def _link_buckets(spark: SparkSession, banded: DataFrame, fetch: Callable[[DataFrame], DataFrame], threshold: float) -> DataFrame:
     """Components (id, component) of the links found between documents (id, bands) that share buckets.
 
-    At each level every member of a bucket is compared with its leader.  Members whose component then is the
-    leader's are settled, linked to it directly or not.  Of what is left, buckets of a few components are
-    compared pair by pair; larger ones are parted by keys of further bands, each of which takes in members
-    that agree in four more samples, and go through the next level.
+    Every member of a bucket is compared with its leader.  Those whose component then is another are apart;
+    they are compared with each other and with the members that are not apart.
     """
-    members = banded.select("id", F.posexplode("bands").alias("b", "bucket"))
-    payloads = labels = tested = None
-
-    def compare(pairing: DataFrame, tag: str) -> None:
-        """Test the pairs (id, leader) that are new, and join the components of those that link."""
-        nonlocal labels, tested
-        fresh = pairing.select(F.greatest("id", "leader").alias("a"), F.least("id", "leader").alias("b")).distinct()
-        pairs = stage_out(fresh if tested is None else fresh.join(tested, ["a", "b"], "left_anti"), f"near-pairs-{tag}")
-        tested = pairs if tested is None else tested.union(pairs)
-        good = stage_out(_verify(spark, pairs, payloads, threshold), f"near-links-{tag}")
+    members = banded.select("id", F.explode("bands").alias("bucket"))
+    order = F.xxhash64("bucket", "id")  # another order in each bucket, so the leaders differ
+    leader = members.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), F.col("id"))).alias("l"), F.count("*").alias("n")).where("n > 1").select("bucket", F.col("l.id").alias("leader"))
+    pairing = stage_out(members.join(leader, "bucket").where("id <> leader"), "near-members")  # only buckets of two and more
+    payloads = fetch(pairing.select("id").union(pairing.select(F.col("leader").alias("id"))).distinct())
+    labels = stage_out(payloads.select("id", F.col("id").alias("component")), "near-labels")
+    tested = None
+
+    def join(good: DataFrame, tag: str) -> None:
+        """Join the components of linked documents (a, b)."""
+        nonlocal labels
         # Only components that a new link joins are worked on, and only then relabelled.
         by = lambda c: labels.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
         joined = connected_components(good.join(by("a"), "a").join(by("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")), f"near-joined-{tag}")
         moved = joined.select(F.col("id").alias("component"), F.col("component").alias("now"))
         labels = stage_out(labels.join(moved, "component", "left").select("id", F.coalesce("now", "component").alias("component")), f"near-labels-{tag}")
 
-    for level, strides in enumerate((*STRIDES, ())):
-        order = F.xxhash64("bucket", "id")  # another order in each bucket, so the leaders differ
-        leader = members.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), F.col("id"))).alias("l"), F.count("*").alias("n")).where("n > 1").select("bucket", F.col("l.id").alias("leader"))
-        pairing = stage_out(members.join(leader, "bucket").where("id <> leader"), f"near-members-{level}")  # only buckets of two and more
-        if labels is None:
-            ids = pairing.select("id").union(pairing.select(F.col("leader").alias("id"))).distinct()
-            payloads = fetch(ids)
-            labels = stage_out(payloads.select("id", F.col("id").alias("component")), "near-labels")
-        compare(pairing, f"{level}")
-        settled = pairing.select("bucket", F.col("leader").alias("id")).distinct().join(labels, "id").select("bucket", "component")
-        rest = stage_out(pairing.join(labels, "id").join(settled, ["bucket", "component"], "left_anti").select("bucket", "id", "b", "component"), f"near-rest-{level}")
-        firsts = rest.groupBy("bucket", "component").agg(F.min("id").alias("leader"))
-        sizes = firsts.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-        if sizes.isEmpty():
-            break
-        few = firsts.join(sizes.where(F.col("n") <= FEW), "bucket").select("bucket", "leader", F.col("component").alias("other"))
-        compare(rest.join(few, "bucket").where("component > other").select("id", "leader"), f"{level}-few")
-        if not strides:
-            break
-        large = rest.join(sizes.where(F.col("n") > FEW), "bucket", "left_semi").join(banded, "id")
-        finer = F.array(*[F.struct(F.xxhash64("bucket", F.get("bands", (F.col("b") + s) % BANDS)).alias("bucket"), ((F.col("b") + s) % BANDS).alias("b")) for s in strides])
-        members = large.select("id", F.explode(finer).alias("f")).select("id", "f.b", "f.bucket")
+    def compare(pairing: DataFrame, tag: str) -> None:
+        """Test the pairs (id, leader) that are new, and join the components of those that link."""
+        nonlocal tested
+        fresh = pairing.select(F.greatest("id", "leader").alias("a"), F.least("id", "leader").alias("b")).distinct()
+        tested = stage_out(fresh if tested is None else fresh.join(tested, ["a", "b"], "left_anti"), f"near-pairs-{tag}")
+        join(stage_out(_verify(spark, tested, payloads, threshold), f"near-links-{tag}"), tag)
+
+    def unsettled(tag: str) -> tuple[DataFrame, DataFrame]:
+        """Members (bucket, id, component, apart) of buckets of three and more with some apart from the leader, and the sizes n."""
+        lead = pairing.select("bucket", F.col("leader").alias("id")).distinct().join(labels, "id")
+        others = pairing.select("bucket", "id").join(labels, "id").join(lead.select("bucket", F.col("component").alias("first")), "bucket")
+        all_members = others.select("bucket", "id", "component", (F.col("component") != F.col("first")).alias("apart")).union(lead.select("bucket", "id", "component", F.lit(False)))
+        held = stage_out(all_members, f"near-held-{tag}")
+        return held, held.groupBy("bucket").agg(F.count("*").alias("n"), F.max("apart").alias("any")).where("any and n > 2").select("bucket", "n")
+
+    compare(pairing, "leader")
+    held, sizes = unsettled("few")
+    few = stage_out(held.join(sizes.where(F.col("n") <= FEW), "bucket").select("bucket", "id", "component", "apart"), "near-few")
+    firsts = few.where("apart").groupBy("bucket", "component").agg(F.min("id").alias("leader")).withColumnRenamed("component", "other")
+    compare(few.where("apart").join(firsts, "bucket").where("component > other").select("id", "leader"), "few")
+    held, sizes = unsettled("blocks")
+    large = held.join(sizes.where(F.col("n") > FEW), "bucket").select("bucket", "id", "component", "apart")
+    large = stage_out(large.join(payloads.select("id", F.length("payload").alias("size")), "id"), "near-large")
+    cut = large.groupBy("bucket", "apart").agg(F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("size") / BLOCK_BYTES)).alias("cells"))
+    cell = F.pmod(F.xxhash64("id"), F.greatest("cells", F.lit(1)))
+    dealt = stage_out(large.join(cut, ["bucket", "apart"]).select("bucket", "apart", cell.alias("cell"), "id", "component"), "near-dealt")
+    doc = F.struct("id", "component", "payload")
+    blocks = stage_out(dealt.join(payloads, "id").groupBy("bucket", "apart", "cell").agg(F.collect_list(doc).alias("docs")), "near-blocks")
+    join(stage_out(_compare_blocks(blocks, threshold), "near-links-blocks"), "blocks")
     return labels
 
 

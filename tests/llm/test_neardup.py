@@ -102,3 +102,31 @@ def test_components(spark):
     got = {r.id: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     ids = {x for e in edges for x in e if e[0] != e[1]}
     assert got == components(ids, [e for e in edges if e[0] != e[1]])
+
+
+def linked(spark, groups):
+    """Classes by _link_buckets of documents (id: set of shingles) in groups; a group shares one bucket, and nothing else."""
+    docs = {i: np.sort(np.array(sorted(s), dtype=np.uint64)) << np.uint64(32) for g in groups for i, s in g.items()}
+    payloads = spark.createDataFrame([(i, bytearray(nd._payload(s, np.zeros(len(s))))) for i, s in docs.items()], "id long, payload binary")
+    bands = [(i, [-1 - k, *(1000 * i + b for b in range(1, nd.BANDS))]) for k, g in enumerate(groups) for i in g]
+    banded = spark.createDataFrame(bands, "id long, bands array<long>")
+    return {r.id: r.component for r in nd._link_buckets(spark, banded, lambda ids: payloads.join(ids, "id", "left_semi"), nd.THRESHOLD).collect()}
+
+
+def test_large_bucket_is_compared_whole(spark):
+    # 40 pairs of near copies that share a template below the threshold, all in one bucket
+    template = set(range(1, 71))
+    docs = {2 * k + c: template | {1000 * k + 100 + x for x in range(28)} | {1000 * k + 900 + c} for k in range(40) for c in (0, 1)}
+    assert linked(spark, [docs]) == {i: i - i % 2 for i in docs}
+
+
+def test_blocks_compare_all_pairs():
+    rng = np.random.default_rng(15)
+    docs = []
+    for _ in range(60):
+        s = np.sort(rng.choice(60, rng.integers(30, 60), replace=False)).astype(np.uint64)
+        docs.append((s, rng.integers(-6, 12, len(s)) if rng.random() < 0.5 else np.zeros(len(s), dtype=np.int64)))
+    a, b = docs[:25], docs[20:]
+    for t in (0.3, 0.5, 0.8):
+        i, j = nd.alike(a, b, t)
+        assert set(zip(i.tolist(), j.tolist())) == {(x, y) for x in range(len(a)) for y in range(len(b)) if nd.weighted_jaccard(a[x], b[y]) >= t}
