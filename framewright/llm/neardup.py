@@ -334,8 +334,8 @@ def _link_buckets(spark: SparkSession, banded: DataFrame, fetch: Callable[[DataF
     compare(pairing, "leader")
     held, sizes = unsettled("few")
     few = stage_out(held.join(sizes.where(F.col("n") <= FEW), "bucket").select("bucket", "id", "component", "apart"), "near-few")
-    firsts = few.where("apart").groupBy("bucket", "component").agg(F.min("id").alias("leader")).withColumnRenamed("component", "other")
-    compare(few.where("apart").join(firsts, "bucket").where("component > other").select("id", "leader"), "few")
+    mate = few.select("bucket", F.col("id").alias("leader"), F.col("component").alias("other"), F.col("apart").alias("apart2"))
+    compare(few.where("apart").join(mate, "bucket").where("component <> other and (not apart2 or id < leader)").select("id", "leader"), "few")
     held, sizes = unsettled("blocks")
     large = held.join(sizes.where(F.col("n") > FEW), "bucket").select("bucket", "id", "component", "apart")
     large = stage_out(large.join(payloads.select("id", F.length("payload").alias("size")), "id"), "near-large")

@@ -130,3 +130,13 @@ def test_blocks_compare_all_pairs():
     for t in (0.3, 0.5, 0.8):
         i, j = nd.alike(a, b, t)
         assert set(zip(i.tolist(), j.tolist())) == {(x, y) for x in range(len(a)) for y in range(len(b)) if nd.weighted_jaccard(a[x], b[y]) >= t}
+
+
+def test_small_buckets_are_compared_pair_by_pair(spark):
+    # A-B and B-C link, A-C does not: one of the two links is not with the leader unless B leads
+    chain = lambda k: {3 * k + c: {1000 * k + 7 * c + x for x in range(1, 71)} for c in range(3)}
+    # D-E and F-G link, and of the rest only E-F: neither the leader H nor the least of each component sees it
+    runs = lambda k, first: {first + c: {1000 * k + 7 * c + x for x in range(1, 71)} for c in range(4)} | {first + 4: {1000 * k + 500 + x for x in range(70)}}
+    groups = [chain(k) for k in range(24)] + [runs(100 + k, 500 + 5 * k) for k in range(12)]
+    want = {i: min(g) if i - min(g) < 4 else i for g in groups for i in g}
+    assert linked(spark, groups) == want
