@@ -1,7 +1,7 @@
 """Line-level dedup by winnowing, in DataFrame expressions only.
 
 Lines with a word are hashed.  Fingerprints are hashes of two lines in a row, of which each window's
-minimum is selected, and of every single line long enough to count by itself.  A fingerprint is joined to
+minimum is selected, and of every line and two lines in a row long enough to count by themselves.  A fingerprint is joined to
 its first position in the corpus, the match is extended both ways over equal lines, and later runs go.
 """
 
@@ -68,7 +68,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 F.slice(hs, x["pos"] + x["n"] + 1, REACH).alias("after"),
             )
 
-        return F.transform(F.concat(let(grams, winnow), singles), around)
+        def long_pairs(grams: Column) -> Column:
+            found = F.transform(grams, lambda g, i: F.struct(g.alias("fp"), i.alias("pos"), F.lit(2).alias("n")))
+            return F.filter(found, lambda x: F.get(hs, x["pos"])["w"] + F.get(hs, x["pos"] + 1)["w"] >= min_words)
+
+        return F.transform(F.concat(let(grams, lambda g: F.array_union(winnow(g), long_pairs(g))), singles), around)
 
     slim = docs.select(F.col(id_col).alias("id"), _hash(text).alias("th"), hashed.alias("hs"))
     return slim.select("id", "th", F.explode(let(F.col("hs"), chosen)).alias("f")).select("f.fp", "id", "th", "f.pos", "f.n", "f.before", "f.own", "f.after")

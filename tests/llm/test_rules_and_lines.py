@@ -97,3 +97,29 @@ def test_every_line_keeps_one_copy(spark):
     assert {x for _, t in rows for x in t.split("\n")} <= left
     assert sum(n for *_, n in got) > 100
     assert lines.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def missed(rows, got):
+    """Documents of which a line stays that is in a repeat of three lines, or of fewer with 50 words, from earlier lines."""
+    seen, wrong = set(), set()
+    left = {i: t.split("\n") for i, t, _, _ in got}
+    for i, text in sorted(rows):
+        ls, gone = text.split("\n"), set()
+        for p in range(len(ls)):
+            for k in (1, 2, 3):
+                run = tuple(ls[p : p + k])
+                if len(run) == k and (k == 3 or sum(len(x.split()) for x in run) >= 50):
+                    gone |= set(range(p, p + k)) if run in seen else set()
+                    seen.add(run)
+        if any(ls[p] in left[i] for p in gone):  # lines of these tests are unlike within a document
+            wrong.add(i)
+    return wrong
+
+
+def test_two_lines_of_50_words_are_a_run(spark):
+    rows = []
+    for k in range(30):
+        pair = [f"a{k} " + "x " * 24 + "end", f"b{k} " + "y " * 24 + "end"]
+        rows += [(i, "\n".join([f"p{i}", f"q{i}", *pair, f"r{i}", f"s{i}"])) for i in (2 * k, 2 * k + 1)]
+    got = deduped(spark, rows)
+    assert not missed(rows, got) and [n for *_, n in sorted(got)] == [0, 2] * 30
