@@ -1,8 +1,8 @@
 """Line-level dedup by winnowing, in DataFrame expressions only.
 
-Lines with a word are hashed.  Fingerprints are hashes of two lines in a row, of which each window's
-minimum is selected, and of every line and two lines in a row long enough to count by themselves.  A fingerprint is joined to
-its first position in the corpus, the match is extended both ways over equal lines, and later runs go.
+Lines with a word are hashed.  Fingerprints are hashes of every shortest run that counts by itself (three
+lines, or fewer that are long enough), so each meets its own first position in the corpus, and of two lines
+in a row, of which each window's minimum is selected.  Lines under a later fingerprint that form a run go.
 """
 
 from __future__ import annotations
@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 from .shared import let, stage_out, text_or_empty
 
 WINDOW = 2
-#: Lines that a match is extended each way; neighbouring selected fingerprints lie closer than this.
-REACH = 3
 MIN_LINES = 3
 MIN_WORDS = 50
 
@@ -32,17 +30,27 @@ def _n_words(line: Column) -> Column:
     return F.size(F.filter(F.split(line, r"[\x20\x09-\x0D]+"), lambda w: w != ""))
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, min_words: int = MIN_WORDS) -> DataFrame:
-    """One row per selected fingerprint: fp, the document's key (id, text hash), pos, n, and the lines around it.
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, min_words: int = MIN_WORDS, min_lines: int = MIN_LINES) -> DataFrame:
+    """One row per fingerprint: fp, the document's key (id, text hash), pos, n, and the word counts of its lines.
 
-    ``pos`` counts lines with a word from 0; ``n`` is how many lines the fingerprint covers; ``before`` and
-    ``after`` are hash and word count of up to REACH lines on either side, nearest first; ``own`` those covered.
+    ``pos`` counts lines with a word from 0; ``n`` is how many lines the fingerprint covers.
     """
     text = text_or_empty(text_col)
     content = F.filter(F.split(text, "\n"), _has_word)
     hashed = F.transform(content, lambda x: F.struct(_hash(x).alias("h"), _n_words(x).alias("w")))
 
     def chosen(hs: Column) -> Column:
+        def starts(k: int) -> Column:
+            return F.when(F.size(hs) < k, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), F.size(hs) - k))
+
+        def gram(i: Column, k: int) -> Column:
+            return F.get(hs, i)["h"] if k == 1 else _hash(F.concat_ws(",", *[F.get(hs, i + j)["h"].cast("string") for j in range(k)]))
+
+        def runs(k: int) -> Column:
+            """All runs of ``min_lines`` lines; of fewer those with ``min_words`` words."""
+            long = starts(k) if k == min_lines else F.filter(starts(k), lambda i: sum((F.get(hs, i + j)["w"] for j in range(1, k)), F.get(hs, i)["w"]) >= min_words)
+            return F.transform(long, lambda i: F.struct(gram(i, k).alias("fp"), i.alias("pos"), F.lit(k).alias("n")))
+
         def winnow(grams: Column) -> Column:
             pairs = F.transform(grams, lambda g, i: F.struct(g.alias("g"), (-i).alias("ni")))
             last = F.greatest(F.size(grams) - window, F.lit(0))
@@ -51,37 +59,13 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 F.transform(picked, lambda x: F.struct(x["g"].alias("fp"), (-x["ni"]).alias("pos"), F.lit(2).alias("n")))
             )
 
-        grams = F.when(F.size(hs) < 2, F.array().cast("array<bigint>")).otherwise(
-            F.transform(F.sequence(F.lit(0), F.size(hs) - 2), lambda i: _hash(F.concat_ws(",", F.get(hs, i)["h"].cast("string"), F.get(hs, i + 1)["h"].cast("string"))))
-        )
-        singles = F.filter(F.transform(hs, lambda x, i: F.struct(x["h"].alias("fp"), i.alias("pos"), F.lit(1).alias("n"), x["w"].alias("w"))), lambda x: x["w"] >= min_words)
-        singles = F.transform(singles, lambda x: F.struct(x["fp"].alias("fp"), x["pos"].alias("pos"), x["n"].alias("n")))
-
-        def around(x: Column) -> Column:
-            lo = F.greatest(x["pos"] - REACH, F.lit(0))
-            return F.struct(
-                x["fp"].alias("fp"),
-                x["pos"].alias("pos"),
-                x["n"].alias("n"),
-                F.reverse(F.slice(hs, lo + 1, x["pos"] - lo)).alias("before"),
-                F.slice(hs, x["pos"] + 1, x["n"]).alias("own"),
-                F.slice(hs, x["pos"] + x["n"] + 1, REACH).alias("after"),
-            )
-
-        def long_pairs(grams: Column) -> Column:
-            found = F.transform(grams, lambda g, i: F.struct(g.alias("fp"), i.alias("pos"), F.lit(2).alias("n")))
-            return F.filter(found, lambda x: F.get(hs, x["pos"])["w"] + F.get(hs, x["pos"] + 1)["w"] >= min_words)
-
-        return F.transform(F.concat(let(grams, lambda g: F.array_union(winnow(g), long_pairs(g))), singles), around)
+        pairs = let(F.transform(starts(2), lambda i: gram(i, 2)), winnow)
+        found = F.array_distinct(F.concat(pairs, *[runs(k) for k in range(1, min_lines + 1)]))
+        words = lambda x: F.transform(F.slice(hs, x["pos"] + 1, x["n"]), lambda y: y["w"])
+        return F.transform(found, lambda x: F.struct(x["fp"].alias("fp"), x["pos"].alias("pos"), x["n"].alias("n"), words(x).alias("words")))
 
     slim = docs.select(F.col(id_col).alias("id"), _hash(text).alias("th"), hashed.alias("hs"))
-    return slim.select("id", "th", F.explode(let(F.col("hs"), chosen)).alias("f")).select("f.fp", "id", "th", "f.pos", "f.n", "f.before", "f.own", "f.after")
-
-
-def _common(a: Column, b: Column) -> Column:
-    """How many leading elements of two arrays have equal hashes."""
-    same = F.zip_with(a, b, lambda x, y: F.coalesce(x["h"] == y["h"], F.lit(False)))
-    return F.aggregate(same, F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda s, x: F.struct(F.when(s["on"] & x, s["n"] + 1).otherwise(s["n"]).alias("n"), (s["on"] & x).alias("on")))["n"]
+    return slim.select("id", "th", F.explode(let(F.col("hs"), chosen)).alias("f")).select("f.fp", "id", "th", "f.pos", "f.n", "f.words")
 
 
 def repeated_lines(
@@ -93,20 +77,12 @@ def repeated_lines(
     min_words: int = MIN_WORDS,
 ) -> DataFrame:
     """Positions to delete, per document key: id, th, drop (sorted line positions, lines with a word counted from 0)."""
-    prints = stage_out(fingerprints(docs, id_col, text_col, window, min_words), "line-prints")
-    first = (
-        prints.groupBy("fp", "n")
-        .agg(F.min(F.struct("id", "th", "pos", F.transform("before", lambda x: x["h"]).alias("before"), F.transform("after", lambda x: x["h"]).alias("after"))).alias("first"), F.count("*").alias("times"))
-        .where("times > 1")
-        .select("fp", "n", "first")
-    )
+    prints = stage_out(fingerprints(docs, id_col, text_col, window, min_words, min_lines), "line-prints")
+    first = prints.groupBy("fp", "n").agg(F.min(F.struct("id", "th", "pos")).alias("first"), F.count("*").alias("times")).where("times > 1").select("fp", "n", "first")
     matched = prints.join(first, ["fp", "n"]).where(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("th") == F.col("first.th")) & (F.col("pos") == F.col("first.pos"))))
-    wrap = lambda name: F.transform(F.col(name), lambda h: F.struct(h.alias("h")))
-    runs = matched.select("id", "th", "pos", "n", "before", "own", "after", _common(F.col("before"), wrap("first.before")).alias("up"), _common(F.col("after"), wrap("first.after")).alias("down"))
-    lines = F.concat(F.reverse(F.slice("before", F.lit(1), F.col("up"))), "own", F.slice("after", F.lit(1), F.col("down")))
     covered = (
-        runs.select("id", "th", F.posexplode(lines).alias("k", "line"), (F.col("pos") - F.col("up")).alias("from"))
-        .select("id", "th", (F.col("from") + F.col("k")).alias("pos"), F.col("line.w").alias("w"))
+        matched.select("id", "th", "pos", F.posexplode("words").alias("k", "w"))
+        .select("id", "th", (F.col("pos") + F.col("k")).alias("pos"), "w")
         .groupBy("id", "th", "pos")
         .agg(F.min("w").alias("w"))
     )
@@ -131,8 +107,8 @@ def dedup_lines(
     """``docs`` with later repeated runs of lines deleted, and two more columns: n_lines and n_removed.
 
     A run is deleted where it repeats lines at an earlier position, documents in order of id, and has at
-    least ``min_lines`` lines or ``min_words`` words.  Any run of ``window`` + 1 lines that two documents
-    share has a selected fingerprint in both.  A deleted line always equals an earlier one, so one copy of
+    least ``min_lines`` lines or ``min_words`` words.  Any such run is covered by fingerprints of its own,
+    wherever its parts come first.  A deleted line always equals an earlier one, so one copy of
     every line stays.  Rows with the same id and the same text count as one document and come out alike.
     Null texts stay null (no lines); lines without a word neither match nor break a run and stay; a null
     id comes first; an empty table gives no rows.  All columns are kept; the new ones replace columns of

@@ -123,3 +123,14 @@ def test_two_lines_of_50_words_are_a_run(spark):
         rows += [(i, "\n".join([f"p{i}", f"q{i}", *pair, f"r{i}", f"s{i}"])) for i in (2 * k, 2 * k + 1)]
     got = deduped(spark, rows)
     assert not missed(rows, got) and [n for *_, n in sorted(got)] == [0, 2] * 30
+
+
+def test_runs_whose_parts_come_first_elsewhere(spark):
+    rows = []
+    for k in range(20):
+        a, b, c = (f"{x}{k} line" for x in "abc")
+        near = [[a, b], [b, c], [a, b, c], [a, b, c]]  # each pair is first in a document that goes on in another way
+        rows += [(4 * k + j, "\n".join([f"p{k} {j}", *ls, f"q{k} {j}"])) for j, ls in enumerate(near)]
+    got = deduped(spark, rows)
+    assert not missed(rows, got)
+    assert all(n == 3 for i, _, _, n in got if i % 4 == 3) and all(n == 0 for i, _, _, n in got if i % 4 < 2)
