@@ -74,3 +74,16 @@ def test_rects_at_the_edge(spark):
     got = df.select(geometry.rounded_rect(b, n, n).alias("a"), geometry.truncated_rect(b, n, n).alias("b"), geometry.annotation_rect(b, n, n).alias("c")).collect()
     assert tuple(got[0]["a"]) == (0, 2, 18, 5) and tuple(got[0]["b"]) == (0, 2, 20, 5) and tuple(got[0]["c"]) == (0, 2, 17, 5)
     assert got[1]["a"] is None and tuple(got[1]["b"]) == (95, 95, 5, 5) and tuple(got[1]["c"]) == (95, 95, 3, 3)
+
+
+def test_ellipse_outlines_of_every_part(spark, sf_dir):
+    import math
+
+    from framewright.plans.catalog import CATALOG
+
+    keys = [r.p_partkey for r in spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey").collect()]
+    got = {(r.p_partkey, r.idx): (r.x, r.y) for r in CATALOG["ellipse_outlines"].run(spark, sf_dir).collect()}
+    assert max(keys) > 40 and set(got) == {(k, i) for k in keys for i in range(128)}
+    for (k, i), (x, y) in got.items():
+        turn = i * 2 * math.pi / 128
+        assert abs(x - (40 + k % 60) / 2 * (1 + math.cos(turn))) < 1e-3 and abs(y - (30 + k % 50) / 2 * (1 + math.sin(turn))) < 1e-3
