@@ -52,36 +52,25 @@ FROM b
 """
 
 
-LINE_WINNOWING = r"""
-WITH d AS (SELECT doc_id, text, coalesce(text, '') AS t, CAST('0x' || left(md5(coalesce(text, '')), 15) AS BIGINT) AS th FROM documents),
-u AS (SELECT DISTINCT doc_id, th, t FROM d),
-raw AS (SELECT doc_id, th, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM u),
-l AS (SELECT *, row_number() OVER (PARTITION BY doc_id, th ORDER BY i) - 1 AS pos,
-    CAST('0x' || left(md5(line), 15) AS BIGINT) AS h, len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS w
+LINE_DEDUP = r"""
+WITH u AS (SELECT DISTINCT doc_id, coalesce(text, '') AS t FROM documents),
+raw AS (SELECT doc_id, t, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM u),
+l AS (SELECT *, row_number() OVER (PARTITION BY doc_id, t ORDER BY i) AS pos, len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS w
   FROM raw WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
-a AS (SELECT *, lag(h, 1) OVER o AS b1, lag(h, 2) OVER o AS b2, lag(h, 3) OVER o AS b3, lead(h, 1) OVER o AS a1, lead(h, 2) OVER o AS a2, lead(h, 3) OVER o AS a3, lead(h, 4) OVER o AS a4
-  FROM l WINDOW o AS (PARTITION BY doc_id, th ORDER BY pos)),
-g AS (SELECT *, CAST('0x' || left(md5(h || ',' || a1), 15) AS BIGINT) AS fp FROM a WHERE a1 IS NOT NULL),
-s AS (SELECT *, lag(fp) OVER o AS fb, lead(fp) OVER o AS fa, count(*) OVER (PARTITION BY doc_id, th) AS n FROM g WINDOW o AS (PARTITION BY doc_id, th ORDER BY pos)),
-p AS (
-  SELECT doc_id, th, pos, fp, 2 AS n, b1, b2, b3, a2 AS c1, a3 AS c2, a4 AS c3 FROM s WHERE n = 1 OR fp < fa OR fp <= fb
-  UNION ALL SELECT doc_id, th, pos, h, 1, b1, b2, b3, a1, a2, a3 FROM a WHERE w >= 50),
-f AS (SELECT *, first_value({'d': doc_id, 't': th, 'p': pos, 'b1': b1, 'b2': b2, 'b3': b3, 'c1': c1, 'c2': c2, 'c3': c3})
-    OVER (PARTITION BY fp, n ORDER BY doc_id NULLS FIRST, th, pos) AS o FROM p),
-m AS (SELECT doc_id, th, pos, n,
-    CASE WHEN b1 = o.b1 THEN CASE WHEN b2 = o.b2 THEN CASE WHEN b3 = o.b3 THEN 3 ELSE 2 END ELSE 1 END ELSE 0 END AS up,
-    CASE WHEN c1 = o.c1 THEN CASE WHEN c2 = o.c2 THEN CASE WHEN c3 = o.c3 THEN 3 ELSE 2 END ELSE 1 END ELSE 0 END AS down
-  FROM f WHERE NOT (doc_id IS NOT DISTINCT FROM o.d AND th = o.t AND pos = o.p)),
-c AS (SELECT DISTINCT doc_id, th, unnest(range(pos - up, pos + n + down)) AS pos FROM m),
-i AS (SELECT l.*, c.pos - row_number() OVER (PARTITION BY c.doc_id, c.th ORDER BY c.pos) AS island FROM c JOIN l ON c.doc_id IS NOT DISTINCT FROM l.doc_id AND c.th = l.th AND c.pos = l.pos),
-x AS (SELECT *, count(*) OVER r AS k, sum(w) OVER r AS ws FROM i WINDOW r AS (PARTITION BY doc_id, th, island)),
-z AS (SELECT doc_id, th, i FROM x WHERE k >= 3 OR ws >= 50),
-y AS (SELECT raw.doc_id, raw.th, coalesce(string_agg(raw.line, chr(10) ORDER BY raw.i) FILTER (z.i IS NULL), '') AS kept, count(z.i) AS gone,
+a AS (SELECT *, lead(line, 1) OVER o AS l1, lead(line, 2) OVER o AS l2, lead(w, 1) OVER o AS w1 FROM l WINDOW o AS (PARTITION BY doc_id, t ORDER BY pos)),
+runs AS (
+  SELECT doc_id, t, pos, 3 AS n, line AS x, l1 AS y, l2 AS z FROM a WHERE l2 IS NOT NULL
+  UNION ALL SELECT doc_id, t, pos, 2, line, l1, '' FROM a WHERE l1 IS NOT NULL AND w + w1 >= 50
+  UNION ALL SELECT doc_id, t, pos, 1, line, '', '' FROM a WHERE w >= 50),
+f AS (SELECT *, row_number() OVER (PARTITION BY n, x, y, z ORDER BY doc_id NULLS FIRST, t, pos) AS k FROM runs),
+g AS (SELECT DISTINCT doc_id, t, unnest(range(pos, pos + n)) AS pos FROM f WHERE k > 1),
+z AS (SELECT l.doc_id, l.t, l.i FROM g JOIN l ON g.doc_id IS NOT DISTINCT FROM l.doc_id AND g.t = l.t AND g.pos = l.pos),
+y AS (SELECT raw.doc_id, raw.t, coalesce(string_agg(raw.line, chr(10) ORDER BY raw.i) FILTER (z.i IS NULL), '') AS kept, count(z.i) AS gone,
     count(*) FILTER (regexp_matches(raw.line, '[^\x20\x09-\x0D]')) AS k
-  FROM raw LEFT JOIN z ON raw.doc_id IS NOT DISTINCT FROM z.doc_id AND raw.th = z.th AND raw.i = z.i GROUP BY ALL)
+  FROM raw LEFT JOIN z ON raw.doc_id IS NOT DISTINCT FROM z.doc_id AND raw.t = z.t AND raw.i = z.i GROUP BY ALL)
 SELECT d.doc_id, CAST(CASE WHEN text IS NULL THEN 0 ELSE y.k END AS BIGINT) AS n_lines, CAST(y.gone AS BIGINT) AS n_removed,
   CASE WHEN text IS NULL THEN NULL ELSE CAST(length(kept) AS BIGINT) END AS kept_chars, sha256(kept) AS text_sha256
-FROM d JOIN y ON d.doc_id IS NOT DISTINCT FROM y.doc_id AND d.th = y.th
+FROM documents d JOIN y ON d.doc_id IS NOT DISTINCT FROM y.doc_id AND coalesce(d.text, '') = y.t
 """
 
 CHAT = r"""

@@ -80,6 +80,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op5_quality_rules": oracle.quality_rules(),
-    "op7_line_winnowing": oracle.LINE_WINNOWING,
+    "op7_line_winnowing": oracle.LINE_DEDUP,
     "op9_relational_chat": oracle.CHAT,
 }

@@ -1,8 +1,10 @@
 import random
 import re
+import time
 from collections import Counter
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from framewright.llm import lines, rules
@@ -99,38 +101,56 @@ def test_every_line_keeps_one_copy(spark):
     assert lines.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def missed(rows, got):
-    """Documents of which a line stays that is in a repeat of three lines, or of fewer with 50 words, from earlier lines."""
-    seen, wrong = set(), set()
-    left = {i: t.split("\n") for i, t, _, _ in got}
-    for i, text in sorted(rows):
-        ls, gone = text.split("\n"), set()
+def n_words(lines):
+    return sum(len(WS.findall(x)) for x in lines)
+
+
+def brute(rows):
+    """Texts and counts by the definition: every run, of any length, is looked for among all that start earlier."""
+    docs = sorted({(i, t) for i, t in rows}, key=lambda r: (r[0], xxhash.xxh64_intdigest(r[1], seed=42) ^ 1 << 63))
+    content = {d: [k for k, x in enumerate(d[1].split("\n")) if WS.search(x)] for d in docs}
+    seen, want = set(), {}
+    for d in docs:
+        lines = d[1].split("\n")
+        ls, gone = [lines[k] for k in content[d]], set()
         for p in range(len(ls)):
-            for k in (1, 2, 3):
+            for k in range(1, len(ls) - p + 1):
                 run = tuple(ls[p : p + k])
-                if len(run) == k and (k == 3 or sum(len(x.split()) for x in run) >= 50):
+                if k >= 3 or n_words(run) >= 50:
                     gone |= set(range(p, p + k)) if run in seen else set()
-                    seen.add(run)
-        if any(ls[p] in left[i] for p in gone):  # lines of these tests are unlike within a document
-            wrong.add(i)
-    return wrong
+            seen |= {tuple(ls[p : p + k]) for k in range(1, len(ls) - p + 1)}
+        cut = {content[d][p] for p in gone}
+        want[d] = ("\n".join(x for k, x in enumerate(lines) if k not in cut), len(ls), len(gone))
+    return sorted(((i, *want[i, t]) for i, t in rows), key=str)
 
 
-def test_two_lines_of_50_words_are_a_run(spark):
-    rows = []
-    for k in range(30):
-        pair = [f"a{k} " + "x " * 24 + "end", f"b{k} " + "y " * 24 + "end"]
-        rows += [(i, "\n".join([f"p{i}", f"q{i}", *pair, f"r{i}", f"s{i}"])) for i in (2 * k, 2 * k + 1)]
-    got = deduped(spark, rows)
-    assert not missed(rows, got) and [n for *_, n in sorted(got)] == [0, 2] * 30
+def test_equals_brute_force(spark):
+    rng = random.Random(12)
+    for size in (2, 4, 8):
+        pool = [f"l{k}" if rng.random() < 0.6 else f"l{k} " + "w " * rng.choice([20, 24, 30, 60]) for k in range(size * 4)] + ["", "  ", "\t\r"]
+        rows = [(rng.randrange(60), "\n".join(rng.choice(pool) for _ in range(rng.randint(0, 12)))) for _ in range(80)]
+        assert deduped(spark, rows) == brute(rows)
 
 
 def test_runs_whose_parts_come_first_elsewhere(spark):
     rows = []
     for k in range(20):
         a, b, c = (f"{x}{k} line" for x in "abc")
-        near = [[a, b], [b, c], [a, b, c], [a, b, c]]  # each pair is first in a document that goes on in another way
+        near = [[a, b, "x"], [b, c], [a, b, c], [a, b, c]]  # each pair is first in a document that goes on in another way
         rows += [(4 * k + j, "\n".join([f"p{k} {j}", *ls, f"q{k} {j}"])) for j, ls in enumerate(near)]
     got = deduped(spark, rows)
-    assert not missed(rows, got)
-    assert all(n == 3 for i, _, _, n in got if i % 4 == 3) and all(n == 0 for i, _, _, n in got if i % 4 < 2)
+    assert got == brute(rows)
+    assert all(n == 3 * (i % 4 == 3) for i, _, _, n in got)
+
+
+def test_very_long_texts_and_clashing_names(spark):
+    many = "\n".join(f"line {k}" for k in range(100_000))
+    same = "\n".join(["same line"] * 100_000)
+    rows = [(1, many, "a", "b", "c"), (2, many, "a", "b", "c"), (3, same, "a", "b", "c")]
+    began = time.monotonic()
+    out = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, `__key` string, `__DROP` string, `N_Lines` string"))
+    got = {r.doc_id: r for r in out.collect()}
+    assert time.monotonic() - began < 60
+    assert out.columns == ["doc_id", "text", "__key", "__DROP", "n_lines", "n_removed"] and got[2]["__key"] == "a"
+    assert (got[1].n_removed, got[2].n_removed, got[2].text) == (0, 100_000, "")
+    assert got[3].n_removed == 99_999 and got[3].n_lines == 100_000
