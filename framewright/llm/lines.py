@@ -71,10 +71,10 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     with scratch(docs.sparkSession) as result:
         prints = stage_out(fingerprints(docs, id_col, text_col, min_words), "line-prints")
         repeated = stage_out(prints.groupBy("fp").agg(F.count("*").alias("times")).where("times > 1").select("fp"), "line-repeated")
-        runs = stage_out(_extended(prints.join(repeated, "fp")), "line-runs")
+        runs = stage_out(_extended(prints.join(repeated.hint("merge"), "fp")), "line-runs")
         run, place = ["fp", "side", "neighbour"], F.struct("id", "th", "pos")
         first = stage_out(runs.groupBy(*run).agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1").drop("times"), "line-first")
-        later = runs.join(first, run).where(~place.eqNullSafe(F.col("first")))
+        later = runs.join(first.hint("merge"), run).where(~place.eqNullSafe(F.col("first")))
         gone = later.select("id", "th", F.explode(F.sequence("pos", F.col("pos") + F.col("n") - 1)).alias("pos")).distinct()
         return result(gone.groupBy("id", "th").agg(F.sort_array(F.collect_list("pos")).alias("drop")), "line-drops")
 
@@ -90,13 +90,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     id comes first; an empty table gives no rows.  Work on one text grows with its lines, whatever its
     length.  All columns are kept; the new ones replace columns of their name, in whatever case.  Lines and
     grams are compared by hashes of 64 bits.  Fingerprints that a third of all documents share meet only
-    in map-side counts and minima, and in joins whose skewed side the adaptive planner splits.
+    in map-side counts and minima, and in joins whose skewed side the adaptive planner splits.  Those are
+    merge joins at any size: what they join with grows with the corpus.
     """
     names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
     key, other, th, drop = (free_name(c, names) for c in ("__key", "__id", "__th", "__drop"))
     drops = repeated_lines(docs, id_col, text_col, min_words).withColumnsRenamed({"id": other, "th": th, "drop": drop})
     keyed = docs.select(*[F.col(f"`{c}`") for c in names], F.xxhash64(text_or_empty(text_col)).alias(key))
-    both = keyed.join(drops, F.col(f"`{id_col}`").eqNullSafe(F.col(other)) & (F.col(key) == F.col(th)), "left")
+    both = keyed.join(drops.hint("merge"), F.col(f"`{id_col}`").eqNullSafe(F.col(other)) & (F.col(key) == F.col(th)), "left")
 
     def rest(lines: Column) -> Column:
         content = F.filter(F.transform(lines, lambda x, i: F.when(_has_word(x), i)), lambda i: i.isNotNull())
