@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import connected_components, map_texts, roots, stage_out, text_or_empty
+from .shared import connected_components, free_name, map_texts, roots, scratch, stage_out, text_or_empty
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -92,36 +92,32 @@ def _signed(x: int) -> int:
 
 
 def _first_pass(slim: DataFrame) -> DataFrame:
-    """(id, k1, k2) of each row with words, and each task's sketch in blocks as (block, counts)."""
+    """(id, th, k1, k2) of each row, the key null without words, and each task's sketch in blocks as (block, counts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(SKETCH_DEPTH * SKETCH_WIDTH, dtype=np.int64)
+        names = ["id", "th", "k1", "k2", "block", "counts"]
         for batch in batches:
-            k1, k2, keep = [], [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
+            k1, k2 = [], []
+            for text in batch.column(2).to_pylist():
                 hashes = word_hashes(text)
                 if not len(hashes):
+                    k1.append(None)
+                    k2.append(None)
                     continue
                 key = xxhash.xxh3_128_intdigest(hashes.tobytes())
                 k1.append(_signed(key >> 64))
                 k2.append(_signed(key & ((1 << 64) - 1)))
-                keep.append(i)
                 for slots in _slots(np.unique(shingle_hashes(hashes))):
                     np.add.at(sketch, slots, 1)
-            n = len(keep)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(keep, type=pa.int64())), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.int64()))],
-                names=["id", "k1", "k2", "block", "counts"],
-            )
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.int64()))], names=names)
         blocks = sketch.reshape(-1, SKETCH_BLOCK)
         full = np.flatnonzero(blocks.any(axis=1))
-        m = len(full)
-        yield pa.RecordBatch.from_arrays(
-            [pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(full, pa.int32()), pa.array(list(blocks[full]), pa.list_(pa.int64()))],
-            names=["id", "k1", "k2", "block", "counts"],
-        )
+        none = pa.nulls(len(full), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(full, pa.int32()), pa.array(list(blocks[full]), pa.list_(pa.int64()))], names=names)
 
-    return slim.mapInArrow(run, "id long, k1 long, k2 long, block int, counts array<long>")
+    return slim.mapInArrow(run, "id long, th long, k1 long, k2 long, block int, counts array<long>")
 
 
 def idf_table(sketch_blocks: DataFrame, n_docs: int) -> np.ndarray:
@@ -302,6 +298,7 @@ def _link_buckets(spark: SparkSession, banded: DataFrame, fetch: Callable[[DataF
     members = banded.select("id", F.explode("bands").alias("bucket"))
     order = F.xxhash64("bucket", "id")  # another order in each bucket, so the leaders differ
     leader = members.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), F.col("id"))).alias("l"), F.count("*").alias("n")).where("n > 1").select("bucket", F.col("l.id").alias("leader"))
+    leader = stage_out(leader, "near-leaders")  # so that the join with it can part a bucket
     pairing = stage_out(members.join(leader, "bucket").where("id <> leader"), "near-members")  # only buckets of two and more
     payloads = fetch(pairing.select("id").union(pairing.select(F.col("leader").alias("id"))).distinct())
     labels = stage_out(payloads.select("id", F.col("id").alias("component")), "near-labels")
@@ -348,74 +345,105 @@ def _link_buckets(spark: SparkSession, banded: DataFrame, fetch: Callable[[DataF
     return labels
 
 
-def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row per row of ``docs``: ``id_col``, class_id (smallest id of its class) and kept (id = class_id).
+def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
+    """A table of all rows with an id: id, th (hash of the text), class_id, kept (stands for its class).
 
-    Words are runs of letters and digits in lower case.  Texts with the same words in the same order are
-    copies; a text of one to four words is one shingle; null texts and texts without words are classes of
-    their own.  Rows that share an id are one document and are kept or not together; a row with a null id
-    has a null class and is kept.  An empty table gives no rows; other columns are not read.
+    A node is a distinct sequence of words, whatever ids its rows have, so rows of one id with other texts
+    never join classes or lose each other.
     """
     spark = docs.sparkSession
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    first = stage_out(_first_pass(slim.where("id is not null")), "near-first")
-    keyed = first.where("block is null").select("id", "k1", "k2")
-    idf = idf_table(first.where("block is not null").select("block", "counts"), keyed.count())
-    shared_idf = spark.sparkContext.broadcast(idf)
-
-    # One node for each distinct text; its id is the smallest.
-    groups = stage_out(keyed.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "near-groups")
-
-    def make() -> Callable:
-        seen: set[int] = set()
-        idf = shared_idf.value
-
-        def work(texts: list[str], kept: list) -> list[tuple]:
-            out = []
-            for text in texts:
-                hashes = word_hashes(text)
-                key = xxhash.xxh3_128_intdigest(hashes.tobytes())
-                if not len(hashes) or key in seen:  # a copy's buckets are those of the first
-                    out.append((None, None, None))
-                    continue
-                if len(seen) > 1_000_000:
-                    seen.clear()
-                seen.add(key)
-                out.append((_signed(key >> 64), _signed(key & ((1 << 64) - 1)), band_keys(*weighted_shingles(hashes, idf))))
-            return out
-
-        return work
-
-    banded = map_texts(slim.where("id is not null"), [], "text", make, "k1 long, k2 long, bands array<long>").where("k1 is not null")
-    # The same text met by several tasks has the same bands.
-    nodes = stage_out(banded.groupBy("k1", "k2").agg(F.first("bands").alias("bands")).join(groups, ["k1", "k2"]).select(F.col("rep").alias("id"), "bands"), "near-bands")
-
-    def fetch(ids: DataFrame) -> DataFrame:
-        """Weighted shingles of the documents that are in some bucket with another."""
+    text = text_or_empty(text_col)
+    slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text")).where("id is not null")
+    with scratch(spark) as result:
+        first = stage_out(_first_pass(slim), "near-first")
+        rows = first.where("block is null").select("id", "th", "k1", "k2")
+        idf = idf_table(first.where("block is not null").select("block", "counts"), rows.where("k1 is not null").count())
+        shared_idf = spark.sparkContext.broadcast(idf)
+
+        # Nodes get numbers when their table is written; their representative is the row of the smallest id.
+        place = F.struct("id", "th")
+        groups = rows.where("k1 is not null").groupBy("k1", "k2").agg(F.min(place).alias("rep"))
+        groups = stage_out(groups.select("k1", "k2", "rep", F.monotonically_increasing_id().alias("node")), "near-groups")
 
         def make() -> Callable:
+            seen: set[int] = set()
             idf = shared_idf.value
-            return lambda texts, _: [(_payload(*weighted_shingles(word_hashes(t), idf)),) for t in texts]
 
-        chosen = slim.join(ids, "id", "left_semi")
-        return stage_out(map_texts(chosen, ["id"], "text", make, "payload binary").dropDuplicates(["id"]), "near-payloads")
+            def work(texts: list[str], kept: list) -> list[tuple]:
+                out = []
+                for text in texts:
+                    hashes = word_hashes(text)
+                    key = xxhash.xxh3_128_intdigest(hashes.tobytes())
+                    if not len(hashes) or key in seen:  # a copy's buckets are those of the first
+                        out.append((None, None, None))
+                        continue
+                    if len(seen) > 1_000_000:
+                        seen.clear()
+                    seen.add(key)
+                    out.append((_signed(key >> 64), _signed(key & ((1 << 64) - 1)), band_keys(*weighted_shingles(hashes, idf))))
+                return out
+
+            return work
+
+        banded = map_texts(slim, [], "text", make, "k1 long, k2 long, bands array<long>").where("k1 is not null")
+        # The same text met by several tasks has the same bands.
+        nodes = stage_out(banded.groupBy("k1", "k2").agg(F.first("bands").alias("bands")).join(groups, ["k1", "k2"]).select(F.col("node").alias("id"), "bands"), "near-bands")
+
+        def fetch(ids: DataFrame) -> DataFrame:
+            """Weighted shingles of the nodes that are in some bucket with another, from their representative's row."""
+
+            def make() -> Callable:
+                idf = shared_idf.value
+                return lambda texts, _: [(_payload(*weighted_shingles(word_hashes(t), idf)),) for t in texts]
+
+            wanted = groups.join(ids.select(F.col("id").alias("node")), "node", "left_semi").select("node", F.col("rep.id").alias("id"), F.col("rep.th").alias("th"))
+            chosen = slim.join(wanted.hint("merge"), ["id", "th"]).select("node", "text")
+            return stage_out(map_texts(chosen, ["node"], "text", make, "payload binary").dropDuplicates(["node"]).withColumnRenamed("node", "id"), "near-payloads")
+
+        labels = _link_buckets(spark, nodes, fetch, threshold).withColumnsRenamed({"id": "node"})
+        joined = stage_out(groups.join(labels, "node", "left").select("k1", "k2", "rep", F.coalesce("component", "node").alias("component")), "near-joined")
+        heads = stage_out(joined.groupBy("component").agg(F.min("rep").alias("head")), "near-heads")
+        known = stage_out(joined.join(heads, "component").select("k1", "k2", "head"), "near-known")
+        found = rows.join(known, ["k1", "k2"], "left")  # rows without words have no key
+        class_id = F.coalesce(F.col("head.id"), F.col("id"))
+        return result(found.select("id", "th", class_id.alias("class_id"), F.coalesce(F.col("head") == place, F.lit(True)).alias("kept")), "near-classes")
 
-    labels = _link_buckets(spark, nodes, fetch, threshold)
-    # Rows that share an id, or a key, are one node.
-    rows = keyed.join(groups.select("k1", "k2", "rep", "copies"), ["k1", "k2"]).select("id", "rep")
-    node = rows.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("id", F.coalesce("component", "rep").alias("class_id"))
-    node = node.groupBy("id").agg(F.min("class_id").alias("class_id"))
-    return slim.select("id").join(node, "id", "left").select(
-        F.col("id").alias(id_col),
-        F.coalesce("class_id", "id").alias("class_id"),
-        F.coalesce(F.coalesce("class_id", "id") == F.col("id"), F.lit(True)).alias("kept"),
-    )
+
+def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """One row per row of ``docs``: ``id_col``, class_id (smallest id of its class) and kept (stands for its class).
+
+    Words are runs of letters and digits in lower case.  Texts with the same words in the same order are
+    copies; a text of one to four words is one shingle; null texts and texts without words are classes of
+    their own.  Classes are made of texts: rows that share an id but not their words are in the class of
+    their own words each, and both are kept if both come first there, so no text is lost.  Repeated rows
+    (same id and text) come out alike; a row with a null id has a null class and is kept.  An empty table
+    gives no rows; other columns are not read.
+    """
+    found = _classes(docs, id_col, text_col, threshold)
+    without = docs.where(F.col(f"`{id_col}`").isNull()).select(F.lit(None).cast("long").alias("id"), F.lit(None).cast("long").alias("class_id"), F.lit(True).alias("kept"))
+    return found.select("id", "class_id", "kept").union(without).select(F.col("id").alias(id_col), "class_id", "kept")
 
 
 def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that stand for their class, exact repeats of a row's id and text once, all columns kept."""
-    classes = near_duplicate_classes(docs, id_col, text_col, threshold)
-    gone = stage_out(classes.where("not kept").select(F.col(id_col).alias("__id")).distinct(), "near-gone")
-    left = docs.join(gone, docs[id_col] == gone["__id"], "left_anti")
-    with_id = left.where(F.col(id_col).isNotNull()).dropDuplicates([id_col, text_col])
-    return with_id.unionByName(left.where(F.col(id_col).isNull()))
+    """The rows of ``docs`` that stand for their class, all columns kept.
+
+    Of repeated rows (same id and text) the one whose other columns hash least stays, whole.  Null texts and
+    texts without words stay, as do all rows with a null id; an empty table gives no rows; columns of any
+    name pass through.  Only the rows to drop, or to choose among, are found by joins.
+    """
+    names = docs.columns
+    key, gone_id, gone_th, mark = (free_name(c, names) for c in ("__key", "__id", "__th", "__mark"))
+    own = F.col(f"`{id_col}`").cast("long")
+    with scratch(docs.sparkSession) as result:
+        classes = _classes(docs, id_col, text_col, threshold)
+        # One row for each (id, text) that does not simply pass: dropped, or kept but found more than once.
+        marked = classes.groupBy("id", "th").agg(F.first("kept").alias("kept"), F.count("*").alias("n")).where("not kept or n > 1")
+        marked = result(marked.select(F.col("id").alias(gone_id), F.col("th").alias(gone_th), F.col("kept").alias(mark)), "near-marked")
+    keyed = docs.withColumn(key, F.xxhash64(text_or_empty(text_col)))
+    both = keyed.join(marked.hint("merge"), (own == F.col(gone_id)) & (F.col(key) == F.col(gone_th)), "left").where(F.col(mark).isNull() | F.col(mark))
+    single = both.where(F.col(mark).isNull()).select(*[F.col(f"`{c}`") for c in names])
+    repeated = both.where(F.col(mark).isNotNull())
+    order = F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in names])))
+    whole = F.struct(*[F.col(f"`{c}`") for c in names])
+    chosen = repeated.groupBy(gone_id, gone_th).agg(F.min_by(whole, order).alias(mark)).select(F.col(f"{mark}.*"))
+    return single.unionByName(chosen)

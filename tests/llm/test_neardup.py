@@ -63,6 +63,17 @@ def test_classes_equal_brute_force(spark):
     assert all(kept == (i == c) for i, (c, kept) in got.items())
 
 
+def test_rows_that_share_ids_lose_no_text(spark):
+    rng = random.Random(19)
+    one, two = " ".join(words(rng, 80)), " ".join(words(rng, 90))
+    docs = spark.createDataFrame([(2, one, "a"), (5, one, "b"), (5, two, "c"), (7, two, "d"), (7, two, "e"), (9, two.upper(), "f")], "doc_id long, text string, __key string")
+    got = sorted((r.doc_id, r.class_id, r.kept) for r in nd.near_duplicate_classes(docs).collect())
+    assert got == [(2, 2, True), (5, 2, False), (5, 5, True), (7, 5, False), (7, 5, False), (9, 5, False)]
+    assert sorted(tuple(r) for r in nd.keep_one_each(docs).collect()) == [(2, one, "a"), (5, two, "c")]
+    again = docs.where("doc_id = 7")
+    assert [r.doc_id for r in nd.keep_one_each(again).collect()] == [7]
+
+
 def test_samples_agree_as_often_as_the_sets_are_alike():
     rng = np.random.default_rng(8)
     agree = []
@@ -83,6 +94,27 @@ def test_weighted_jaccard():
     assert nd.weighted_jaccard(nd._unpack(nd._payload(s, np.zeros(99))), nd._unpack(nd._payload(s, np.zeros(99)))) == 1.0
 
 
+def test_a_group_of_200_near_copies(spark, monkeypatch):
+    # all levels: leaders, small buckets and blocks; the classes are those of all pairs
+    monkeypatch.setattr(nd, "BLOCK_ROWS", 16)
+    rng = random.Random(20)
+    base, rows = words(rng, 120), []
+    for k in range(200):
+        own = list(base)
+        for _ in range(rng.randint(0, 7)):
+            own[rng.randrange(len(own))] = f"own{rng.random()}"
+        rows.append((k, " ".join(own)))
+    rows += [(200 + k, " ".join([*base[:70], *words(rng, 30)])) for k in range(60)]  # share a passage below the threshold
+    held = {}
+    table = nd.idf_table
+    monkeypatch.setattr(nd, "idf_table", lambda blocks, n: held.setdefault("idf", table(blocks, n)))
+    got = {r.doc_id: r.class_id for r in nd.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    bags = {i: nd.weighted_shingles(nd.word_hashes(t), held["idf"]) for i, t in rows}
+    pairs = [(a, b) for a, b in combinations(bags, 2) if nd.weighted_jaccard(bags[a], bags[b]) >= nd.THRESHOLD]
+    want = components(bags, pairs)
+    assert got == want and 30 < len(set(want.values())) < 240
+
+
 def test_edges_of_the_contract(spark):
     long = " ".join(words(random.Random(9), 20000))
     rows = [(1, "a b c", "x"), (5, "A  b, C!", "x"), (2, None, "x"), (3, "", "x"), (None, "a b c", "x"), (4, "?!", "x"), (6, long, "x"), (7, long + " end", "x"), (1, "a b c", "x"), (8, "a b d", "x")]
@@ -99,9 +131,11 @@ def test_edges_of_the_contract(spark):
 def test_components(spark):
     rng = random.Random(10)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + k, 1001 + k) for k in range(60)] + [(5000, 5000 + k) for k in range(200)]
-    got = {r.id: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     ids = {x for e in edges for x in e if e[0] != e[1]}
-    assert got == components(ids, [e for e in edges if e[0] != e[1]])
+    want = components(ids, [e for e in edges if e[0] != e[1]])
+    df = spark.createDataFrame(edges, "a long, b long")
+    for few in (10_000, 0):  # one task; rounds
+        assert {r.id: r.component for r in connected_components(df, few_edges=few).collect()} == want
 
 
 def linked(spark, groups):
