@@ -2,7 +2,7 @@
 
 1. Exact copies (same words in the same order) meet by key and are one node from there on.
 2. Document frequencies of five-word shingles go into a count-min sketch of fixed size over all documents.
-   A weight is term frequency times ln(1 + N / (df + N)); the sketch errs by a fixed share of N at
+   A weight is term frequency times ln(1 + N / (df + N / 4)); the sketch errs by a fixed share of N at
    any size of the corpus, far below that pseudo-count.
 3. Improved consistent weighted sampling draws 64 samples of a document's weighted shingles; 16 bands of
    four are its buckets.
@@ -37,7 +37,8 @@ BLOCK_ROWS, BLOCK_BYTES = 256, 2_000_000
 WIDE, SLACK = 4096, 1e-4
 SKETCH_WIDTH, SKETCH_DEPTH = 1 << 16, 2
 SKETCH_BLOCK = 32
-PSEUDO = 1.0
+#: Share of the corpus added to each document frequency: idf lies between ln 5 (found nowhere) and ln 1.8 (everywhere).
+PSEUDO = 0.25
 #: Weights lie on the grid 2 ** (level / LEVELS_PER_OCTAVE).
 LEVELS_PER_OCTAVE, LOWEST, HIGHEST = 8, -24, 103
 TABLE_BITS = 16

@@ -44,7 +44,7 @@ def test_classes_equal_brute_force(spark):
     for h in sets.values():
         for s in np.unique(nd.shingle_hashes(h)).tolist():
             df[s] = df.get(s, 0) + 1
-    weight = lambda c: np.log1p(n / (c + n)) / np.log1p(1)
+    weight = lambda c: np.log1p(n / (c + n / 4)) / np.log1p(4)
     bags = {}
     for i, h in sets.items():
         s, tf = np.unique(nd.shingle_hashes(h), return_counts=True)
