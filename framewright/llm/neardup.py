@@ -338,6 +338,7 @@ def _link_buckets(spark: SparkSession, banded: DataFrame, fetch: Callable[[DataF
     large = held.join(sizes.where(F.col("n") > FEW), "bucket").select("bucket", "id", "component", "apart")
     large = stage_out(large.join(payloads.select("id", F.length("payload").alias("size")), "id"), "near-large")
     cut = large.groupBy("bucket", "apart").agg(F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("size") / BLOCK_BYTES)).alias("cells"))
+    cut = stage_out(cut, "near-cut")  # so that a bucket's rows need not meet for the join
     cell = F.pmod(F.xxhash64("id"), F.greatest("cells", F.lit(1)))
     dealt = stage_out(large.join(cut, ["bucket", "apart"]).select("bucket", "apart", cell.alias("cell"), "id", "component"), "near-dealt")
     doc = F.struct("id", "component", "payload")
