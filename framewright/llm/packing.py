@@ -2,58 +2,68 @@
 
 Pieces are dealt into groups of bounded size; within a group each piece goes where the sum of the squared
 counts of open sequences per residual gap becomes smallest.  The sequences still open at the end (at most
-one for each gap and count, whatever the group's size) are emptied and packed again, fullest fit first.
+one for each gap and count, whatever the group's size) are emptied and packed again, largest first.
 """
 
 from __future__ import annotations
 
 import bisect
+import os
 import re
 import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain, compress
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .shared import flat_map_texts, stage_out, text_groups
+from .shared import flat_map_texts, free_name, scratch, stage_out, text_groups
 
 CAPACITY = 2048
 SEPARATOR_ID = 0
 
 # The split pattern of the vocabulary file (fixed value).
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
+#: Below this code point any Unicode tables agree on letters, numbers and lower case, and nothing composes.
+SETTLED = "\u0180"
 
 
 class WordBpe:
-    """Ids of a lower-casing word BPE file, as little-endian 32-bit bytes.
+    """Ids of a lower-casing word BPE file, as the library gives them, as little-endian 32-bit bytes.
 
     No word spans white space, so a text's ids are those of its blank-separated chunks one after the other.
-    Chunks and words are cached with a bound; each distinct word goes through the library once.
+    Chunks of settled code points are lowered and split here, all new ones at once; the library merges each
+    distinct word once.  It gets other chunks as they are, and whole texts that hold a special token's string.
+    One cache of bounded size has chunks and words, as a word is its own only word.
     """
 
-    def __init__(self, path: str, cache_limit: int = 500_000):
+    def __init__(self, path: str, cache_limit: int = 1_000_000):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallel part
+        self.whole = Tokenizer.from_file(path)
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
         # Words come normalised and split, so the library need only part them at blanks.
         self.model.normalizer = normalizers.Sequence([])
         self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.find = regex.compile(WORDS).findall
-        self.find_ascii = re.compile(WORDS.replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9").replace(r"\s", r"\x09-\x0d\x20")).findall
+        kinds = {k: re.escape("".join(c for c in map(chr, range(ord(SETTLED))) if unicodedata.category(c)[0] == k)) for k in "LN"}
+        pattern = WORDS.replace(r"\p{L}", kinds["L"]).replace(r"\p{N}", kinds["N"]).replace(r"\s", r"\x09-\x0d\x20")
+        self.find = re.compile(rf"{pattern}|\n").findall
         # str.split() also parts at four control characters that are no white space for the file's pattern
         self.odd = re.compile("[\x1c-\x1f]").search
         self.blank = regex.compile(r"[^\s]+").findall
+        self.special = re.compile("|".join(re.escape(t.content) for t in self.whole.get_added_tokens_decoder().values()) or r"(?!)").search
         self.ends = np.zeros(self.model.get_vocab_size() + 1, dtype=bool)
         for token, i in self.model.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
-        self.words: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
+        self.cache: dict[str, bytes] = {}
         self.limit = cache_limit
 
     @classmethod
@@ -61,47 +71,63 @@ class WordBpe:
     def load(cls, path: str) -> "WordBpe":
         return cls(path)
 
-    @staticmethod
-    def normal(text: str) -> str:
-        """As the file's normaliser: composed, then lowered letter by letter (so without final sigma)."""
-        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-
     def _learn_words(self, words: list[str]) -> None:
-        """One call encodes all words; a token with the word-end mark closes a word."""
-        ids = np.array(self.model.encode(" ".join(words), add_special_tokens=False).ids, dtype="<u4")
-        stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-        if len(stops) == len(words):
-            data = ids.tobytes()
-            self.words.update((w, data[4 * a : 4 * b]) for w, a, b in zip(words, [0, *stops], stops))
-        else:
-            for w in words:
-                self.words[w] = np.array(self.model.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _learn_chunks(self, chunks: list[str]) -> None:
-        find, find_ascii, normal = self.find, self.find_ascii, self.normal
-        split = []
-        for c in chunks:
-            if c.isascii():
-                low = c.lower()  # already composed
-                split.append([low] if low.isalpha() else find_ascii(low))
+        """One call encodes many words; a token with the word-end mark closes a word."""
+        for at in range(0, len(words), 4000):
+            part = words[at : at + 4000]
+            ids = np.array(self.model.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(stops) == len(part):
+                data = ids.tobytes()
+                self.cache.update((w, data[4 * a : 4 * b]) for w, a, b in zip(part, [0, *stops], stops))
+            else:
+                self.cache.update((w, self._ids(e)) for w, e in zip(part, self.model.encode_batch_fast(part, add_special_tokens=False)))
+
+    @staticmethod
+    def _ids(encoding) -> bytes:
+        return np.array(encoding.ids, dtype="<u4").tobytes()
+
+    def _learn_chunks(self, chunks: set[str]) -> None:
+        cache = self.cache
+        settled = [c for c in chunks if c.isascii() or max(c) < SETTLED]
+        if len(settled) < len(chunks):
+            others = list(chunks.difference(settled))
+            cache.update(zip(others, map(self._ids, self.whole.encode_batch_fast(others, add_special_tokens=False))))
+        if not settled:
+            return
+        flat = self.find("\n".join([*settled, ""]).lower())
+        words = set(flat)
+        words.discard("\n")
+        self._learn_words(list(words.difference(cache)))
+        look, at = cache.__getitem__, 0
+        for c in settled:
+            stop = flat.index("\n", at)
+            if stop == at + 1:
+                cache[c] = look(flat[at])
             else:
-                split.append(find(normal(c)))
-        if len(self.words) > self.limit:
-            self.words.clear()
-        if new := set().union(*split).difference(self.words):
-            self._learn_words(list(new))
-        look = self.words.__getitem__
-        self.chunks.update(zip(chunks, [look(ws[0]) if len(ws) == 1 else b"".join(map(look, ws)) for ws in split]))
+                cache[c] = b"".join(map(look, flat[at:stop]))
+            at = stop + 1
 
     def encode_batch(self, texts: list[str]) -> Iterator[bytes]:
-        split = [self.blank(x) if self.odd(x) else x.split() for x in texts]
-        if len(self.chunks) > self.limit:
-            self.chunks.clear()
-        if new := set().union(*split).difference(self.chunks):
-            self._learn_chunks(list(new))
-        look = self.chunks.__getitem__
-        for chunks in split:
-            yield b"".join(map(look, chunks))
+        split = [[] if "<" in x and self.special(x) else self.blank(x) if self.odd(x) else x.split() for x in texts]
+        flat = list(chain.from_iterable(split))
+        parts = list(map(self.cache.get, flat))
+        missing = [p is None for p in parts]
+        if any(missing):
+            new = set(compress(flat, missing))
+            if len(self.cache) > self.limit:
+                self.cache.clear()
+            self._learn_chunks(new)
+            look = self.cache.__getitem__
+            for i in compress(range(len(flat)), missing):
+                parts[i] = look(flat[i])
+        at = 0
+        for x, chunks in zip(texts, split):
+            if not chunks and x:
+                yield self._ids(self.whole.encode(x, add_special_tokens=False))
+            else:
+                yield b"".join(parts[at : at + len(chunks)])
+                at += len(chunks)
 
 
 PIECE_SCHEMA = "piece int, start long, length long, ids_crc32 long"
@@ -125,7 +151,7 @@ def cut_pieces(
         coder, end = WordBpe.load(tokenizer_file), SEPARATOR_ID.to_bytes(4, "little")
 
         def work(texts: list[str], _: list) -> Iterator[tuple[int, tuple]]:
-            coded = (data for group in text_groups(texts) for data in coder.encode_batch(group))
+            coded = (data for group in text_groups(texts, 4_000_000) for data in coder.encode_batch(group))
             for i, data in enumerate(coded):
                 data += end
                 for k, at in enumerate(range(0, len(data), 4 * capacity)):
@@ -138,36 +164,8 @@ def cut_pieces(
     return flat_map_texts(docs, [id_col], text_col, make, PIECE_SCHEMA + (", ids array<long>" if with_ids else ""))
 
 
-def repack(items: list[list[int]], lengths: list[int], left: list[int], capacity: int) -> list[list[int]]:
-    """``items`` with the bins ``left`` emptied and filled again by best fit, largest first, if that needs fewer."""
-    again = sorted((i for b in left for i in items[b]), key=lambda i: (-lengths[i], i))
-    fresh: list[list[int]] = []
-    gaps: list[tuple[int, int]] = []
-    for i in again:
-        at = bisect.bisect_left(gaps, (lengths[i], -1))
-        if at == len(gaps):
-            room, b = capacity, len(fresh)
-            fresh.append([])
-        else:
-            room, b = gaps.pop(at)
-        fresh[b].append(i)
-        if room > lengths[i]:
-            bisect.insort(gaps, (room - lengths[i], b))
-    if len(fresh) >= len(left):
-        return items
-    gone = set(left)
-    return [x for b, x in enumerate(items) if b not in gone] + fresh
-
-
-def sum_of_squares(lengths: list[int], capacity: int = CAPACITY) -> tuple[list[int], list[int]]:
-    """Bin and offset of each item, in the order given.
-
-    Opening a bin for an item of size s adds 2 N(capacity - s) + 1 to the sum of squares; filling a bin of
-    gap g adds 2 (N(g - s) - N(g)) + 2, or 1 - 2 N(s) where it closes.  The smallest change wins, the
-    smallest gap on ties.  Bins left open are then emptied and their items placed by best fit, largest
-    first; that result is taken if it needs fewer bins.
-    """
-    n = len(lengths)
+def _place(lengths: list[int], capacity: int) -> tuple[list[list[int]], list[int]]:
+    """Items of each bin, every item put where the sum of squares becomes smallest, and the bins left open."""
     counts = np.zeros(capacity + 1, dtype=np.int64)
     big = np.iinfo(np.int64).max // 4
     waiting: list[list[int]] = [[] for _ in range(capacity + 1)]  # bins by gap
@@ -195,8 +193,47 @@ def sum_of_squares(lengths: list[int], capacity: int = CAPACITY) -> tuple[list[i
         if gap > s:
             waiting[gap - s].append(b)
             counts[gap - s] += 1
-    items = repack(items, lengths, [b for bins in waiting for b in bins], capacity)
-    bins, offsets = [0] * n, [0] * n
+    return items, [b for bins in waiting for b in bins]
+
+
+def _best_fit(lengths: list[int], capacity: int) -> tuple[list[list[int]], list[int]]:
+    """As :func:`_place`, but every item goes to the fullest bin that has room, the oldest on ties."""
+    items: list[list[int]] = []
+    gaps: list[tuple[int, int]] = []
+    for i, s in enumerate(lengths):
+        at = bisect.bisect_left(gaps, (s, -1))
+        if at == len(gaps):
+            room, b = capacity, len(items)
+            items.append([])
+        else:
+            room, b = gaps.pop(at)
+        items[b].append(i)
+        if room > s:
+            bisect.insort(gaps, (room - s, b))
+    return items, [b for _, b in gaps]
+
+
+def sum_of_squares(lengths: list[int], capacity: int = CAPACITY) -> tuple[list[int], list[int]]:
+    """Bin and offset of each item, in the order given.
+
+    Opening a bin for an item of size s adds 2 N(capacity - s) + 1 to the sum of squares; filling a bin of
+    gap g adds 2 (N(g - s) - N(g)) + 2, or 1 - 2 N(s) where it closes.  The smallest change wins, the
+    smallest gap on ties, the bin filled last among those of a gap.  Bins left open are then emptied and
+    their items placed again by the same rule, largest first, as long as that needs fewer bins; what then
+    is still open gets best fit instead, if that needs fewer.
+    """
+    items, left = _place(lengths, capacity)
+    for rule in (_place, _best_fit):
+        while left:
+            again = sorted((i for b in left for i in items[b]), key=lambda i: (-lengths[i], i))
+            fresh, still = rule([lengths[i] for i in again], capacity)
+            if len(fresh) >= len(left):
+                break
+            gone = set(left)
+            items = [x for b, x in enumerate(items) if b not in gone]
+            left = [len(items) + b for b in still]
+            items += [[again[i] for i in x] for x in fresh]
+    bins, offsets = [0] * len(lengths), [0] * len(lengths)
     for b, members in enumerate(items):
         at = 0
         for i in members:
@@ -210,24 +247,23 @@ def pack_pieces(pieces: DataFrame, n_groups: int, capacity: int = CAPACITY, id_c
 
     Groups are dealt by a hash of the whole row, so no document, source or length gathers in one of them,
     and each is packed by one task whose memory the group's size bounds.  A lost task repeats the same
-    placement, as rows are ordered by content first.
+    placement, as rows are first ordered by a second hash of their content; rows that tie are equal.  Ids
+    stay in Arrow, so ids of any type, nulls and large numbers among them, come out as they were.
     """
     order = [id_col, "piece", "start", "length", "ids_crc32"]
-    key = F.pmod(F.xxhash64(*order), F.lit(n_groups)).alias("__group")
-    dealt = pieces.select(*order, key)
-    schema = dealt.drop("__group").schema.simpleString()[len("struct<") : -1].replace(":", " ")
+    group, rank = free_name("__group", pieces.columns), free_name("__rank", pieces.columns)
+    columns = [F.col(f"`{c}`") for c in order]
+    dealt = pieces.select(*columns, F.xxhash64(F.lit(1), *columns).alias(rank), F.pmod(F.xxhash64(*columns), F.lit(n_groups)).alias(group))
+    schema = T.StructType([*dealt.schema.fields[:-2], T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
-    def pack(group: pd.DataFrame) -> pd.DataFrame:
-        number = int(group["__group"].iloc[0])
-        group = group.drop(columns="__group")
-        mixed = group["ids_crc32"].to_numpy() * 2654435761 % (1 << 32)  # neither long nor short pieces first
-        group = group.iloc[np.lexsort([group[c].to_numpy() for c in reversed(order)] + [mixed])].reset_index(drop=True)
-        bins, offsets = sum_of_squares(group["length"].tolist(), capacity)
-        group["sequence_id"] = [number << 36 | b for b in bins]
-        group["offset"] = offsets
-        return group
+    def pack(table: pa.Table) -> pa.Table:
+        number = table.column(group)[0].as_py()
+        table = table.take(pc.sort_indices(table, [(c, "ascending") for c in (rank, "piece", "length", "ids_crc32")])).drop_columns([rank, group])
+        bins, offsets = sum_of_squares(table.column("length").to_pylist(), capacity)
+        table = table.append_column("sequence_id", pa.array([number << 36 | b for b in bins], pa.int64()))
+        return table.append_column("offset", pa.array(offsets, pa.int64()))
 
-    return dealt.groupBy("__group").applyInPandas(pack, f"{schema}, sequence_id long, offset long")
+    return dealt.groupBy(group).applyInArrow(pack, schema)
 
 
 def pack_documents(
@@ -241,10 +277,12 @@ def pack_documents(
     """Pack all documents into sequences of at most ``capacity`` tokens.
 
     Returns one row per piece: ``id_col``, piece, start, length, ids_crc32, sequence_id, offset.  Null
-    texts count as empty, repeated rows are packed each, an empty table gives no rows, other columns are
-    not read.  Only the small piece rows are shuffled, never a text.  ``group_pieces`` bounds a task's
-    work; a group wastes about one sequence, one in some thousands.
+    texts count as empty, ids of any type come out untouched (nulls too), repeated rows are packed each,
+    an empty table gives no rows, very long texts are cut, other columns are not read.  Only the small
+    piece rows are shuffled, never a text.  ``group_pieces`` bounds a task's work; a group wastes about one
+    sequence, one in some thousands.
     """
-    pieces = stage_out(cut_pieces(docs, tokenizer_file, capacity, id_col, text_col), "pieces")
-    groups = max(1, -(-pieces.count() // group_pieces))
-    return pack_pieces(pieces, groups, capacity, id_col)
+    with scratch(docs.sparkSession) as result:
+        pieces = stage_out(cut_pieces(docs, tokenizer_file, capacity, id_col, text_col), "pieces")
+        groups = max(1, -(-pieces.count() // group_pieces))
+        return result(pack_pieces(pieces, groups, capacity, id_col), "packed")
