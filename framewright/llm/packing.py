@@ -14,12 +14,11 @@ import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import chain, compress
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,7 +37,7 @@ SETTLED = "\u0180"
 class WordBpe:
     """Ids of a lower-casing word BPE file, as the library gives them, as little-endian 32-bit bytes.
 
-    No word spans white space, so a text's ids are those of its blank-separated chunks one after the other.
+    No word spans white space, so a text's ids are those of its chunks between ASCII blanks one after the other.
     Chunks of settled code points are lowered and split here, all new ones at once; the library merges each
     distinct word once.  It gets other chunks as they are, and whole texts that hold a special token's string.
     One cache of bounded size has chunks and words, as a word is its own only word.
@@ -54,11 +53,8 @@ class WordBpe:
         self.model.normalizer = normalizers.Sequence([])
         self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         kinds = {k: re.escape("".join(c for c in map(chr, range(ord(SETTLED))) if unicodedata.category(c)[0] == k)) for k in "LN"}
-        pattern = WORDS.replace(r"\p{L}", kinds["L"]).replace(r"\p{N}", kinds["N"]).replace(r"\s", r"\x09-\x0d\x20")
+        pattern = WORDS.replace(r"\p{L}", kinds["L"]).replace(r"\p{N}", kinds["N"]).replace(r"\s", r"\x09-\x0d\x20\x85\xa0")
         self.find = re.compile(rf"{pattern}|\n").findall
-        # str.split() also parts at four control characters that are no white space for the file's pattern
-        self.odd = re.compile("[\x1c-\x1f]").search
-        self.blank = regex.compile(r"[^\s]+").findall
         self.special = re.compile("|".join(re.escape(t.content) for t in self.whole.get_added_tokens_decoder().values()) or r"(?!)").search
         self.ends = np.zeros(self.model.get_vocab_size() + 1, dtype=bool)
         for token, i in self.model.get_vocab().items():
@@ -108,26 +104,36 @@ class WordBpe:
                 cache[c] = b"".join(map(look, flat[at:stop]))
             at = stop + 1
 
-    def encode_batch(self, texts: list[str]) -> Iterator[bytes]:
-        split = [[] if "<" in x and self.special(x) else self.blank(x) if self.odd(x) else x.split() for x in texts]
-        flat = list(chain.from_iterable(split))
-        parts = list(map(self.cache.get, flat))
+    def _ids_of(self, chunks: list[str]) -> list[bytes]:
+        parts = list(map(self.cache.get, chunks))
         missing = [p is None for p in parts]
         if any(missing):
-            new = set(compress(flat, missing))
             if len(self.cache) > self.limit:
                 self.cache.clear()
-            self._learn_chunks(new)
+            self._learn_chunks(set(compress(chunks, missing)))
             look = self.cache.__getitem__
-            for i in compress(range(len(flat)), missing):
-                parts[i] = look(flat[i])
-        at = 0
-        for x, chunks in zip(texts, split):
-            if not chunks and x:
-                yield self._ids(self.whole.encode(x, add_special_tokens=False))
-            else:
-                yield b"".join(parts[at : at + len(chunks)])
-                at += len(chunks)
+            for i in compress(range(len(chunks)), missing):
+                parts[i] = look(chunks[i])
+        return parts
+
+    def encode_batch(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of each text.  Only distinct chunks become Python objects; their ids are dealt out by number."""
+        alone = {i: self._ids(self.whole.encode(x, add_special_tokens=False)) for i, x in enumerate(texts) if "<" in x and self.special(x)}
+        split = pc.ascii_split_whitespace(pa.array(["" if i in alone else x for i, x in enumerate(texts)] if alone else texts, pa.large_string()))
+        coded = split.values.dictionary_encode()
+        parts = self._ids_of(coded.dictionary.to_pylist())
+        size = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // 4
+        first = np.cumsum(size) - size
+        flat = np.frombuffer(b"".join(parts), dtype="<u4")
+        chunk = coded.indices.to_numpy()
+        n = size[chunk]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        place = np.repeat(first[chunk] - ends[:-1], n)
+        place += np.arange(len(place))
+        ids = flat[place]
+        bounds = ends[split.offsets.to_numpy()].tolist()
+        for i, (a, b) in enumerate(zip(bounds, bounds[1:])):
+            yield alone[i] if i in alone else ids[a:b].tobytes()
 
 
 PIECE_SCHEMA = "piece int, start long, length long, ids_crc32 long"
