@@ -1,11 +1,12 @@
 """Personal data: exact base patterns, and identifiers that bootstrapped contexts add.
 
 Base spans of four kinds come from fixed patterns.  They are the seeds: the words to their left and right
-become lexical patterns.  Tokens that look only loosely like an identifier are candidates.  Patterns and
+become lexical patterns; a word is a run of letters and digits, the same where patterns are made and where
+their words are counted.  Tokens that look only loosely like an identifier are candidates.  Patterns and
 instances form a bipartite graph that Spark scores in rounds: a pattern by the share of all its word's
 occurrences that stand at known instances of a kind (with enough different ones), an instance by the
 patterns it is seen in.  Candidates that reach the threshold join the known instances of the next round,
-and their occurrences become spans.  Base spans always stay.
+and their occurrences become spans; rounds go on until none is new.  Base spans always stay.
 """
 
 from __future__ import annotations
@@ -13,13 +14,15 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import count as count_up
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import map_texts, stage_out, text_or_empty
+from .shared import free_name, map_texts, scratch, stage_out, text_or_empty
 
 KINDS = ["email", "ip", "card", "phone"]
 #: Bits of the filter of words to count.
@@ -33,6 +36,8 @@ _card = re.compile(r"[0-9](?:[\x20-]?[0-9])++").finditer
 _phone = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]").finditer
 _digit = re.compile(r"[0-9]").search
 _not_digit = re.compile(r"[^0-9]+")
+_word = re.compile(r"\w+").finditer
+_words = re.compile(r"\w+").findall
 
 # Loose shapes of candidates, tried in this order.
 _loose = [
@@ -91,9 +96,29 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def _near(text: str, start: int, stop: int) -> tuple[str | None, str | None]:
-    """The word before (or what precedes within the same token) and the word after, in lower case."""
-    left, right = text[max(0, start - 64) : start].split(), text[stop : stop + 64].split()
-    return (left[-1].lower() if left else None), (right[0].lower() if right else None)
+    """The words before and after, in lower case, whole at any length; only as much text is looked at as it takes."""
+    left = right = None
+    size = 64
+    while left is None:
+        lo = max(0, start - size)
+        last = None
+        for last in _word(text[lo:start]):
+            pass
+        if last and (last.start() or not lo):
+            left = last.group().lower()
+        elif not lo:
+            break
+        size *= 4
+    size = 64
+    while right is None:
+        hi = min(len(text), stop + size)
+        first = next(_word(text[stop:hi]), None)
+        if first and (stop + first.end() < hi or hi == len(text)):
+            right = first.group().lower()
+        elif hi == len(text):
+            break
+        size *= 4
+    return left, right
 
 
 def occurrences(text: str, spans: list[tuple[int, int, int]]) -> list[tuple]:
@@ -105,7 +130,7 @@ def occurrences(text: str, spans: list[tuple[int, int, int]]) -> list[tuple]:
     at = 0
     for m in re.finditer(r"\S+", text):
         word = m.group()
-        if len(word) > 320 or not ("@" in word or _digit(word)):
+        if not ("@" in word or _digit(word)):
             continue
         core = word.strip(".,;:!?\"'()[]<>")
         start = m.start() + word.find(core) if core else m.start()
@@ -144,26 +169,37 @@ def _scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 class _Wanted(dict):
-    """Whether a word falls into a slot of the filter."""
+    """A word in lower case, or None where its slot of the filter is empty."""
 
-    def __init__(self, slots: frozenset[int]):
+    def __init__(self, bits: bytes):
         super().__init__()
-        self.slots = slots
+        self.bits = bits
 
-    def __missing__(self, word: str) -> bool:
+    def __missing__(self, word: str) -> str | None:
         if len(self) > 500_000:
             self.clear()
-        hit = self[word] = (xxhash.xxh64_intdigest(word, seed=42) & (WORD_SLOTS - 1)) in self.slots
+        low = word.lower()
+        slot = xxhash.xxh64_intdigest(low, seed=42) & (WORD_SLOTS - 1)
+        hit = self[word] = low if self.bits[slot >> 3] >> (slot & 7) & 1 else None
         return hit
 
 
+def word_filter(words: DataFrame) -> bytes:
+    """One bit for each hash slot that a word falls into; its size is fixed, and so is the number of rows collected."""
+    slot = F.xxhash64("word").bitwiseAND(WORD_SLOTS - 1)
+    blocks = words.select(F.shiftright(slot, 6).cast("int").alias("block"), F.expr("shiftleft(1L, cast(xxhash64(word) & 63 AS int))").alias("bit")).groupBy("block").agg(F.bit_or("bit").alias("bits"))
+    table = np.zeros(WORD_SLOTS // 64, dtype="<i8")
+    for r in blocks.collect():  # at most WORD_SLOTS / 64 rows
+        table[r["block"]] = r["bits"]
+    return table.tobytes()
+
+
 def count_words(docs: DataFrame, text_col: str, words: DataFrame) -> DataFrame:
     """(word, total) over all texts for the given words.
 
     A filter of fixed size, one bit for each hash slot, goes to the tasks, so they count little else.
     """
-    slots = words.select(F.xxhash64("word").bitwiseAND(WORD_SLOTS - 1).alias("s")).distinct()
-    wanted = docs.sparkSession.sparkContext.broadcast(frozenset(r["s"] for r in slots.collect()))  # at most WORD_SLOTS numbers
+    wanted = docs.sparkSession.sparkContext.broadcast(word_filter(words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hit, counts = _Wanted(wanted.value), Counter()
@@ -175,7 +211,7 @@ def count_words(docs: DataFrame, text_col: str, words: DataFrame) -> DataFrame:
 
         for batch in batches:
             for x in batch.column(0).to_pylist():
-                counts.update([w for w in x.lower().split() if hit[w]])
+                counts.update(filter(None, map(hit.__getitem__, _words(x))))
                 if len(counts) > 400_000:
                     yield flush()
         yield flush()
@@ -184,11 +220,12 @@ def count_words(docs: DataFrame, text_col: str, words: DataFrame) -> DataFrame:
     return counted.groupBy("word").agg(F.sum("n").alias("total")).join(words, "word", "left_semi")
 
 
-def bootstrap(occ: DataFrame, count: Callable[[DataFrame], DataFrame], rounds: int = 3, min_support: int = 5, min_precision: float = 0.2, accept: float = 0.5) -> DataFrame:
+def bootstrap(occ: DataFrame, count: Callable[[DataFrame], DataFrame], min_support: int = 5, min_precision: float = 0.2, accept: float = 0.5) -> DataFrame:
     """Accepted candidates as (kind, inst), from occurrences; ``count`` gives (word, total) of a table of words.
 
     A pattern (side, word, kind) is trusted with at least ``min_support`` different known instances and
     ``min_precision`` of the word's occurrences; an instance scores 1 - product of (1 - precision).
+    Known instances only become more, so the rounds end: after the first that adds none.
     """
     sides = F.array(F.struct(F.lit("L").alias("side"), F.col("left").alias("word")), F.struct(F.lit("R").alias("side"), F.col("right").alias("word")))
     edges = stage_out(
@@ -206,7 +243,7 @@ def bootstrap(occ: DataFrame, count: Callable[[DataFrame], DataFrame], rounds: i
         return accepted
     useful = stage_out(edges.join(hopeful, ["kind", "side", "word"], "left_semi"), "pii-useful")
     totals = stage_out(count(hopeful.select("word").distinct()), "pii-totals")
-    for k in range(rounds):
+    for k in count_up():
         known = useful.where("known").select("kind", "inst", "side", "word", "times")
         known = known.union(useful.where("not known").join(accepted, ["kind", "inst"], "left_semi").select("kind", "inst", "side", "word", "times"))
         patterns = (
@@ -228,25 +265,26 @@ def bootstrap(occ: DataFrame, count: Callable[[DataFrame], DataFrame], rounds: i
         grown = new.count() > accepted.count()
         accepted = new
         if not grown:
-            break
-    return accepted
+            return accepted
 
 
 def _found(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """Base spans of all rows, and spans that the contexts add by document key (id, th, added)."""
-    rows = stage_out(_scan(docs, id_col, text_col), "pii-scan")
-    occ = rows.select("id", "th", F.explode("occ").alias("o")).select("id", "th", "o.*")
-    accepted = bootstrap(occ, lambda words: count_words(docs, text_col, words))
-    hits = occ.where("not known").join(accepted, ["kind", "inst"], "left_semi")
-    added = stage_out(hits.groupBy("id", "th").agg(F.sort_array(F.collect_set(F.struct("kind", "start", "stop"))).alias("added")), "pii-added")
-    return rows.select("id", "th", "base"), added
+    """Tables of the base spans of all rows, and of spans that the contexts add by document key (id, th, added)."""
+    with scratch(docs.sparkSession) as result:
+        rows = stage_out(_scan(docs, id_col, text_col), "pii-scan")
+        occ = rows.select("id", "th", F.explode("occ").alias("o")).select("id", "th", "o.*")
+        accepted = bootstrap(occ, lambda words: count_words(docs, text_col, words))
+        hits = occ.where("not known").join(accepted, ["kind", "inst"], "left_semi")
+        added = result(hits.groupBy("id", "th").agg(F.sort_array(F.collect_set(F.struct("kind", "start", "stop"))).alias("added")), "pii-added")
+        return result(rows.select("id", "th", "base"), "pii-base"), added
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``id_col``, base and added spans (kind, start, stop in code points).
 
     Null texts count as empty and have no spans; rows with the same id and the same text come out alike; a
-    null id is kept; an empty table gives no rows; other columns are not read.
+    null id is kept; an empty table gives no rows; other columns are not read.  Texts, words and
+    candidates of any length are taken whole, in linear time.
     """
     found, added = _found(docs, id_col, text_col)
     added = added.withColumnsRenamed({"id": "__id", "th": "__th"})
@@ -260,6 +298,10 @@ def _listed(spans: Column) -> Column:
 
 
 def digests(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """One row per row of :func:`find_personal_data`: base counts by kind, a hash of the base spans, and all spans listed.
+
+    A row without spans has zeros, the hash of the empty string and an empty list; an empty table gives no rows.
+    """
 
     def tally(kind: int) -> Column:
         return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
@@ -284,15 +326,19 @@ def redact_text(text: str, spans: list[tuple[int, int, int]]) -> str:
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 10_000) -> DataFrame:
     """``docs`` with all personal data replaced by its kind's name; every column kept, null texts stay null.
 
-    Added spans are joined by the document's key: broadcast if there are at most ``broadcast_rows``
-    documents with any, else by a shuffle.
+    Repeated rows come out alike, each; a null id is a document like others; an empty table gives no
+    rows; columns may have any names.  Added spans are joined by the document's key: broadcast if there
+    are at most ``broadcast_rows`` documents with any and ten times as many spans, else by a shuffle.
     """
-    added = _found(docs, id_col, text_col)[1].withColumnsRenamed({"id": "__id", "th": "__th", "added": "__added"})
-    few = added.limit(broadcast_rows + 1).count() <= broadcast_rows
-    text = text_or_empty(text_col)
-    keyed = docs.withColumn("__key", F.xxhash64(text, F.length(text)))
-    joined = keyed.join(F.broadcast(added) if few else added, keyed[id_col].eqNullSafe(added["__id"]) & (keyed["__key"] == added["__th"]), "left")
     names = docs.columns
+    key, other, th, more = (free_name(c, names) for c in ("__key", "__id", "__th", "__added"))
+    added = _found(docs, id_col, text_col)[1].withColumnsRenamed({"id": other, "th": th, "added": more})
+    n, spans = added.agg(F.count("*"), F.sum(F.size(more))).first()
+    few = n <= broadcast_rows and (spans or 0) <= 10 * broadcast_rows
+    text = text_or_empty(text_col)
+    keyed = docs.withColumn(key, F.xxhash64(text, F.length(text)))
+    matched = F.col(f"`{id_col}`").eqNullSafe(F.col(other)) & (F.col(key) == F.col(th))
+    joined = keyed.join(F.broadcast(added) if few else added, matched, "left")
     place = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,4 +352,4 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broa
             columns[place] = pa.array(texts, type=columns[place].type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return joined.select(*[F.col(f"`{c}`") for c in names], "__added").mapInArrow(run, docs.schema)
+    return joined.select(*[F.col(f"`{c}`") for c in names], more).mapInArrow(run, docs.schema)

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -46,6 +47,43 @@ def test_contexts_add_unseen_identifiers(spark):
     assert d[100].n_phone == 0 and d[100].spans == "phone:13:25" and d[0].n_phone == 1
 
 
+def added(spark, texts):
+    got = pii.find_personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    return {texts[r.doc_id][s.start : s.stop] for r in got for s in r.added}
+
+
+def test_plain_numbers_beside_punctuation_are_left_alone(spark):
+    texts = [f"w{i} x{i} +1 555 010 {1000 + i}, y{i} z{i}" for i in range(30)] + [f"the town{i} has 1234511{i}, people{i} and 555-010-77{i:02d}. More" for i in range(30)]
+    assert added(spark, texts) == set()
+    often = [f"call +1 555 010 {1000 + i} now" for i in range(10)] + ["we call 5550107779 a number"] + ["to call, Call; (call) a thing"] * 40
+    assert added(spark, often) == set()  # the word stands mostly elsewhere, whatever signs touch it
+
+
+def test_rounds_go_on_to_the_end(spark):
+    number = lambda k, i: f"555-0{k}0-{1000 + i}"
+    texts = [f"word0 +1 555 010 {1000 + i}" for i in range(8)]
+    for k in range(1, 8):
+        texts += [f"word{k - 1} {number(k, i)}" for i in range(6)] + [f"word{k} {number(k, i)}" for i in range(6)] * 2
+    assert added(spark, texts) == {number(k, i) for k in range(1, 8) for i in range(6)}
+
+
+def test_words_and_candidates_of_any_length_are_whole(spark):
+    long, mail = "l" * 500, "a" * 400 + "@host"
+    texts = [f"{long} {' ' * 300}x{i}@y.example.org" for i in range(8)] + [f"{long}: {mail} end"]
+    assert added(spark, texts) == {mail}
+    assert pii._near("ab cd" + " " * 999 + "X" + "." * 999 + "ÉF", 1004, 1005) == ("cd", "éf") and pii._near("..1..", 2, 3) == (None, None)
+    began = time.monotonic()
+    pii.occurrences("w" * 500_000 + " 1@2.3 " + "." * 500_000 + " 4@5.6 7@8.9", pii.base_spans("w" * 500_000 + " 1@2.3 " + "." * 500_000 + " 4@5.6 7@8.9"))
+    assert time.monotonic() - began < 20
+
+
+def test_columns_of_any_name_survive(spark):
+    rows = [(1, "a@b.cd", "k", "i", "t", "a")] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __key string, __ID string, `__th` string, __added string")
+    got = pii.redact(docs)
+    assert got.columns == docs.columns and [tuple(r) for r in got.collect()] == [(1, "<EMAIL>", "k", "i", "t", "a")] * 2
+
+
 def test_redaction_and_edges(spark):
     rows = [(1, "mail a.b@c.de now +1 (555) 010-2030.", "x"), (2, None, "x"), (3, "", "x"), (None, "10.0.0.1", "x"), (1, "mail a.b@c.de now +1 (555) 010-2030.", "x"), (4, "clean é 12", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, base string")
