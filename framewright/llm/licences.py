@@ -7,6 +7,7 @@ are one candidate, and its window is aligned with the template inside a band.
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections import defaultdict
 from collections.abc import Callable, Iterator
@@ -15,14 +16,15 @@ from functools import lru_cache
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .shared import flat_map_texts
+from .shared import flat_map_texts, map_texts
 
-GRAM, WINDOW, BAND = 3, 3, 6
+GRAM, WINDOW = 3, 3
+BAND = 6
 MIN_COVERAGE = 0.8
 
-# Notices and opening paragraphs of public licences (fixed values).
+# Public licences (fixed values): whole texts of short ones without their copyright lines; of long ones the
+# whole notice that they tell authors to put into files (-header); one-line statements (-notice).
 TEMPLATES = {
     "mit-notice": "Released under the MIT License.",
     "mit-notice-licensed": "Licensed under the MIT License.",
@@ -31,16 +33,17 @@ TEMPLATES = {
     "cc-by-nc-4.0-notice": "Licensed under CC BY-NC 4.0.",
     "cc-by-4.0-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "cc-by-sa-4.0-notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
-    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
-    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
-    "bsd-3-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
-    "apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
-    "gpl-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
-    "gpl-2.0": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
-    "lgpl-2.1": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
-    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
-    "unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
-    "zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely.",
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "bsd-2-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "bsd-3-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. This notice may not be removed or altered from any source distribution.",
+    "unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE. For more information, please refer to https://unlicense.org",
+    "apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    "gpl-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/.",
+    "gpl-2.0-header": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.",
+    "lgpl-2.1-header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details. You should have received a copy of the GNU Lesser General Public License along with this library; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.",
+    "mpl-2.0-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
 }
 
 _word = re.compile(r"\w+")
@@ -72,6 +75,11 @@ def winnow(hashes: np.ndarray, window: int) -> list[int]:
     return picked
 
 
+def band_of(n: int) -> int:
+    """Words by which a match of a template of ``n`` may drift: never so many that it reaches a copy beside it."""
+    return max(2, min(BAND, n // 4), n // 16)
+
+
 class Index:
     """Templates as word ids, and their fingerprints' places."""
 
@@ -79,11 +87,13 @@ class Index:
         self.names = list(templates)
         self.vocab: dict[str, int] = {}
         self.words: list[np.ndarray] = []
+        self.bands: list[int] = []
         self.places: dict[int, list[tuple[int, int]]] = defaultdict(list)
         self.gram = gram
         for t, text in enumerate(templates.values()):
             ids = np.array([self.vocab.setdefault(w.lower(), len(self.vocab) + 1) for w in _word.findall(text)], dtype=np.int64)
             self.words.append(ids)
+            self.bands.append(band_of(len(ids)))
             hashes = _grams(ids, gram)
             for p in winnow(hashes, window):
                 self.places[int(hashes[p])].append((t, p))
@@ -132,31 +142,47 @@ def align(template: np.ndarray, words: np.ndarray, shift: int, band: int = BAND)
     return max(best[-1], key=lambda c: c[0])
 
 
-def matches(text: str, index: Index, min_coverage: float = MIN_COVERAGE, band: int = BAND) -> list[tuple[str, int, float, int, int]]:
-    """(template, matched words, coverage, start, stop) of licence texts found, by start; overlaps go to the better covered."""
+def _common(template: np.ndarray, words: np.ndarray, size: int) -> int:
+    """Words in common in whatever order, so no alignment has more."""
+    return int(np.minimum(np.bincount(template, minlength=size)[1:], np.bincount(words, minlength=size)[1:]).sum())
+
+
+def apart(found: list[tuple[int, float, int, int, int]]) -> list[tuple[int, float, int, int, int]]:
+    """Of spans (matched, coverage, first, last, template) those that overlap none before them in rank, by place."""
+    kept: list[tuple[int, int, tuple]] = []
+    for f in sorted(found, key=lambda f: (-f[0], -f[1], f[2], f[4])):
+        at = bisect.bisect_left(kept, (f[2],))  # kept ones are apart, so only the neighbours can overlap
+        if (at == len(kept) or f[3] < kept[at][0]) and (at == 0 or kept[at - 1][1] < f[2]):
+            kept.insert(at, (f[2], f[3], f))
+    return [f for _, _, f in kept]
+
+
+def matches(text: str, index: Index, min_coverage: float = MIN_COVERAGE) -> list[tuple[str, int, float, int, int]]:
+    """(template, matched words, coverage, start, stop) of licence texts found, by start; overlaps go to the one that matches more."""
     look = index.vocab.get
-    ids = np.array([look(w, 0) for w in _word.findall(text.lower())], dtype=np.int64)
-    if not index.hits(ids):
+    ids = np.array([look(w.lower(), 0) for w in _word.findall(text)], dtype=np.int64)
+    hits = index.hits(ids)
+    if not hits:
         return []
-    tokens = [(m.start(), m.end(), m.group().lower()) for m in _word.finditer(text)]
-    ids = np.array([look(w, 0) for _, _, w in tokens], dtype=np.int64)
-    groups: dict[tuple[int, int], None] = {}
-    for t, diagonal, _ in sorted(index.hits(ids)):
-        if not any((t, d) in groups for d in range(diagonal - band // 2, diagonal + band // 2 + 1)):
-            groups[(t, diagonal)] = None
+    diagonals: dict[int, list[int]] = defaultdict(list)
+    for t, diagonal, _ in sorted(hits):
+        if not diagonals[t] or diagonal > diagonals[t][-1] + index.bands[t] // 2:
+            diagonals[t].append(diagonal)
     found = []
-    for t, diagonal in groups:
-        template = index.words[t]
-        lo = max(0, diagonal - band)
-        n, first, last = align(template, ids[lo : max(0, diagonal + len(template) + band)], diagonal - lo, band)
-        if n / len(template) >= min_coverage:
-            found.append((n, n / len(template), lo + first, lo + last, t))
-    found.sort(key=lambda f: (-f[0], -f[1], f[2], f[4]))
-    kept: list[tuple] = []
-    for f in found:
-        if all(f[3] < g[2] or g[3] < f[2] for g in kept):
-            kept.append(f)
-    return [(index.names[t], n, c, tokens[a][0], tokens[b][1]) for n, c, a, b, t in sorted(kept, key=lambda f: f[2])]
+    for t, several in diagonals.items():
+        template, band = index.words[t], index.bands[t]
+        for diagonal in several:
+            lo = max(0, diagonal - band)
+            window = ids[lo : max(0, diagonal + len(template) + band)]
+            if _common(template, window, len(index.vocab) + 1) < min_coverage * len(template):
+                continue
+            n, first, last = align(template, window, diagonal - lo, band)
+            if n / len(template) >= min_coverage:
+                found.append((n, n / len(template), lo + first, lo + last, t))
+    if not found:
+        return []
+    places = [m.span() for m in _word.finditer(text)]
+    return [(index.names[t], n, c, places[a][0], places[b][1]) for n, c, a, b, t in apart(found)]
 
 
 SCHEMA = "license string, matched int, coverage double, start int, stop int"
@@ -166,7 +192,7 @@ def scan_licences(docs: DataFrame, templates: dict[str, str] = TEMPLATES, min_co
     """One row per licence text found: ``id_col``, license, matched, coverage, start and stop in code points.
 
     Whole texts are scanned.  Null and empty texts, and an empty table, give no rows; repeated rows give
-    theirs each; a null id is kept; other columns are not read.  No shuffle.
+    theirs each; a null id is kept; other columns are not read.  Very long texts are scanned whole.  No shuffle.
     """
     items = tuple(templates.items())
 
@@ -183,11 +209,28 @@ def scan_licences(docs: DataFrame, templates: dict[str, str] = TEMPLATES, min_co
     return flat_map_texts(docs, [id_col], text_col, make, SCHEMA)
 
 
-def per_document(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """One row for every document id: how many licence texts it holds, the best coverage, and all spans."""
-    spans = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start", "stop", "license"))), lambda s: F.concat_ws(":", s["license"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
-    sums = found.groupBy(F.col(id_col).alias("__id")).agg(F.count("*").alias("n"), F.max("coverage").alias("best"), spans.alias("spans"))
-    ids = docs.select(id_col)
-    return ids.join(sums, ids[id_col].eqNullSafe(sums["__id"]), "left").select(
-        id_col, F.coalesce("n", F.lit(0)).cast("long").alias("n_licenses"), F.coalesce("best", F.lit(0.0)).alias("best_coverage"), F.coalesce("spans", F.lit("")).alias("spans")
-    )
+REPORT = "n_licenses long, best_coverage double, spans string"
+
+
+def licence_report(docs: DataFrame, templates: dict[str, str] = TEMPLATES, min_coverage: float = MIN_COVERAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: ``id_col``, how many licence texts it holds, the best coverage, and all spans by place.
+
+    Spans read license:start:stop, comma-joined.  A row without any (null and empty texts too) has 0, 0.0
+    and an empty string; rows that share an id are reported each by itself; a null id is kept; an empty
+    table gives no rows; other columns are not read.  Whole texts are scanned, in the pass that reads them.
+    """
+    items = tuple(templates.items())
+
+    def make() -> Callable:
+        index = _index(items)
+
+        def work(texts: list[str], _: list) -> list[tuple]:
+            out = []
+            for text in texts:
+                found = matches(text, index, min_coverage)
+                out.append((len(found), max((c for _, _, c, _, _ in found), default=0.0), ",".join(f"{name}:{a}:{b}" for name, _, _, a, b in found)))
+            return out
+
+        return work
+
+    return map_texts(docs, [id_col], text_col, make, REPORT)

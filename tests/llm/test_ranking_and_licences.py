@@ -71,9 +71,76 @@ def test_scan(spark):
         by.setdefault(r.doc_id, []).append(r)
     assert [r.license for r in sorted(by[1], key=lambda r: r.start)] == ["mit", "apache-2.0-notice"]
     first = min(by[1], key=lambda r: r.start)
-    assert text[first.start : first.stop].startswith("Permission") and text[first.start : first.stop].endswith("Software") and 0.9 < first.coverage < 1
+    assert text[first.start : first.stop].startswith("Permission") and text[first.start : first.stop].endswith("SOFTWARE") and 0.9 < first.coverage < 1
     assert by[None][0].coverage == 1.0 and len(by[5]) == 2 and by[5][0].start == 250000 and not {2, 3, 4} & set(by)
-    whole = licences.per_document(docs, found)
-    assert whole.count() == 7 and {r.doc_id: r.n_licenses for r in whole.collect()}[2] == 0
+    whole = licences.licence_report(docs).collect()
+    assert len(whole) == 7 and {r.doc_id: (r.n_licenses, r.best_coverage, r.spans) for r in whole}[2] == (0, 0.0, "")
+    assert {r.doc_id: r.n_licenses for r in whole} == {1: 2, 2: 0, 3: 0, None: 1, 4: 0, 5: 1}
     assert licences.scan_licences(docs.where("false")).count() == 0
     assert first.coverage == pytest.approx(first.matched / len(licences._word.findall(mit)))
+
+
+def test_rows_that_share_an_id_are_reported_each(spark):
+    mit, nothing = licences.TEMPLATES["mit-notice"], "nothing"
+    docs = spark.createDataFrame([(1, mit, "x"), (1, nothing, "x"), (1, f"{mit} {mit}", "x")], "doc_id long, text string, spans string")
+    assert sorted((r.n_licenses, r.spans) for r in licences.licence_report(docs).collect()) == [(0, ""), (1, "mit-notice:0:30"), (2, "mit-notice:0:30,mit-notice:32:62")]
+    assert licences.licence_report(docs.where("false")).count() == 0
+
+
+def test_whole_licences_are_told_from_their_openings():
+    index = licences.Index(licences.TEMPLATES)
+    for name, text in licences.TEMPLATES.items():
+        assert [(m[0], m[2]) for m in licences.matches(f"Before it. {text} After it.", index)] == [(name, 1.0)]
+    assert not licences.matches(licences.TEMPLATES["mit"].split("THE SOFTWARE IS")[0], index)
+
+
+def brute_scan(text, index, min_coverage):
+    """Every template aligned without a band at every word where one of its words is; overlaps go by rank."""
+    words = [w.lower() for w in licences._word.findall(text)]
+    ids = np.array([index.vocab.get(w, 0) for w in words])
+    found = {}
+    for t, template in enumerate(index.words):
+        n, band = len(template), index.bands[t]
+        for at in range(-n, len(ids)):
+            lo = max(0, at - band)
+            part = ids[lo : max(0, at + n + band)]
+            m, first, last = licences.align(template, part, at - lo, band)
+            if m / n >= min_coverage:
+                found[t, lo + first, lo + last] = max(m, found.get((t, lo + first, lo + last), 0))
+    kept = []
+    for (t, a, b), m in sorted(found.items(), key=lambda f: (-f[1], -f[1] / len(index.words[f[0][0]]), f[0][1], f[0][0])):
+        if all(b < a2 or b2 < a for _, a2, b2 in kept):
+            kept.append((t, a, b))
+    return sorted((a, index.names[t]) for t, a, b in kept)
+
+
+def test_scan_finds_what_brute_force_finds():
+    rng = random.Random(21)
+    names = ["mit-notice", "apache-2.0-notice", "cc-by-4.0-notice", "gpl-3.0-notice", "mpl-2.0-header", "cc-by-nc-4.0-notice"]
+    index = licences.Index({k: licences.TEMPLATES[k] for k in names})
+    compared = 0
+    for _ in range(25):
+        words = [f"w{rng.randrange(99)}" for _ in range(rng.randint(0, 8))]
+        for name in rng.sample(names, rng.randint(0, 3)):
+            part = licences._word.findall(licences.TEMPLATES[name])
+            for _ in range(rng.randint(0, max(1, len(part) // 14))):
+                k = rng.randrange(len(part))
+                part[k : k + 1] = rng.choice([[], ["other"], [part[k], "more"]])
+            words += [*part, *(f"w{rng.randrange(99)}" for _ in range(rng.randint(1, 8)))]
+        text = " ".join(words)
+        starts = {m.start(): k for k, m in enumerate(licences._word.finditer(text))}
+        got = [(starts[a], name) for name, _, _, a, _ in licences.matches(text, index)]
+        assert got == brute_scan(text, index, licences.MIN_COVERAGE), text
+        compared += len(got)
+    assert compared > 15
+
+
+def test_overlaps_are_settled_in_order_of_rank():
+    rng = random.Random(22)
+    for _ in range(100):
+        spans = [(rng.randint(1, 9), 1.0, a, a + rng.randint(0, 6), 0) for a in (rng.randrange(40) for _ in range(20))]
+        kept = []
+        for f in sorted(spans, key=lambda f: (-f[0], -f[1], f[2], f[4])):
+            if all(f[3] < g[2] or g[3] < f[2] for g in kept):
+                kept.append(f)
+        assert licences.apart(spans) == sorted(kept, key=lambda f: f[2])
