@@ -45,11 +45,32 @@ def test_bound_drops_no_pair():
     b = np.vstack([a[:40] + rng.normal(size=(40, 16)) * 0.3, rng.normal(size=(40, 16))])
     axes = np.linalg.qr(rng.normal(size=(16, 16)))[0]
     for t in (0.2, 0.5, 0.9):
-        i, j = vectors.compare_tiles(a, b, axes, t, False)
+        i, j = (np.concatenate(x) for x in zip(*vectors.compare_tiles(a, b, axes, t, False)))
         u, v = (x / np.linalg.norm(x, axis=1)[:, None] for x in (a, b))
         assert set(zip(i.tolist(), j.tolist())) == set(zip(*(x.tolist() for x in np.nonzero(u @ v.T >= t))))
 
 
+def test_vectors_of_several_lengths_are_compared_length_by_length(spark):
+    rows = sample()
+    others = [(1000 + i, v[:8]) for i, v in rows[:30]] + [(2000, [1.0] * 65)]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vectors.near_vectors(spark.createDataFrame([(i, v, "x") for i, v in rows + others], SCHEMA), tile_rows=16).collect()}
+    assert got == brute(rows) | brute(others[:-1]) | {2000: (0, 2000, True)}
+
+
+def test_clustered_tiles_apart_are_not_compared(spark, monkeypatch):
+    rng = np.random.default_rng(23)
+    centers = np.linalg.qr(rng.normal(size=(12, 12)))[0]
+    rows = [(i, (centers[i % 12] + rng.normal(size=12) * 0.05).tolist()) for i in range(240)]
+    df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<double>, n_links string")
+    assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vectors.near_vectors(df, tile_rows=10).collect()} == brute(rows)
+
+
+def test_tiles_cover_all_rows():
+    y = np.random.default_rng(24).normal(size=(1000, 3))
+    parts = list(vectors.cut_tiles(y, np.arange(1000), 64))
+    assert sorted(np.concatenate(parts).tolist()) == list(range(1000)) and max(map(len, parts)) <= 64 and len(parts) == 16
+
+
 def test_unusable_vectors_link_with_nothing(spark):
     v = [1.0, 2.0]
     rows = [(1, v), (2, v), (3, None), (4, [0.0, 0.0]), (5, [None, 2.0]), (6, [float("nan"), 1.0]), (7, [float("inf"), 1.0]), (None, v), (8, [1.0]), (2, v), (9, [1e30, 2e30]), (10, [])]
