@@ -24,8 +24,9 @@ def test_pair_loss_orders_and_quantile_cuts():
     x = np.stack([y * 1.5 + rng.normal(size=400), rng.normal(size=400)], axis=1)
     w = ranking.fit_pairs(x, y, pairs=20000)
     assert w[0] > 0.8 and abs(w[1]) < 0.4
-    cut = ranking.best_quantile(np.array([0.0, 1.0, 2.0, 3.0]), np.array([0, 0, 1, 1]))
-    assert 1 < cut < 2
+    u = np.array([0.0, 1.0, 2.0, 3.0])
+    assert ranking.best_quantile(u, np.array([0, 0, 1, 1])) == 0.5 and 1 < ranking.at_quantile(u, 0.5) < 2
+    assert ranking.at_quantile(u, 0) < 0 and ranking.at_quantile(u, 1) > 3 and ranking.at_quantile(u[:0], 0.5) == 0.0
     assert (ranking.fit_pairs(x, np.ones(400)) == 0).all() and ranking.best_quantile(np.zeros(0), np.zeros(0)) == 0.0
 
 
