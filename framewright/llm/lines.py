@@ -79,8 +79,8 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return result(gone.groupBy("id", "th").agg(F.sort_array(F.collect_list("pos")).alias("drop")), "line-drops")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with later repeated runs of lines deleted, and two more columns: n_lines and n_removed.
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """``docs`` with later repeated runs of lines deleted, and two more columns, named by ``counts``: lines with a word, and how many went.
 
     A run is three lines or more, or fewer with at least ``min_words`` words; lines without a word do not
     count.  A line is deleted exactly if it is in a run that stands at an earlier position too: documents in
@@ -93,7 +93,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     in map-side counts and minima, and in joins whose skewed side the adaptive planner splits.  Those are
     merge joins at any size: what they join with grows with the corpus.
     """
-    names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
+    names = [c for c in docs.columns if c.lower() not in {x.lower() for x in counts}]
     key, other, th, drop = (free_name(c, names) for c in ("__key", "__id", "__th", "__drop"))
     drops = repeated_lines(docs, id_col, text_col, min_words).withColumnsRenamed({"id": other, "th": th, "drop": drop})
     keyed = docs.select(*[F.col(f"`{c}`") for c in names], F.xxhash64(text_or_empty(text_col)).alias(key))
@@ -111,6 +111,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     n_lines = F.when(text.isNull(), F.lit(0)).otherwise(F.size(F.filter(lines, _has_word))).cast("long")
     return both.select(
         *[changed.alias(c) if c == text_col else F.col(f"`{c}`") for c in names],
-        n_lines.alias("n_lines"),
-        F.coalesce(F.size(drop), F.lit(0)).cast("long").alias("n_removed"),
+        n_lines.alias(counts[0]),
+        F.coalesce(F.size(drop), F.lit(0)).cast("long").alias(counts[1]),
     )

@@ -233,8 +233,11 @@ def score_documents(docs: DataFrame, limits: Limits = Limits(), id_col: str = "d
     """Counts, distances and verdict of every whole text, one row per row of ``docs``.
 
     A null text counts as empty: no words, so base_failed.  A null or unknown language is compared with the
-    reference whose common words the text has most of.  Repeated rows are judged alike; an empty table
-    gives no rows; other columns are not read.  No shuffle but for one row per language and task.
+    reference whose common words the text has most of, the first listed on a draw; there is none that fits
+    a language without a list, so pass such documents' own references, or leave them to other rules.
+    Repeated rows are judged alike; a null id is kept; an empty table gives no rows; other columns, of any
+    name, are not read.  Very long texts are counted whole, in one row's memory and n log n time.  No shuffle
+    but for one row per language and task.
     """
     references = fit_references(docs, limits, text_col, lang_col) if references is None else references
     slim = docs.select(F.col(id_col), text_or_empty(text_col).alias("__text"), F.col(lang_col).alias("__lang"))
@@ -242,6 +245,6 @@ def score_documents(docs: DataFrame, limits: Limits = Limits(), id_col: str = "d
 
 
 def keep_good(docs: DataFrame, limits: Limits = Limits(), text_col: str = "text", lang_col: str = "lang", references: dict | None = None) -> DataFrame:
-    """The rows of ``docs`` that pass, with all their columns."""
+    """The rows of ``docs`` that pass, with all their columns; nulls, repeats and empty tables as in :func:`score_documents`."""
     references = fit_references(docs, limits, text_col, lang_col) if references is None else references
     return docs.where(verdict(text_or_empty(text_col), F.col(lang_col), references, limits)["kept"])
