@@ -56,7 +56,8 @@ def crop_filename(stem: Column, index: Column, width: Column, height: Column, ex
 
 
 def padded_filename(stem: Column, number: Column, ext: Column) -> Column:
-    return F.concat(stem, F.lit("_face_"), F.lpad(number.cast("string"), 2, "0"), F.lit("."), ext)
+    """Two digits at least; larger numbers take as many as they need."""
+    return F.concat(stem, F.format_string("_face_%02d.", number.cast("long")), ext)
 
 
 def safe_parts(path: Column) -> Column:

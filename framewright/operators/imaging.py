@@ -57,10 +57,10 @@ def sharpness(pixels: Column, width: int, height: int) -> Column:
     """Population variance of the four-neighbour Laplacian over inner pixels; 0 below three pixels a side."""
     if width < 3 or height < 3:
         return F.lit(0.0)
-    inner = [y * width + x for y in range(1, height - 1) for x in range(1, width - 1)]
-    at = lambda p, i: F.get(p, i)
-    laplace = F.transform(F.array(*map(F.lit, inner)), lambda i: (at(pixels, i - 1) + at(pixels, i + 1) + at(pixels, i - width) + at(pixels, i + width) - 4 * at(pixels, i)).cast("long"))
-    n = float(len(inner))
+    across, n = width - 2, float((width - 2) * (height - 2))
+    at = lambda i: F.get(pixels, i)
+    inner = F.transform(F.sequence(F.lit(0), F.lit(int(n) - 1)), lambda k: ((F.floor(k / across) + 1) * width + k % across + 1).cast("int"))
+    laplace = F.transform(inner, lambda i: (at(i - 1) + at(i + 1) + at(i - width) + at(i + width) - 4 * at(i)).cast("long"))
 
     def variance(ls: Column) -> Column:
         total = F.aggregate(ls, F.lit(0).cast("long"), lambda a, v: a + v).cast("double") / n

@@ -114,6 +114,26 @@ def overlap_pairs_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return det.overlap_pairs_grid(detections(spark, sf_dir), 0.05)
 
 
+# Images of some hundred small boxes, so that the grid is used.
+CROWD = {
+    "image_id": "l_suppkey",
+    "face_idx": "l_orderkey * 100 + l_linenumber",
+    "x": "CAST(l_partkey * 37 % 900 AS FLOAT)",
+    "y": "CAST(l_orderkey * 53 % 700 AS FLOAT)",
+    "width": "CAST(10 + l_quantity AS FLOAT)",
+    "height": "CAST(12 + l_quantity AS FLOAT)",
+}
+CROWDED = "SELECT " + ", ".join(f"{e} AS {n}" for n, e in CROWD.items()) + " FROM lineitem"
+
+
+@query(
+    f"SELECT image_id, a, b, iou, count(*) AS n FROM (SELECT p.image_id, p.face_idx AS a, q.face_idx AS b, {_iou('p.', 'q.')} AS iou FROM ({CROWDED}) p JOIN ({CROWDED}) q ON p.image_id = q.image_id AND p.face_idx < q.face_idx) WHERE iou > CAST(0.3 AS FLOAT) GROUP BY ALL"
+)
+def crowded_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    boxes = table(spark, sf_dir, "lineitem").selectExpr(*[f"{e} AS {n}" for n, e in CROWD.items()])
+    return det.overlap_pairs_grid(boxes, 0.3).groupBy("image_id", "a", "b", "iou").agg(F.count("*").alias("n"))
+
+
 @query(f"SELECT image_id, min(x) AS min_x, min(y) AS min_y, max({RIGHT.format(p='')}) AS max_x, max({BOTTOM.format(p='')}) AS max_y FROM ({DETECTIONS}) GROUP BY image_id")
 def scene_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return det.scene_bounds(detections(spark, sf_dir))
@@ -372,16 +392,16 @@ TEMPLATE = "CASE WHEN o_orderkey % 3 = 0 THEN '{original}-{index}-{width}x{heigh
 
 
 @query(
-    f"""SELECT o_orderkey, CASE WHEN t IS NULL THEN stem || '_face' || (n + 1) || suffix || '.png' ELSE left(name, length(name) - strpos(reverse(name), '.')) || suffix || right(name, strpos(reverse(name), '.')) END AS file_name, stem || '_face_' || lpad(CAST(n + 1 AS VARCHAR), 2, '0') || '.png' AS padded
+    f"""SELECT o_orderkey, CASE WHEN t IS NULL THEN stem || '_face' || (n + 1) || suffix || '.png' ELSE left(name, length(name) - strpos(reverse(name), '.')) || suffix || right(name, strpos(reverse(name), '.')) END AS file_name, stem || '_face_' || printf('%02d', k) || '.png' AS padded
 FROM (SELECT *, CASE WHEN t LIKE '%{{ext}}%' THEN filled ELSE filled || '.png' END AS name FROM (
   SELECT *, replace(replace(replace(replace(replace(replace(t, '{{original}}', stem), '{{index}}', CAST(n + 1 AS VARCHAR)), '{{width}}', '400'), '{{height}}', '500'), '{{ext}}', 'png'), '{{timestamp}}', '1700000000') AS filled
-  FROM (SELECT o_orderkey, o_orderkey % 12 AS n, o_orderpriority || CASE WHEN o_orderkey % 5 = 0 THEN '{{index}}' ELSE '' END AS stem, {TEMPLATE} AS t, CASE WHEN o_orderstatus = 'F' THEN '_lowq' ELSE '' END AS suffix FROM orders)))"""
+  FROM (SELECT o_orderkey, o_orderkey % 12 AS n, o_orderkey % 150 + 1 AS k, o_orderpriority || CASE WHEN o_orderkey % 5 = 0 THEN '{{index}}' ELSE '' END AS stem, {TEMPLATE} AS t, CASE WHEN o_orderstatus = 'F' THEN '_lowq' ELSE '' END AS suffix FROM orders)))"""
 )
 def crop_filenames(spark: SparkSession, sf_dir: str) -> DataFrame:
     stem = F.concat("o_orderpriority", F.when(F.expr("o_orderkey % 5 = 0"), "{index}").otherwise(""))
     suffix = F.when(F.col("o_orderstatus") == "F", policy.quality_suffix(F.lit("Low")))
     name = naming.crop_filename(stem, F.expr("o_orderkey % 12"), F.lit(400), F.lit(500), F.lit("png"), F.lit(1700000000), F.expr(TEMPLATE), suffix)
-    return table(spark, sf_dir, "orders").select("o_orderkey", name.alias("file_name"), naming.padded_filename(stem, F.expr("o_orderkey % 12 + 1"), F.lit("png")).alias("padded"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", name.alias("file_name"), naming.padded_filename(stem, F.expr("o_orderkey % 150 + 1"), F.lit("png")).alias("padded"))
 
 
 TARGET = "CASE o_orderkey % 5 WHEN 0 THEN '../a/b.' || o_orderkey || '.png' WHEN 1 THEN '/etc/x' WHEN 2 THEN 'dir/./sub/n' || o_orderkey WHEN 3 THEN '..' ELSE 'plain.jpeg' END"
@@ -461,13 +481,13 @@ def color_conversions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT image_id, '[' || string_agg('{"score":' || CAST(n AS VARCHAR) || ',"quality":"' || quality || '"}', ',' ORDER BY face_idx) || ']' AS detections
+    """SELECT image_id, '{"image_id":' || image_id || ',"detections":[' || string_agg('{"score":' || CAST(n AS VARCHAR) || ',"quality":"' || quality || '"}', ',' ORDER BY face_idx) || ']}' AS record
 FROM (SELECT *, CAST(round(score * 1000) AS BIGINT) AS n FROM """ + FACES + ") GROUP BY image_id"
 )
 def detection_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    face = F.struct("face_idx", F.struct(F.round(F.col("score") * 1000).cast("long").alias("score"), "quality").alias("d"))
-    d = _faces(spark, sf_dir).groupBy("image_id").agg(F.sort_array(F.collect_list(face)).alias("ds"))
-    return d.select("image_id", F.to_json(F.transform("ds", lambda x: x["d"])).alias("detections"))
+    from ..sources.sinks import detection_json
+
+    return detection_json(_faces(spark, sf_dir).select("image_id", "face_idx", F.round(F.col("score") * 1000).cast("long").alias("score"), "quality"), "image_id")
 
 
 @query("SELECT c_custkey, base64(encode(c_name || c_mktsegment || c_name || c_mktsegment || c_name || c_mktsegment || c_name)) AS b64 FROM customer")
@@ -734,21 +754,21 @@ def stream_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "SELECT event_id, 'webcam_frame' || lpad(CAST(row_number() OVER (ORDER BY event_id) AS VARCHAR), 6, '0') || '_face1.png' AS file_name FROM events WHERE event_type <> 'error'"
+    "SELECT event_id, printf('webcam_frame%06d_face%d.png', n, event_id % 120 + 1) AS file_name FROM (SELECT event_id, 999700 + row_number() OVER (ORDER BY event_id) AS n FROM events WHERE event_type <> 'error')"
 )
 def frame_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..streaming.frames import numbered
+    from ..streaming.frames import frame_name, numbered
 
     frames = table(spark, sf_dir, "events").selectExpr("event_id AS frame_id", "event_type <> 'error' AS captured")
-    n = numbered(frames)
-    return n.select(F.col("frame_id").alias("event_id"), F.concat(F.lit("webcam_frame"), F.lpad(F.col("frame_no").cast("string"), 6, "0"), F.lit("_face1.png")).alias("file_name"))
+    n = numbered(frames, start=999_700)  # so that numbers of six and of seven digits occur
+    return n.select(F.col("frame_id").alias("event_id"), frame_name(F.col("frame_no"), F.col("frame_id") % 120).alias("file_name"))
 
 
 # Shapes.
 
 
 @query(
-    "SELECT p_partkey, i AS idx, round((40 + p_partkey % 60) / 2.0 * (1 + cos(i * 2 * pi() / 128)), 4) AS x, round((30 + p_partkey % 50) / 2.0 * (1 + sin(i * 2 * pi() / 128)), 4) AS y FROM (SELECT p_partkey, unnest(range(128)) AS i FROM part WHERE p_partkey <= 40)"
+    "SELECT p_partkey, i AS idx, round((40 + p_partkey % 60) / 2.0 * (1 + cos(i * 2 * pi() / 128)), 4) AS x, round((30 + p_partkey % 50) / 2.0 * (1 + sin(i * 2 * pi() / 128)), 4) AS y FROM (SELECT p_partkey, unnest(range(128)) AS i FROM part)"
 )
 def ellipse_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")

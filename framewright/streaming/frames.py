@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -39,10 +39,14 @@ def numbered(frames: DataFrame, start: int = 0, limit: int = 0) -> DataFrame:
     return out.where(F.col("frame_no") <= start + limit) if limit else out
 
 
+def frame_name(frame_no: Column, face_idx: Column, ext: str = "png") -> Column:
+    """Six digits at least; later frames take as many as they need."""
+    return F.format_string(f"webcam_frame%06d_face%d.{ext}", frame_no.cast("long"), (face_idx + 1).cast("long"))
+
+
 def frame_crops(faces: DataFrame, minimum: str | None = None, ext: str = "png") -> DataFrame:
     """Crops of numbered frames with names, without those below the minimum; no choice of faces as in batches."""
-    name = F.concat(F.lit("webcam_frame"), F.lpad(F.col("frame_no").cast("string"), 6, "0"), F.lit("_face"), (F.col("face_idx") + 1).cast("string"), F.lit(f".{ext}"))
-    named = naming.suffixed(name, F.coalesce(policy.quality_suffix(F.col("quality")), F.lit("")))
+    named = naming.suffixed(frame_name(F.col("frame_no"), F.col("face_idx"), ext), F.coalesce(policy.quality_suffix(F.col("quality")), F.lit("")))
     return faces.where(~policy.should_skip(F.col("quality"), F.lit(minimum))).withColumn("file_name", named)
 
 
