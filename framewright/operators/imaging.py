@@ -73,3 +73,9 @@ def sharpness(pixels: Column, width: int, height: int) -> Column:
 def to_bytes(values: Column) -> Column:
     """An array of ints from 0 to 255 as binary."""
     return F.unhex(F.array_join(F.transform(values, lambda v: F.lpad(F.hex(v.cast("long")), 2, "0")), ""))
+
+
+def channel(data: Column, k: int, of: int = 4) -> Column:
+    """Every ``of``-th byte of binary data from the ``k``-th on, as an array of ints."""
+    starts = F.sequence(F.lit(k + 1), F.length(data), F.lit(of))
+    return F.transform(starts, lambda i: F.conv(F.hex(F.substring(data, i, F.lit(1))), 16, 10).cast("int"))

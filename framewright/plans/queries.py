@@ -477,6 +477,69 @@ def color_conversions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("r", "g", "b", "hsv.hue", "hsv.saturation", "hsv.value", F.col("cmyk.cyan").alias("cyan"), F.col("cmyk.key").alias("black"))
 
 
+def _f(e: str) -> str:
+    return f"CAST({e} AS FLOAT)"
+
+
+def _cut(e: str) -> str:
+    """To a byte, fractions cut."""
+    return f"CAST(trunc(greatest(0, least(255, {e}))) AS BIGINT)"
+
+
+def _wheel_sql(chroma: str, lift: str) -> str:
+    """Red, green and blue of a hue ``h`` of 0 to below 360 with a chroma, lifted."""
+    turn = _f(f"fmod({_d('h', '60')}, 2)")
+    side = _f(f"({chroma}) * " + _f(f"1 - abs({_f(f'{turn} - 1')})"))
+    picks = (("c", "x", "0", "0", "x", "c"), ("x", "c", "c", "x", "0", "0"), ("0", "0", "x", "c", "c", "x"))
+    value = {"c": f"({chroma})", "x": side, "0": _f("0")}
+    byte = lambda k: _cut(_f(f"{_f(f'{value[k]} + ({lift})')} * 255"))
+    return ", ".join("CASE " + " ".join(f"WHEN h < {60 * (n + 1)} THEN {byte(k)}" for n, k in enumerate(by[:5])) + f" ELSE {byte(by[5])} END AS {name}" for by, name in zip(picks, ("red", "green", "blue")))
+
+
+HUES = "SELECT DISTINCT CAST(l_partkey % 720 AS FLOAT) / CAST(2 AS FLOAT) AS h, CAST(l_suppkey % 9 AS FLOAT) / CAST(8 AS FLOAT) AS s, CAST(l_orderkey % 17 AS FLOAT) / CAST(16 AS FLOAT) AS l FROM lineitem"
+
+
+def _hues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hue = ("CAST(CAST(l_partkey % 720 AS FLOAT) / 2 AS FLOAT) AS h", "CAST(CAST(l_suppkey % 9 AS FLOAT) / 8 AS FLOAT) AS s", "CAST(CAST(l_orderkey % 17 AS FLOAT) / 16 AS FLOAT) AS l")
+    return table(spark, sf_dir, "lineitem").selectExpr(*hue).distinct()
+
+
+def _rgb_of(c: str) -> list:
+    return [F.col(f"{c}.{x}").cast("long").alias(x) for x in ("red", "green", "blue")]
+
+
+@query(
+    f"SELECT h, s, l, {', '.join(f'CASE WHEN s <= 0 THEN grey ELSE {x} END AS {x}' for x in ('red', 'green', 'blue'))} FROM (SELECT h, s, l, {_cut(_f('l * 255'))} AS grey, {_wheel_sql(_f('l * s'), _f('l - ' + _f('l * s')))} FROM ({HUES}))"
+)
+def hsv_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hues(spark, sf_dir).select("h", "s", "l", color.hsv_to_rgb(F.col("h"), F.col("s"), F.col("l")).alias("c")).select("h", "s", "l", *_rgb_of("c"))
+
+
+HSL_CHROMA = _f(_f("1 - abs(" + _f("l * 2 - 1") + ")") + " * s")
+
+
+@query(f"SELECT h, s, l, {_wheel_sql(HSL_CHROMA, _f('l - ' + _f(HSL_CHROMA + ' * CAST(0.5 AS FLOAT)')))} FROM ({HUES})")
+def hsl_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hues(spark, sf_dir).select("h", "s", "l", color.hsl_to_rgb(F.col("h"), F.col("s"), F.col("l")).alias("c")).select("h", "s", "l", *_rgb_of("c"))
+
+
+@query(f"SELECT h, s, l, {', '.join(_cut(_f(_f('255 * ' + _f(f'1 - {v}')) + ' * ' + _f('1 - l'))) + f' AS {n}' for v, n in (('s', 'red'), ('l', 'green'), (_d('h', '360'), 'blue')))} FROM ({HUES})")
+def cmyk_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hues(spark, sf_dir).select("h", "s", "l", color.cmyk_to_rgb(F.col("s"), F.col("l"), f32.div(F.col("h"), 360.0), F.col("l")).alias("c")).select("h", "s", "l", *_rgb_of("c"))
+
+
+@query(
+    f"""SELECT r, g, b, CASE WHEN hue < 0 THEN CAST(hue + 360 AS FLOAT) ELSE hue END AS hue, light AS lightness,
+  CASE WHEN d = 0 THEN CAST(0 AS FLOAT) ELSE {_d('d', _f('1 - abs(' + _f('CAST(light AS DOUBLE) * 2 - 1') + ')'))} END AS saturation
+FROM (SELECT *, {_f(_f('hi + lo') + ' * CAST(0.5 AS FLOAT)')} AS light, CASE WHEN d = 0 THEN CAST(0 AS FLOAT)
+  WHEN hi = rf THEN CAST(60 * {_d('CAST(gf - bf AS FLOAT)', 'd')} AS FLOAT) WHEN hi = gf THEN CAST(60 * CAST({_d('CAST(bf - rf AS FLOAT)', 'd')} + 2 AS FLOAT) AS FLOAT) ELSE CAST(60 * CAST({_d('CAST(rf - gf AS FLOAT)', 'd')} + 4 AS FLOAT) AS FLOAT) END AS hue
+FROM (SELECT *, CAST(hi - lo AS FLOAT) AS d FROM (SELECT *, greatest(rf, gf, bf) AS hi, least(rf, gf, bf) AS lo FROM ({UNIT}))))"""
+)
+def hsl_conversions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "lineitem").selectExpr("l_partkey * 31 % 256 AS r", "l_suppkey * 57 % 256 AS g", "l_orderkey * 13 % 256 AS b").distinct()
+    return c.select("r", "g", "b", color.rgb_to_hsl(F.col("r"), F.col("g"), F.col("b")).alias("c")).select("r", "g", "b", "c.hue", "c.lightness", "c.saturation")
+
+
 # Records.
 
 
@@ -631,6 +694,124 @@ def png_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_images(images, "png").select("vec_id", F.length("encoded").alias("n_bytes"))
 
 
+# The same images in colour: kernels over bytes, compared channel by channel.
+
+
+def _colored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, width, height, data: red is the grey image, green and blue follow from it, alpha too."""
+    rgba = F.flatten(F.transform("pixels", lambda p: F.array(p, (p * 3) % 256, (p * 7) % 256, 255 - p % 64)))
+    return _images(spark, sf_dir).select("vec_id", F.lit(8).alias("width"), F.lit(8).alias("height"), imaging.to_bytes(rgba).alias("data"))
+
+
+COLORED = f"(SELECT vec_id, i, p AS r, p * 3 % 256 AS g, p * 7 % 256 AS b, 255 - p % 64 AS a FROM {PIXELS})"
+
+
+def _kernel(spark: SparkSession, sf_dir: str, kernel) -> DataFrame:
+    """Each channel of what a kernel makes of the coloured images, as a list."""
+    from ..operators.pixels import map_images
+
+    made = map_images(_colored(spark, sf_dir), kernel)
+    return made.select("vec_id", *[imaging.channel(F.col("data"), k).alias(n) for k, n in enumerate(("red", "green", "blue", "alpha"))])
+
+
+def _channels(source: str, red: str, green: str, blue: str, alpha: str) -> str:
+    listed = ", ".join(f"list(CAST({e} AS INTEGER) ORDER BY i) AS {n}" for e, n in ((red, "red"), (green, "green"), (blue, "blue"), (alpha, "alpha")))
+    return f"SELECT vec_id, {listed} FROM {source} GROUP BY vec_id"
+
+
+def _nearest(e: str) -> str:
+    """To a byte, halves away from zero."""
+    return f"greatest(0, least(255, round(CAST({e} AS DOUBLE))))"
+
+
+def _grey_mix(c: str) -> str:
+    weighted = lambda v, k: _f(f"CAST({v} AS FLOAT) * CAST({k} AS FLOAT)")
+    grey = _f(_f(weighted("r", 0.299) + " + " + weighted("g", 0.587)) + " + " + weighted("b", 0.114))
+    return _nearest(_f(_f(f"{grey} * {_f('1 - CAST(1.6 AS FLOAT)')}") + " + " + weighted(c, 1.6)))
+
+
+@query(_channels(COLORED, _grey_mix("r"), _grey_mix("g"), _grey_mix("b"), "a"))
+def saturation_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import pixels
+
+    return _kernel(spark, sf_dir, lambda img: pixels.saturation(img, 1.6))
+
+
+EYE_MEAN = _f(_f(_f("CAST(g AS FLOAT) + CAST(b AS FLOAT)") + " * CAST(0.5 AS FLOAT)") + " + CAST(1e-6 AS FLOAT)")
+
+
+def _red_eye(where: str) -> str:
+    return f"CASE WHEN r > 80 AND r > {_f(EYE_MEAN + ' * CAST(1.5 AS FLOAT)')}{where} THEN {_nearest(EYE_MEAN)} ELSE r END"
+
+
+@query(_channels(COLORED, _red_eye(""), "g", "b", "a"))
+def red_eye_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import pixels
+
+    return _kernel(spark, sf_dir, lambda img: pixels.remove_red_eye(img, 1.5))
+
+
+@query(_channels(COLORED, _red_eye(" AND (pow(i % 8 - 2, 2) + pow(i // 8 - 2, 2) <= 6.25 OR pow(i % 8 - 5, 2) + pow(i // 8 - 4, 2) <= 1)"), "g", "b", "a"))
+def red_eye_in_discs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import pixels
+
+    return _kernel(spark, sf_dir, lambda img: pixels.remove_red_eye(img, 1.5, [(2.0, 2.0, 2.5), (5.0, 4.0, 1.0)]))
+
+
+def _spread_channel(c: str) -> str:
+    return f"""SELECT vec_id, v, CASE WHEN lowest = 64 THEN v ELSE {_nearest(_f(_d('cum - lowest', '64 - lowest') + ' * CAST(255 AS FLOAT)'))} END AS m
+FROM (SELECT *, min(cum) OVER (PARTITION BY vec_id) AS lowest FROM (SELECT vec_id, v, sum(n) OVER (PARTITION BY vec_id ORDER BY v) AS cum FROM (SELECT vec_id, {c} AS v, count(*) AS n FROM {COLORED} GROUP BY ALL)))"""
+
+
+@query(
+    f"WITH er AS ({_spread_channel('r')}), eg AS ({_spread_channel('g')}), eb AS ({_spread_channel('b')}) "
+    + _channels(f"(SELECT c.vec_id, i, er.m AS rm, eg.m AS gm, eb.m AS bm, a FROM {COLORED} c JOIN er ON er.vec_id = c.vec_id AND er.v = r JOIN eg ON eg.vec_id = c.vec_id AND eg.v = g JOIN eb ON eb.vec_id = c.vec_id AND eb.v = b)", "rm", "gm", "bm", "a")
+)
+def equalized_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import pixels
+
+    return _kernel(spark, sf_dir, pixels.equalize)
+
+
+def _over(c: str, fill: int) -> str:
+    a = _d("a", "255")
+    return f"floor({_f(_f(f'CAST({c} AS FLOAT) * {a}') + ' + ' + _f(f'CAST({fill} AS FLOAT) * ' + _f(f'1 - {a}')))})"
+
+
+@query(_channels(COLORED, _over("r", 10), _over("g", 200), _over("b", 90), "255"))
+def composited_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import pixels
+
+    return _kernel(spark, sf_dir, lambda img: pixels.composite(img, (10, 200, 90)))
+
+
+def _masked(distance: str, soft: float) -> str:
+    """The image behind a mask: colours move towards black by half, alpha is multiplied."""
+    alpha = _f(f"greatest(0, least(1, 0.5 - 0.5 * ({distance}) / {soft}))")
+    mix = _f(f"{_f('1 - m')} * CAST(0.5 AS FLOAT)")
+    toward = lambda c: f"trunc({_f(f'CAST({c} AS FLOAT) + ' + _f(f'{mix} * -CAST({c} AS FLOAT)'))})"
+    source = f"(SELECT *, {alpha} AS m FROM (SELECT *, abs(i % 8 + 0.5 - 4)::DOUBLE AS ax, abs(i // 8 + 0.5 - 4)::DOUBLE AS ay FROM {COLORED}))"
+    return _channels(source, toward("r"), toward("g"), toward("b"), f"floor({_f(_f('CAST(a AS FLOAT) * m') + ' + CAST(0.5 AS FLOAT)')})")
+
+
+@query(_masked("(sqrt(pow(ax / 4, 2) + pow(ay / 4, 2)) - 1) * 4", 2.0))
+def ellipse_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _kernel(spark, sf_dir, lambda img: shapes.apply_mask(img, shapes.Shape("ellipse"), 0.5, 0.5))
+
+
+BOX_AT = "sqrt(pow(greatest(ax - {b}, 0), 2) + pow(greatest(ay - {b}, 0), 2)) + least(greatest(ax - {b}, ay - {b}), 0)"
+
+
+@query(_masked(BOX_AT.format(b=2.0) + " - 2.0", 2.0))
+def rounded_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _kernel(spark, sf_dir, lambda img: shapes.apply_mask(img, shapes.Shape("rounded_rectangle", size_pct=0.25), 0.5, 0.5))
+
+
+@query(_masked(f"greatest({BOX_AT.format(b=4.0)}, (ax + ay - 6.0) * sqrt(0.5))", 2.0))
+def chamfered_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _kernel(spark, sf_dir, lambda img: shapes.apply_mask(img, shapes.Shape("chamfered_rectangle", size_pct=0.25), 0.5, 0.5))
+
+
 # Head tensors.
 
 HEADS = "SELECT l_orderkey AS image_id, CAST(8 * (1 + l_linenumber % 3) AS INTEGER) AS stride, CAST(l_partkey % 80 AS INTEGER) AS row, CAST(l_suppkey % 80 AS INTEGER) AS col, CAST(l_discount * 10 AS FLOAT) AS cls, CAST(l_tax * 12 AS FLOAT) AS obj, CAST(l_quantity / 50 AS FLOAT) AS dx, CAST(l_tax AS FLOAT) AS dy, CAST(l_discount AS FLOAT) AS k FROM lineitem"
