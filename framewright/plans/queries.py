@@ -980,8 +980,86 @@ def shape_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
-def koch_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+OUTLINED = "(SELECT n_nationkey, 120.0::DOUBLE + n_nationkey AS w, 80.0::DOUBLE + 2 * n_nationkey AS h, 3 + n_nationkey % 6 AS n, radians(7.0::DOUBLE * n_nationkey) AS r FROM nation)"
+
+
+def _outlines(spark: SparkSession, sf_dir: str, kind: str, size: float = 0.0, iterations: int = 0) -> DataFrame:
     shapes.register(spark)
     table(spark, sf_dir, "nation").createOrReplaceTempView("framewright_nation")
-    return spark.sql("SELECT n_nationkey, idx, round(x, 3) AS x, round(y, 3) AS y FROM framewright_nation, LATERAL crop_outline(200, 200, 'koch_polygon', CAST(0 AS DOUBLE), 3 + n_nationkey % 4, CAST(n_nationkey AS DOUBLE), 2)")
+    call = f"crop_outline(120 + n_nationkey, 80 + 2 * n_nationkey, '{kind}', CAST({size} AS DOUBLE), 3 + n_nationkey % 6, CAST(7 * n_nationkey AS DOUBLE), {iterations})"
+    return spark.sql(f"SELECT n_nationkey, idx, round(CAST(x AS DOUBLE), 2) + 0.0D AS x, round(CAST(y AS DOUBLE), 2) + 0.0D AS y FROM framewright_nation, LATERAL {call}")
+
+
+def _shown(points: str) -> str:
+    return f"SELECT n_nationkey, CAST(idx AS INTEGER) AS idx, round(CAST(CAST(x AS FLOAT) AS DOUBLE), 2) + 0.0::DOUBLE AS x, round(CAST(CAST(y AS FLOAT) AS DOUBLE), 2) + 0.0::DOUBLE AS y FROM ({points})"
+
+
+def _fit(points: str) -> str:
+    """Points (n_nationkey, w, h, idx, x, y) scaled alike both ways to fill the bounds, centred."""
+    ends = f"SELECT *, min(x) OVER k AS x0, min(y) OVER k AS y0, max(x) OVER k - min(x) OVER k AS sx, max(y) OVER k - min(y) OVER k AS sy FROM ({points}) WINDOW k AS (PARTITION BY n_nationkey)"
+    scaled = f"SELECT *, least(w / sx, h / sy) AS f FROM ({ends})"
+    return _shown(f"SELECT n_nationkey, idx, (x - x0) * f + (w - sx * f) / 2 AS x, (y - y0) * f + (h - sy * f) / 2 AS y FROM ({scaled})")
+
+
+def _around(n: str, radius: str = "1") -> str:
+    at = f"r + 2 * pi() * i / ({n})"
+    return f"SELECT n_nationkey, w, h, i AS idx, w / 2 + least(w, h) / 2 * {radius} * cos({at}) AS x, h / 2 + least(w, h) / 2 * {radius} * sin({at}) AS y FROM (SELECT *, unnest(range({n})) AS i FROM {OUTLINED})"
+
+
+def _koched(points: str) -> str:
+    """Each edge with an outward triangle on its middle third."""
+    after = lambda c: f"coalesce(lead({c}) OVER k, first_value({c}) OVER k)"
+    edges = f"SELECT *, ({after('x')} - x) / 3 AS dx, ({after('y')} - y) / 3 AS dy FROM ({points}) WINDOW k AS (PARTITION BY n_nationkey ORDER BY idx)"
+    turned = "sin(-pi() / 3)"
+    return f"""SELECT n_nationkey, w, h, idx * 4 + j AS idx, x + CASE j WHEN 0 THEN 0 WHEN 1 THEN dx WHEN 2 THEN dx + dx * 0.5 - dy * {turned} ELSE 2 * dx END AS x,
+  y + CASE j WHEN 0 THEN 0 WHEN 1 THEN dy WHEN 2 THEN dy + dx * {turned} + dy * 0.5 ELSE 2 * dy END AS y FROM (SELECT *, unnest(range(4)) AS j FROM ({edges}))"""
+
+
+def _listed_points(points: list[tuple[str, str]]) -> str:
+    """Points given by expressions of w, h and an inset q, a fifth of the shorter side."""
+    rows = ", ".join(f"{{'i': {k}, 'x': ({x})::DOUBLE, 'y': ({y})::DOUBLE}}" for k, (x, y) in enumerate(points))
+    return f"SELECT n_nationkey, w, h, p.i AS idx, p.x AS x, p.y AS y FROM (SELECT n_nationkey, w, h, unnest([{rows}]) AS p FROM (SELECT *, least(w, h) * 0.2 AS q FROM {OUTLINED}))"
+
+
+RECTANGLE = [("0", "0"), ("w", "0"), ("w", "h"), ("0", "h")]
+CHAMFERED = [("q", "0"), ("w - q", "0"), ("w", "q"), ("w", "h - q"), ("w - q", "h"), ("q", "h"), ("0", "h - q"), ("0", "q")]
+
+
+@query(_shown(_listed_points(RECTANGLE)))
+def rectangle_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _outlines(spark, sf_dir, "rectangle")
+
+
+@query(_shown(_listed_points(CHAMFERED)))
+def chamfered_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _outlines(spark, sf_dir, "chamfered_rectangle", 0.2)
+
+
+@query(
+    _shown(
+        "SELECT n_nationkey, c * 17 + j AS idx, [w - q, w - q, q, q][c + 1] + q * cos((c - 1 + j / 16.0) * pi() / 2) AS x, [q, h - q, h - q, q][c + 1] + q * sin((c - 1 + j / 16.0) * pi() / 2) AS y "
+        f"FROM (SELECT *, unnest(range(17)) AS j FROM (SELECT *, least(w, h) * 0.2 AS q, unnest(range(4)) AS c FROM {OUTLINED}))"
+    )
+)
+def rounded_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _outlines(spark, sf_dir, "rounded_rectangle", 0.2)
+
+
+@query(_fit(_around("n")))
+def polygon_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _outlines(spark, sf_dir, "polygon")
+
+
+@query(_fit(_around("2 * n", "CASE WHEN i % 2 = 0 THEN 1 ELSE 0.4 END")))
+def star_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _outlines(spark, sf_dir, "star", 0.4)
+
+
+@query(_fit(_koched(_koched(_around("n")))))
+def koch_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _outlines(spark, sf_dir, "koch_polygon", iterations=2)
+
+
+@query(_fit(_koched(_koched(_listed_points(RECTANGLE)))))
+def koch_rectangle_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _outlines(spark, sf_dir, "koch_rectangle", iterations=2)
