@@ -181,6 +181,38 @@ def suppress_boxes(boxes: np.ndarray, threshold: float) -> np.ndarray:
     return np.array(kept, dtype=np.int64)
 
 
+def separate_centers(boxes: np.ndarray, relative: float = RELATIVE_DISTANCE, absolute: float = ABSOLUTE_DISTANCE) -> np.ndarray:
+    """Numbers of the rows kept, for boxes in order of score: one goes if its centre lies too near a kept one's."""
+    f = np.float32
+    x, y, w, h = boxes.astype(f).T
+    cx, cy = (w.astype(np.float64) * 0.5 + x).astype(f), (h.astype(np.float64) * 0.5 + y).astype(f)
+    longest = np.maximum(w, h)
+    alive, kept = np.ones(len(boxes), dtype=bool), []
+    for i in range(len(boxes)):
+        if not alive[i]:
+            continue
+        kept.append(i)
+        j = np.flatnonzero(alive[i + 1 :]) + i + 1
+        dx, dy = cx[j] - cx[i], cy[j] - cy[i]
+        dist = (dx.astype(np.float64) ** 2 + (dy * dy)).astype(f)
+        reach = np.maximum(np.maximum(longest[i], longest[j]), f(1)) * f(relative)
+        alive[j[(dist < reach * reach) | (dist < f(absolute * absolute))]] = False
+    return np.array(kept, dtype=np.int64)
+
+
+def postprocess_rows(rows: np.ndarray, scale_x: float, scale_y: float, score: float = SCORE_THRESHOLD, nms: float = NMS_THRESHOLD, k: int = TOP_K) -> np.ndarray:
+    """As :func:`postprocess` for the rows (n, 15) of one image, where the image lies anyway: best score first."""
+    rows = rows.astype(np.float32)
+    rows = rows[np.isfinite(rows[:, 14]) & (rows[:, 14] >= np.float32(score))]
+    rows = rows * np.array([scale_x, scale_y] * 7 + [1], dtype=np.float32)
+    rows = rows[(rows[:, 2] > 0) & (rows[:, 3] > 0)]
+    rows = rows[np.argsort(-rows[:, 14], kind="stable")]
+    rows = rows[:k] if k else rows
+    if nms > 0:
+        rows = rows[suppress_boxes(rows[:, :4], nms)]
+    return rows[separate_centers(rows[:, :4])]
+
+
 def suppress_arrow(rows: DataFrame, threshold: float = NMS_THRESHOLD, image: str = "image_id", index: str = "face_idx") -> DataFrame:
     """As :func:`suppress`, vectorised per image: for images with more than some hundred rows.
 

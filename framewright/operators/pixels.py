@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 f4 = np.float32
 EPSILON = f4(1e-6)
@@ -265,7 +266,7 @@ def crop(img: np.ndarray, region: tuple[int, int, int, int], out_w: int, out_h:
 def rotate(img: np.ndarray, angle: float, fill: tuple[int, int, int, int] = (0, 0, 0, 255)) -> np.ndarray:
     """About the centre by ``angle`` radians, bilinear, same size."""
     h, w = img.shape[:2]
-    cx, cy = (w - 1) / 2, (h - 1) / 2
+    cx, cy = w / 2, h / 2
     y, x = np.mgrid[:h, :w]
     c, s = np.cos(angle), np.sin(angle)
     sx, sy = c * (x - cx) + s * (y - cy) + cx, -s * (x - cx) + c * (y - cy) + cy
@@ -314,6 +315,16 @@ def composite(img: np.ndarray, fill: tuple[int, int, int]) -> np.ndarray:
     return out
 
 
+def fill_behind(img: np.ndarray, fill: tuple[int, int, int, int]) -> np.ndarray:
+    """What shows through gets a colour that may be see-through itself, fractions cut; opaque pixels stay."""
+    a = img[..., 3:].astype(f4) / f4(255)
+    behind = f4(fill[3]) / f4(255)
+    rgb = img[..., :3].astype(f4) * a + np.array(fill[:3], dtype=f4) * behind * (f4(1) - a)
+    alpha = np.minimum((a + behind * (f4(1) - a)) * f4(255), f4(255))
+    made = np.clip(np.concatenate([rgb, alpha], axis=2), 0, 255).astype(np.uint8)
+    return np.where(a >= 1, img, made)
+
+
 def pack_rgba(img: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(img).view("<u4")[..., 0]
 
@@ -325,17 +336,21 @@ def unpack_rgba(packed: np.ndarray) -> np.ndarray:
 # Operators over rows of images.
 
 
-def map_images(images: DataFrame, kernel: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """``images`` with width, height and data replaced by what ``kernel`` returns; null or misfitting data become null."""
+def map_images(images: DataFrame, kernel: Callable[..., np.ndarray], also: str | None = None) -> DataFrame:
+    """``images`` with width, height and data replaced by what ``kernel`` returns; null or misfitting data become null.
+
+    ``also`` names a column whose value the kernel takes beside the pixels.
+    """
     names = images.columns
     iw, ih, at = (names.index(c) for c in ("width", "height", "data"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = []
-            for w, h, data in zip(*(batch.column(i).to_pylist() for i in (iw, ih, at))):
+            more = [(v,) for v in batch.column(names.index(also)).to_pylist()] if also else [()] * batch.num_rows
+            for w, h, data, args in zip(*(batch.column(i).to_pylist() for i in (iw, ih, at)), more):
                 fits = data is not None and w is not None and h is not None and len(data) == 4 * w * h
-                made.append(kernel(np.frombuffer(data, dtype=np.uint8).reshape(h, w, 4)) if fits else None)
+                made.append(kernel(np.frombuffer(data, dtype=np.uint8).reshape(h, w, 4), *args) if fits else None)
             columns = list(batch.columns)
             for i, value in ((iw, lambda m: m.shape[1]), (ih, lambda m: m.shape[0]), (at, lambda m: np.ascontiguousarray(m).tobytes())):
                 columns[i] = pa.array([None if m is None else value(m) for m in made], type=columns[i].type)
@@ -366,6 +381,47 @@ def score_images(images: DataFrame) -> DataFrame:
     return images.mapInArrow(run, T.StructType([*images.schema.fields, T.StructField("quality_score", T.DoubleType())]))
 
 
+#: A face beside its image.
+FACE = "struct<face_idx:bigint,x:float,y:float,width:float,height:float,score:float,landmarks:array<struct<x:float,y:float>>>"
+
+
+def faces_of(rows: np.ndarray) -> list[dict]:
+    """Rows of 15 floats as faces, numbered from 0 in their order."""
+    names = ("x", "y", "width", "height")
+    return [{"face_idx": i, "score": r[14], "landmarks": [{"x": r[k], "y": r[k + 1]} for k in range(4, 14, 2)]} | dict(zip(names, r)) for i, r in enumerate(rows.tolist())]
+
+
+def per_face(images: DataFrame, work: Callable[[np.ndarray, dict], tuple[np.ndarray, float]], keep: list[str]) -> DataFrame:
+    """One row per face of images that hold their faces in an array column: ``keep``, face_idx, score, region, and what ``work`` makes.
+
+    ``work`` takes the image and a face and returns pixels and their score.  An image is read where it lies
+    and never crosses a shuffle; its faces go out in one batch.  Rows without fitting data give nothing.
+    """
+    names = images.columns
+    iw, ih, at, faces = (names.index(c) for c in ("width", "height", "data", "faces"))
+    face = images.schema["faces"].dataType.elementType
+    fields = [*[images.schema[c] for c in keep], *[face[c] for c in ("face_idx", "score", "region")]]
+    made = [T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType()), T.StructField("data", T.BinaryType()), T.StructField("quality_score", T.DoubleType())]
+    schema = T.StructType([*fields, *made])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                w, h, data, found = (batch.column(i)[k].as_py() for i in (iw, ih, at, faces))
+                if not found or data is None or w is None or h is None or len(data) != 4 * w * h:
+                    continue
+                img = np.frombuffer(data, dtype=np.uint8).reshape(h, w, 4)
+                rest = [batch.column(names.index(c))[k].as_py() for c in keep]
+                rows = []
+                for f in found:
+                    out, score = work(img, f)
+                    rows.append([*rest, f["face_idx"], f["score"], f["region"], out.shape[1], out.shape[0], np.ascontiguousarray(out).tobytes(), score])
+                yield pa.RecordBatch.from_arrays([pa.array(column, type=f.type) for column, f in zip(zip(*rows), arrow)], schema=arrow)
+
+    return images.mapInArrow(run, schema)
+
+
 def crop_images(faces: DataFrame, out_w: int, out_h: int, fill: tuple[int, int, int, int] = (0, 0, 0, 255)) -> DataFrame:
     """One crop per row: width, height, data and region (x, y, width, height, ...) to the cropped image."""
     names = faces.columns
@@ -391,26 +447,63 @@ def _session(path: str):
     return onnxruntime.InferenceSession(path, providers=["CPUExecutionProvider"])
 
 
-def detect_images(images: DataFrame, model_path: str, side: int = 640) -> DataFrame:
-    """Raw rows of 15 floats per image from an ONNX model, loaded once per Python worker.
+def head_rows(outs: list[np.ndarray], side: int, sigmoid: bool = False) -> np.ndarray:
+    """Rows of 15 floats from a model's outputs: one output holds them, twelve are the heads of three strides.
 
-    ``model_path`` must be readable on every executor.  A model with one output gives its rows as they are,
-    one with twelve gives the heads of three strides, which are decoded here.
+    Heads come as cls, obj, bbox and kps for each stride.  Those of four axes are planes (batch, channels,
+    rows, columns) and are turned so that a cell's values stand together.  ``sigmoid`` is for models whose
+    cls and obj are raw.
     """
     from .detections import decode_tensors, stride_cells
 
+    if len(outs) == 1:
+        return outs[0].reshape(-1, 15)
+    if len(outs) != 12:
+        raise ValueError(f"a model of {len(outs)} outputs is not supported")
+    flat = [(o.transpose(0, 2, 3, 1) if o.ndim == 4 else o).reshape(-1) for o in outs]
+    if sigmoid:
+        flat = [f4(1) / (f4(1) + np.exp(-o.astype(f4))) if k < 6 else o for k, o in enumerate(flat)]
+    return np.concatenate([decode_tensors(flat[k], flat[3 + k], flat[6 + k], flat[9 + k], stride, cols) for k, (stride, _, cols) in enumerate(stride_cells(side, side))])
+
+
+def _model_rows(model_path: str, img: np.ndarray, side: int, sigmoid: bool) -> np.ndarray:
+    s = _session(model_path)
+    return head_rows(s.run(None, {s.get_inputs()[0].name: to_tensor(img, side, side)}), side, sigmoid)
+
+
+def detect_faces(images: DataFrame, model_path: str, score: float, nms: float, top_k: int, side: int = 640, sigmoid: bool = False) -> DataFrame:
+    """``images`` with the array column faces: detected, scaled, ranked and suppressed where the image lies, without a shuffle."""
+    from .detections import postprocess_rows
+
+    names = images.columns
+    iw, ih, at = (names.index(c) for c in ("width", "height", "data"))
+    field = T.StructField("faces", T.ArrayType(T._parse_datatype_string(FACE)))
+    kind = to_arrow_schema(T.StructType([field])).field(0).type
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for w, h, d in zip(*(batch.column(i).to_pylist() for i in (iw, ih, at))):
+                if d is None or w is None or h is None or len(d) != 4 * w * h:
+                    found.append([])
+                    continue
+                rows = _model_rows(model_path, np.frombuffer(d, dtype=np.uint8).reshape(h, w, 4), side, sigmoid)
+                found.append(faces_of(postprocess_rows(rows, w / side, h / side, score, nms, top_k)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], names=[*names, "faces"])
+
+    return images.mapInArrow(run, T.StructType([*images.schema.fields, field]))
+
+
+def detect_images(images: DataFrame, model_path: str, side: int = 640, sigmoid: bool = False) -> DataFrame:
+    """Raw rows of 15 floats per image from an ONNX model, loaded once per Python worker.
+
+    ``model_path`` must be readable on every executor; outputs are read as :func:`head_rows` says.
+    """
     names = images.columns
     iw, ih, at = (names.index(c) for c in ("width", "height", "data"))
 
     def rows(img: np.ndarray) -> np.ndarray:
-        s = _session(model_path)
-        outs = s.run(None, {s.get_inputs()[0].name: to_tensor(img, side, side)})
-        if len(outs) == 1:
-            return outs[0].reshape(-1, 15)
-        if len(outs) != 12:
-            raise ValueError(f"a model of {len(outs)} outputs is not supported")
-        flat = [o.reshape(-1) for o in outs]
-        return np.concatenate([decode_tensors(flat[k], flat[3 + k], flat[6 + k], flat[9 + k], stride, cols) for k, (stride, _, cols) in enumerate(stride_cells(side, side))])
+        return _model_rows(model_path, img, side, sigmoid)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
