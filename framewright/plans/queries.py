@@ -225,6 +225,10 @@ def _clamped(e: str, most: str) -> str:
 
 @query(
     f"""SELECT image_id, face_idx, CASE WHEN l + w <= iw AND t + h <= ih THEN l ELSE -1 END AS left_px, CASE WHEN l + w <= iw AND t + h <= ih THEN w ELSE -1 END AS width_px,
+  CASE WHEN l + w <= iw AND t + h <= ih THEN t ELSE -1 END AS top_px, CASE WHEN l + w <= iw AND t + h <= ih THEN h ELSE -1 END AS height_px,
+  least(CAST(trunc(y) AS BIGINT), ih - 1) AS cut_y, least(CAST(trunc(height) AS BIGINT), ih - least(CAST(trunc(y) AS BIGINT), ih - 1)) AS cut_h,
+  CAST(trunc({_clamped('y', 'ih - 1')}) AS BIGINT) AS note_y, CAST(trunc(greatest(CAST({_clamped(BOTTOM.format(p=''), 'ih - 1')} - {_clamped('y', 'ih - 1')} AS FLOAT), 1)) AS BIGINT) AS note_h,
+  CAST(trunc({_clamped('x', 'iw - 1')}) AS BIGINT) AS pixel_x, CAST(trunc({_clamped(RIGHT.format(p=''), 'iw - 1')}) AS BIGINT) AS pixel_right,
   least(CAST(trunc(x) AS BIGINT), iw - 1) AS cut_x, least(CAST(trunc(width) AS BIGINT), iw - least(CAST(trunc(x) AS BIGINT), iw - 1)) AS cut_w,
   CAST(trunc({_clamped('x', 'iw - 1')}) AS BIGINT) AS note_x, CAST(trunc(greatest(CAST({_clamped(RIGHT.format(p=''), 'iw - 1')} - {_clamped('x', 'iw - 1')} AS FLOAT), 1)) AS BIGINT) AS note_w
 FROM (SELECT *, {_round(_clamped('x', 'iw'))} AS l, {_round(_clamped('y', 'ih'))} AS t,
@@ -234,10 +238,13 @@ FROM (SELECT *, {_round(_clamped('x', 'iw'))} AS l, {_round(_clamped('y', 'ih'))
 def pixel_rects(spark: SparkSession, sf_dir: str) -> DataFrame:
     b, w, h = Box.named(), F.expr(IMAGE_W), F.expr(IMAGE_H)
     d = detections(spark, sf_dir).select(
-        "image_id", "face_idx", geometry.rounded_rect(b, w, h).alias("a"), geometry.truncated_rect(b, w, h).alias("b"), geometry.annotation_rect(b, w, h).alias("c")
-    )
+        "image_id", "face_idx", geometry.rounded_rect(b, w, h).alias("a"), geometry.truncated_rect(b, w, h).alias("b"), geometry.annotation_rect(b, w, h).alias("c"),
+        geometry.pixel_index(b.x, w).alias("pixel_x"), geometry.pixel_index(b.right, w).alias("pixel_right"),
+    )
     return d.select(
-        "image_id", "face_idx", F.coalesce("a.x", F.lit(-1)).cast("long").alias("left_px"), F.coalesce("a.width", F.lit(-1)).cast("long").alias("width_px"), F.col("b.x").alias("cut_x"), F.col("b.width").alias("cut_w"), F.col("c.x").alias("note_x"), F.col("c.width").alias("note_w")
+        "image_id", "face_idx", "pixel_x", "pixel_right", F.coalesce("a.y", F.lit(-1)).cast("long").alias("top_px"), F.coalesce("a.height", F.lit(-1)).cast("long").alias("height_px"),
+        F.col("b.y").alias("cut_y"), F.col("b.height").alias("cut_h"), F.col("c.y").alias("note_y"), F.col("c.height").alias("note_h"),
+        F.coalesce("a.x", F.lit(-1)).cast("long").alias("left_px"), F.coalesce("a.width", F.lit(-1)).cast("long").alias("width_px"), F.col("b.x").alias("cut_x"), F.col("b.width").alias("cut_w"), F.col("c.x").alias("note_x"), F.col("c.width").alias("note_w")
     )
 
 
@@ -584,6 +591,11 @@ def mapping_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapping.entries(_part_table(spark, sf_dir), "SOURCE", "#2", keep=["row_no"])
 
 
+@query("SELECT l_orderkey, mapping_row FROM (SELECT l_orderkey, row_number() OVER (ORDER BY l_orderkey) AS mapping_row FROM (SELECT DISTINCT l_orderkey FROM lineitem))")
+def mapping_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mapping.with_rank(table(spark, sf_dir, "lineitem").select("l_orderkey").distinct(), "l_orderkey")
+
+
 @query("SELECT (SELECT count(*) FROM part) AS total_rows, (SELECT count(*) FROM part) > 5 AS truncated, least((SELECT count(*) FROM part), 5) AS shown")
 def mapping_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapping.preview_summary(_part_table(spark, sf_dir).drop("row_no"), 5)

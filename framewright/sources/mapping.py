@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import naming
+from ..operators.ranks import with_ranks
 from .tables import SqliteSource, WorkbookSource, list_tables, list_sheets
 
 DEFAULT_PREVIEW = 32
@@ -189,5 +190,5 @@ def enqueue(queued: DataFrame, found: DataFrame, path: str = "path", order: str
 
 
 def with_rank(entries_: DataFrame, order: str) -> DataFrame:
-    """Number entries from 1 in a given order."""
-    return entries_.withColumn("mapping_row", F.row_number().over(Window.orderBy(order)))
+    """Number entries from 1 in the order of an integer column."""
+    return with_ranks(entries_, order, "mapping_row")

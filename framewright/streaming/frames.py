@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import naming
 from ..operators import policy
+from ..operators.ranks import with_ranks
 from ..plans import batch
 from ..sources.images import GLOB, decode_png
 from ..sources.settings import Settings
@@ -33,15 +34,9 @@ def folder_stream(spark: SparkSession, path: str, per_trigger: int = 64) -> Data
 def numbered(frames: DataFrame, start: int = 0, limit: int = 0) -> DataFrame:
     """Captured frames numbered from ``start`` + 1 in order; failed captures take no number; at most ``limit`` (0: all).
 
-    Ranks are dealt in two steps, by ranges of the frame id and then within each, so no task has to sort
-    all frames of a long recording.
+    No task has to sort all frames of a long recording.
     """
-    good = frames.where("captured")
-    block = F.floor(F.col("frame_id") / 65536)
-    sizes = good.groupBy(block.alias("block")).agg(F.count("*").alias("n"))
-    before = sizes.withColumn("before", F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1))).select("block", F.coalesce("before", F.lit(0)).alias("before"))
-    within = F.row_number().over(Window.partitionBy("block").orderBy("frame_id"))
-    out = good.withColumn("block", block).join(before, "block").withColumn("frame_no", (F.col("before") + within + start).cast("long")).drop("block", "before")
+    out = with_ranks(frames.where("captured"), "frame_id", "frame_no").withColumn("frame_no", F.col("frame_no") + start)
     return out.where(F.col("frame_no") <= start + limit) if limit else out
 
 
