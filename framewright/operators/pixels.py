@@ -115,15 +115,26 @@ def smooth_skin(img: np.ndarray, amount: float, sigma_space: float, sigma_color:
     h, w = img.shape[:2]
     r = int(np.ceil(f4(sigma_space) * f4(2)))
     rgb = img[..., :3].astype(np.int32)
-    padded = np.pad(rgb, ((r, r), (r, r), (0, 0)), mode="edge")
+    planes = np.pad(rgb.transpose(2, 0, 1), ((0, 0), (r, r), (r, r)), mode="edge")
+    floats = planes.astype(f4)
     by_color = np.exp(-np.arange(3 * 255 * 255 + 1, dtype=f4) / f4(2 * sigma_color * sigma_color))
-    total, weights = np.zeros((h, w, 3), dtype=f4), np.zeros((h, w), dtype=f4)
-    for dy in range(-r, r + 1):
-        for dx in range(-r, r + 1):
-            near = padded[r + dy : r + dy + h, r + dx : r + dx + w]
-            weight = f4(np.exp(-(dx * dx + dy * dy) / (2 * sigma_space * sigma_space))) * by_color[((rgb - near) ** 2).sum(axis=2)]
-            total += weight[..., None] * near
-            weights += weight
+    weights = np.ones((h, w), dtype=f4)  # the pixel itself
+    total = floats[:, r : r + h, r : r + w].copy()
+    for dy in range(r + 1):
+        for dx in range(-r if dy else 1, r + 1):
+            # Two pixels weigh each other alike, so a step and its reverse share one map of weights.
+            top, left = r - dy, r - max(dx, 0)
+            tall, wide = h + dy, w + abs(dx)
+            one = planes[:, top : top + tall, left : left + wide]
+            two = planes[:, top + dy : top + dy + tall, left + dx : left + dx + wide]
+            apart = one - two
+            near = f4(np.exp(-(dx * dx + dy * dy) / (2 * sigma_space * sigma_space)))
+            weight = by_color[np.einsum("cij,cij->ij", apart, apart)] * near
+            for y, x, v in ((r, r, 1), (r - dy, r - dx, -1)):
+                part = weight[y - top : y - top + h, x - left : x - left + w]
+                total += part * floats[:, r + v * dy : r + v * dy + h, r + v * dx : r + v * dx + w]
+                weights += part
+    total = total.transpose(1, 2, 0)
     smooth = _bytes(total / weights[..., None]).astype(f4)
     out = img.copy()
     out[..., :3] = _bytes(rgb + f4(min(1.0, amount)) * (smooth - rgb))

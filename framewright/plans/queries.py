@@ -134,6 +134,33 @@ def crowded_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return det.overlap_pairs_grid(boxes, 0.3).groupBy("image_id", "a", "b", "iou").agg(F.count("*").alias("n"))
 
 
+# Images of 5,000 boxes, as many as the parts make.
+DENSE = {
+    "image_id": "CAST(floor(p_partkey / 5000) AS BIGINT)",
+    "face_idx": "p_partkey",
+    "x": "CAST(p_partkey * 7919 % 4000 AS FLOAT)",
+    "y": "CAST(p_partkey * 104729 % 3000 AS FLOAT)",
+    "width": "CAST(20 + p_size AS FLOAT)",
+    "height": "CAST(24 + p_size AS FLOAT)",
+}
+DENSE_BOXES = "SELECT " + ", ".join(f"{e} AS {n}" for n, e in DENSE.items()) + " FROM part"
+DENSE_PAIRS = f"SELECT image_id, a, b, iou FROM (SELECT p.image_id, p.face_idx AS a, q.face_idx AS b, {_iou('p.', 'q.')} AS iou FROM ({DENSE_BOXES}) p JOIN ({DENSE_BOXES}) q ON p.image_id = q.image_id AND p.face_idx < q.face_idx) WHERE iou > CAST(0.3 AS FLOAT)"
+
+
+def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").selectExpr(*[f"{e} AS {n}" for n, e in DENSE.items()])
+
+
+@query(DENSE_PAIRS)
+def dense_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return det.overlap_pairs(_dense(spark, sf_dir), 0.3)
+
+
+@query(DENSE_PAIRS)
+def dense_overlaps_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return det.overlap_pairs_grid(_dense(spark, sf_dir), 0.3)
+
+
 @query(f"SELECT image_id, min(x) AS min_x, min(y) AS min_y, max({RIGHT.format(p='')}) AS max_x, max({BOTTOM.format(p='')}) AS max_y FROM ({DETECTIONS}) GROUP BY image_id")
 def scene_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return det.scene_bounds(detections(spark, sf_dir))
@@ -622,6 +649,11 @@ def mapping_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapping.existing_targets(entries, files).select("p_partkey", "source_path")
 
 
+@query("SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, trim(p_name) AS p_name, trim(p_brand) AS p_brand, trim(p_type) AS p_type, CAST(p_size AS VARCHAR) AS p_size FROM part")
+def mapping_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mapping.read_parquet(spark, f"{sf_dir}/part.parquet").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
+
+
 GUARDED = ["SELECT a FROM t", "select last_update from t", "SELECT updated FROM t", "DELETE FROM t", "SELECT 1; SELECT 2", "WITH x AS (SELECT 1) SELECT * FROM x", " SELECT 'drop' ", "SELECT dropped_at FROM t"]
 
 
@@ -824,6 +856,42 @@ def chamfered_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _kernel(spark, sf_dir, lambda img: shapes.apply_mask(img, shapes.Shape("chamfered_rectangle", size_pct=0.25), 0.5, 0.5))
 
 
+@query(f"SELECT channel, value, count(*) AS n FROM (SELECT unnest(['red', 'green', 'blue']) AS channel, unnest([r, g, b]) AS value FROM {COLORED}) GROUP BY ALL")
+def channel_histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planes = F.array(*[F.struct(F.lit(n).alias("channel"), imaging.channel(F.col("data"), k).alias("pixels")) for k, n in enumerate(("red", "green", "blue"))])
+    each = _colored(spark, sf_dir).select(F.explode(planes).alias("p")).select("p.*")
+    return imaging.histogram(each, ["channel"])
+
+
+@query()
+def crop_and_enhance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One image of 1024 pixels a side for each nation: its face cut to 512 pixels and put through nine filters."""
+    import numpy as np
+
+    from ..operators.pixels import Enhancement, map_images
+    from ..sources.settings import Settings
+    from . import batch
+
+    def scene(img: np.ndarray) -> np.ndarray:
+        out = np.full((1024, 1024, 4), 64, dtype=np.uint8)
+        y, x = np.mgrid[256:768, 256:768]
+        ramp = ((x + y) % 255).astype(np.uint8)
+        out[256:768, 256:768] = np.dstack([ramp, 255 - ramp, ramp // 2 + 60, ramp])
+        out[..., 3] = 255
+        return out
+
+    settings = Settings()
+    settings.crop.output_width = settings.crop.output_height = 512
+    settings.crop.face_height_pct = 75.0
+    settings.enhance = Enhancement(
+        auto_color=True, exposure_stops=0.15, brightness=8, contrast=1.15, saturation=1.2, unsharp_amount=0.6, unsharp_radius=1.2, sharpness=0.2, skin_smooth_amount=0.3
+    )
+    face = "array(named_struct('face_idx', 0L, 'x', 320f, 'y', 320f, 'width', 384f, 'height', 384f, 'score', 0.95f, 'landmarks', array(named_struct('x', 360f, 'y', 380f), named_struct('x', 620f, 'y', 380f))))"
+    blank = table(spark, sf_dir, "nation").repartition(25, "n_nationkey").selectExpr("CAST(n_nationkey AS STRING) AS path", "1 AS width", "1 AS height", "unhex('00000000') AS data", f"{face} AS faces")
+    made = batch.crops(map_images(blank, scene), None, settings)
+    return made.select("path", "width", "height", F.sha2("data", 256).alias("sha256"), F.round("quality_score", 3).alias("quality_score"))
+
+
 # Head tensors.
 
 HEADS = "SELECT l_orderkey AS image_id, CAST(8 * (1 + l_linenumber % 3) AS INTEGER) AS stride, CAST(l_partkey % 80 AS INTEGER) AS row, CAST(l_suppkey % 80 AS INTEGER) AS col, CAST(l_discount * 10 AS FLOAT) AS cls, CAST(l_tax * 12 AS FLOAT) AS obj, CAST(l_quantity / 50 AS FLOAT) AS dx, CAST(l_tax AS FLOAT) AS dy, CAST(l_discount AS FLOAT) AS k FROM lineitem"
