@@ -1,6 +1,7 @@
 import random
 import re
 import time
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -97,3 +98,50 @@ def test_redaction_and_edges(spark):
 
 def test_overlapping_spans_become_one():
     assert pii.redact_text("0123456789", [(0, 1, 4), (3, 3, 6), (2, 8, 9)]) == "0<EMAIL>67<CARD>9"
+
+
+def brute_bootstrap(texts, support=5, precision=0.2, accept=0.5):
+    """Accepted (kind, instance), by plain loops over all occurrences until nothing changes."""
+    occ = [o for t in texts for o in pii.occurrences(t, pii.base_spans(t))]
+    totals = Counter(w.lower() for t in texts for w in re.findall(r"\w+", t))
+    known = {(o[0], o[3]) for o in occ if o[4]}
+    given, found = set(known), set()
+    seen = [(k, inst, flag, side, w) for k, _, _, inst, flag, left, right in occ for side, w in (("L", left), ("R", right)) if w]
+    while True:
+        trust = {}
+        for k, side, w in {(s[0], s[3], s[4]) for s in seen}:
+            hits = [s for s in seen if (s[0], s[3], s[4]) == (k, side, w) and ((s[2] and (s[0], s[1]) in given) or (not s[2] and (s[0], s[1]) in found))]
+            if len({(s[1], s[2]) for s in hits}) >= support and len(hits) / max(len(hits), totals[w]) >= precision:
+                trust[k, side, w] = len(hits) / max(len(hits), totals[w])
+        new = set()
+        for k, inst in {(s[0], s[1]) for s in seen if not s[2]}:
+            left = 1.0
+            for p in {(s[0], s[3], s[4]) for s in seen if not s[2] and (s[0], s[1]) == (k, inst)}:
+                left *= 1 - trust.get(p, 0.0)
+            if 1 - left >= accept + 1e-9:
+                new.add((k, inst))
+        if new <= found:
+            return found
+        found |= new
+
+
+def test_bootstrapping_equals_brute_force(spark):
+    rng = random.Random(31)
+    total = 0
+    for _ in range(3):
+        words = [f"w{k}" for k in range(25)]
+        loose = [f"555-{rng.randrange(100, 999)}-{rng.randrange(1000, 9999)}" for _ in range(12)] + [f"u{k}@host" for k in range(6)]
+        fixed = [f"+1 555 0{k:02d} {rng.randrange(1000, 9999)}" for k in range(30)] + [f"m{k}@a.org" for k in range(20)]
+        texts = []
+        for _ in range(260):
+            span = rng.choice(fixed if rng.random() < 0.6 else loose)
+            side = rng.choice(["call", "mail"]) if rng.random() < 0.6 else rng.choice(words)
+            texts.append(f"{rng.choice(words)} {side}{rng.choice([':', ' ', ','])} {span} {rng.choice(words)}. {rng.choice(words)}")
+        want = brute_bootstrap(texts)
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        rows = pii._scan(docs, "doc_id", "text")
+        occ = rows.select("id", "th", F.explode("occ").alias("o")).select("id", "th", "o.*")
+        got = {tuple(r) for r in pii.bootstrap(occ, lambda w: pii.count_words(docs, "text", w)).collect()}
+        assert got == want
+        total += len(want)
+    assert total > 10
