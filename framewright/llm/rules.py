@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import let, text_or_empty
+from .shared import free_name, let, scratch, text_or_empty
 
 # Common function words, most frequent first (fixed values).
 COMMON_WORDS = {
@@ -119,24 +119,38 @@ def _word_histogram(reference: Column, words: Column, common: Column) -> Column:
     return let(counts, lambda n: F.concat(n, F.array(F.size(words).cast("long") - F.aggregate(n, F.lit(0).cast("long"), lambda a, x: a + x))))
 
 
-def histograms(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """reference, n_words, classes and commons of each document, nothing else."""
+def measures(text: Column, lang: Column) -> Column:
+    """All that the rules need to know of a text, as a struct of some dozens of numbers."""
 
-    def body(w: Column) -> Column:
-        def known(c: Column) -> Column:
+    def with_words(w: Column) -> Column:
+        def with_common(c: Column) -> Column:
             return let(
-                _reference_language(F.col("__lang"), c),
-                lambda r: F.struct(r.alias("reference"), F.size(w).alias("n_words"), _class_histogram(F.col("__text")).alias("classes"), _word_histogram(r, w, c).alias("commons")),
+                _reference_language(lang, c),
+                lambda r: F.struct(
+                    r.alias("reference"),
+                    F.size(w).cast("long").alias("n_words"),
+                    F.char_length(text).cast("long").alias("n_chars"),
+                    _class_histogram(text).alias("classes"),
+                    _word_histogram(r, w, c).alias("commons"),
+                    _dup_lines(text).alias("n_dup_lines"),
+                    _repeat_words(w).alias("n_repeat_words"),
+                ),
             )
 
-        return let(_common_of(w), known)
+        return let(_common_of(w), with_common)
+
+    return let(_words(text), with_words)
+
 
-    slim = docs.select(text_or_empty(text_col).alias("__text"), F.col(lang_col).alias("__lang"))
-    return slim.select(let(_words(F.col("__text")), body).alias("h")).select("h.*")
+def measured(docs: DataFrame, keep: list[str], name: str, text_col: str = "text", lang: Column | None = None) -> DataFrame:
+    """The columns ``keep`` and the measures of each text as a column ``name``; a null language is unknown."""
+    own = F.lit(None).cast("string") if lang is None else lang
+    slim = docs.select(*[F.col(f"`{c}`") for c in keep], text_or_empty(text_col).alias("__text"), own.alias("__lang"))
+    return slim.select(*[F.col(f"`{c}`") for c in keep], measures(F.col("__text"), F.col("__lang")).alias(name))
 
 
-def fit_references(docs: DataFrame, limits: Limits = Limits(), text_col: str = "text", lang_col: str = "lang") -> dict[str, dict[str, list[float]]]:
-    """Each language's reference shares, from all documents of ``guard_words`` words and more.
+def fit_references(table: DataFrame, name: str, limits: Limits = Limits()) -> dict[str, dict[str, list[float]]]:
+    """Each language's reference shares, from the measures of all documents of ``guard_words`` words and more.
 
     Character classes: the geometric mean of the documents' shares, which a minority of odd documents
     hardly moves.  Words: shares of the summed counts.  At most one row per known language comes to the
@@ -145,7 +159,7 @@ def fit_references(docs: DataFrame, limits: Limits = Limits(), text_col: str = "
     n_class, n_word = len(LISTED_CLASSES) + 1, len(next(iter(COMMON_WORDS.values()))) + 1
     total = F.aggregate("classes", F.lit(0).cast("long"), lambda a, x: a + x)
     logs = F.transform("classes", lambda c: F.ln((c + 0.5) / (total + 0.5 * n_class)))
-    chosen = histograms(docs, text_col, lang_col).where(F.col("n_words") >= limits.guard_words)
+    chosen = table.select(f"{name}.*").where(F.col("n_words") >= limits.guard_words)
     sums = (
         chosen.select("reference", "commons", logs.alias("logs"))
         .groupBy("reference")
@@ -178,55 +192,49 @@ def _shares(reference: Column, references: dict, kind: str) -> Column:
     return out
 
 
-def verdict(text: Column, lang: Column, references: dict, limits: Limits = Limits()) -> Column:
-    """A struct of all counts, both distances, base_failed and kept, each computed once per row."""
+def verdict(measures: Column, references: dict, limits: Limits = Limits()) -> Column:
+    """A struct of all counts, both distances, base_failed and kept, from a text's measures, each worked out once per row."""
+    return let(measures, lambda m: _judged(m, references, limits))
 
+
+def _judged(m: Column, references: dict, limits: Limits) -> Column:
     names = list(LISTED_CLASSES)
 
-    def distance(counts: Column, kind: str, reference: Column) -> Column:
+    def distance(kind: str) -> Column:
         """0 where the corpus has no document to make a reference of."""
-        return F.coalesce(F.round(js_distance(counts, _shares(reference, references, kind)), 9), F.lit(0.0))
+        return F.coalesce(F.round(js_distance(m[kind], _shares(m["reference"], references, kind)), 9), F.lit(0.0))
+
+    base = F.struct(
+        m["n_words"].alias("n_words"),
+        (m["n_chars"] - m["classes"][names.index("blank")]).alias("word_chars"),
+        m["classes"][names.index("symbol")].alias("n_symbols"),
+        m["n_dup_lines"].alias("n_dup_lines"),
+        m["n_repeat_words"].alias("n_repeat_words"),
+        distance("classes").alias("class_distance"),
+        distance("commons").alias("word_distance"),
+    )
 
-    def with_words(w: Column) -> Column:
-        return let(_common_of(w), lambda c: let(_reference_language(lang, c), lambda r: with_reference(w, c, r)))
-
-    def with_reference(w: Column, c: Column, r: Column) -> Column:
-        base = let(
-            _class_histogram(text),
-            lambda h: F.struct(
-                F.size(w).cast("long").alias("n_words"),
-                (F.char_length(text).cast("long") - h[names.index("blank")]).alias("word_chars"),
-                h[names.index("symbol")].alias("n_symbols"),
-                _dup_lines(text).alias("n_dup_lines"),
-                _repeat_words(w).alias("n_repeat_words"),
-                distance(h, "classes", r).alias("class_distance"),
-                distance(_word_histogram(r, w, c), "commons", r).alias("word_distance"),
-            ),
+    def decide(b: Column) -> Column:
+        failed = (b["n_words"] < limits.min_words) | (100 * b["n_repeat_words"] > limits.max_repeat_percent * b["n_words"])
+        n, c, d = b["n_words"], b["class_distance"], b["word_distance"]
+        far = (
+            ((n >= limits.guard_words) & (c > limits.max_class_distance))
+            | ((n >= limits.word_guard) & (d > limits.max_word_distance))
+            | ((n >= limits.joint_guard) & (c > limits.joint_class_distance) & (d > limits.joint_word_distance))
+        )
+        return F.struct(
+            b["n_words"].alias("n_words"),
+            b["word_chars"].alias("word_chars"),
+            b["n_symbols"].alias("n_symbols"),
+            b["n_dup_lines"].alias("n_dup_lines"),
+            b["n_repeat_words"].alias("n_repeat_words"),
+            failed.alias("base_failed"),
+            (~failed & ~far).alias("kept"),
+            b["class_distance"].alias("class_distance"),
+            b["word_distance"].alias("word_distance"),
         )
 
-        def decide(b: Column) -> Column:
-            failed = (b["n_words"] < limits.min_words) | (100 * b["n_repeat_words"] > limits.max_repeat_percent * b["n_words"])
-            n, c, d = b["n_words"], b["class_distance"], b["word_distance"]
-            far = (
-                ((n >= limits.guard_words) & (c > limits.max_class_distance))
-                | ((n >= limits.word_guard) & (d > limits.max_word_distance))
-                | ((n >= limits.joint_guard) & (c > limits.joint_class_distance) & (d > limits.joint_word_distance))
-            )
-            return F.struct(
-                b["n_words"].alias("n_words"),
-                b["word_chars"].alias("word_chars"),
-                b["n_symbols"].alias("n_symbols"),
-                b["n_dup_lines"].alias("n_dup_lines"),
-                b["n_repeat_words"].alias("n_repeat_words"),
-                failed.alias("base_failed"),
-                (~failed & ~far).alias("kept"),
-                b["class_distance"].alias("class_distance"),
-                b["word_distance"].alias("word_distance"),
-            )
-
-        return let(base, decide)
-
-    return let(_words(text), with_words)
+    return let(base, decide)
 
 
 def score_documents(docs: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", references: dict | None = None) -> DataFrame:
@@ -236,15 +244,27 @@ def score_documents(docs: DataFrame, limits: Limits = Limits(), id_col: str = "d
     reference whose common words the text has most of, the first listed on a draw; there is none that fits
     a language without a list, so pass such documents' own references, or leave them to other rules.
     Repeated rows are judged alike; a null id is kept; an empty table gives no rows; other columns, of any
-    name, are not read.  Very long texts are counted whole, in one row's memory and n log n time.  No shuffle
-    but for one row per language and task.
+    name, are not read.  Very long texts are counted whole, in one row's memory and n log n time.  Texts are
+    measured once, into a table of some dozens of numbers for each, from which references and verdicts
+    come; no shuffle but for one row per language and task.
     """
-    references = fit_references(docs, limits, text_col, lang_col) if references is None else references
-    slim = docs.select(F.col(id_col), text_or_empty(text_col).alias("__text"), F.col(lang_col).alias("__lang"))
-    return slim.select(id_col, verdict(F.col("__text"), F.col("__lang"), references, limits).alias("v")).select(id_col, "v.*")
+    name = free_name("__measures", [id_col])
+    table = measured(docs, [id_col], name, text_col, F.col(f"`{lang_col}`"))
+    if references is None:
+        with scratch(docs.sparkSession) as result:
+            table = result(table, "rules-measures")
+            references = fit_references(table, name, limits)
+    return table.select(F.col(f"`{id_col}`"), verdict(F.col(name), references, limits).alias(name)).select(F.col(f"`{id_col}`"), f"{name}.*")
 
 
 def keep_good(docs: DataFrame, limits: Limits = Limits(), text_col: str = "text", lang_col: str = "lang", references: dict | None = None) -> DataFrame:
     """The rows of ``docs`` that pass, with all their columns; nulls, repeats and empty tables as in :func:`score_documents`."""
-    references = fit_references(docs, limits, text_col, lang_col) if references is None else references
-    return docs.where(verdict(text_or_empty(text_col), F.col(lang_col), references, limits)["kept"])
+    names = docs.columns
+    name = free_name("__measures", names)
+    table = docs.withColumn(name, measures(text_or_empty(text_col), F.col(f"`{lang_col}`")))
+    if references is None:
+        with scratch(docs.sparkSession) as result:
+            # Rows and measures together: reading them again costs far less than measuring again.
+            table = result(table, "rules-rows")
+            references = fit_references(table, name, limits)
+    return table.where(verdict(F.col(name), references, limits)["kept"]).select(*[F.col(f"`{c}`") for c in names])
