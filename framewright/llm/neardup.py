@@ -442,10 +442,12 @@ def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         marked = classes.groupBy("id", "th").agg(F.first("kept").alias("kept"), F.count("*").alias("n")).where("not kept or n > 1")
         marked = result(marked.select(F.col("id").alias(gone_id), F.col("th").alias(gone_th), F.col("kept").alias(mark)), "near-marked")
     keyed = docs.withColumn(key, F.xxhash64(text_or_empty(text_col)))
-    both = keyed.join(marked.hint("merge"), (own == F.col(gone_id)) & (F.col(key) == F.col(gone_th)), "left").where(F.col(mark).isNull() | F.col(mark))
-    single = both.where(F.col(mark).isNull()).select(*[F.col(f"`{c}`") for c in names])
-    repeated = both.where(F.col(mark).isNotNull())
-    order = F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in names])))
-    whole = F.struct(*[F.col(f"`{c}`") for c in names])
-    chosen = repeated.groupBy(gone_id, gone_th).agg(F.min_by(whole, order).alias(mark)).select(F.col(f"{mark}.*"))
-    return single.unionByName(chosen)
+    matched = (own == F.col(gone_id)) & (F.col(key) == F.col(gone_th))
+    columns = [F.col(f"`{c}`") for c in names]
+    single = keyed.join(marked.hint("merge"), matched, "left_anti").select(*columns)
+    again = marked.where(F.col(mark))
+    if again.isEmpty():
+        return single
+    order = F.xxhash64(F.to_json(F.struct(*columns)))
+    repeated = keyed.join(again.hint("merge"), matched).groupBy(gone_id, gone_th).agg(F.min_by(F.struct(*columns), order).alias(mark))
+    return single.unionByName(repeated.select(F.col(f"{mark}.*")))
