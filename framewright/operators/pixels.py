@@ -23,7 +23,7 @@ QUALITY_SIDE = 512
 
 @dataclass(frozen=True)
 class Enhancement:
-    """Strengths of all filters; the defaults sharpen a little and do nothing else."""
+    """Strengths of all filters, named as in settings files (fixed values); the defaults sharpen a little and do nothing else."""
 
     auto_color: bool = False
     exposure_stops: float = 0.0

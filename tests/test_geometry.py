@@ -6,16 +6,16 @@ from pyspark.sql import functions as F
 from framewright.functions import f32, geometry
 from framewright.functions.geometry import Box
 
-# Crop regions that must come out exactly: image, box, output, percentage, mode, offsets, region and paddings.
+# Crop regions that must come out exactly (fixed values): image, box, output, percentage, mode, offsets, region and paddings.
 GOLDEN = [
-    ("center_square_in_bounds", [512, 512], [160.0, 160.0, 140.0, 140.0], [256, 256], 70.0, "center", [0.0, 0.0], [130, 130, 200, 200, 0, 0, 0, 0]),
-    ("center_requires_padding_all_sides", [200, 200], [40.0, 40.0, 140.0, 140.0], [256, 256], 50.0, "center", [0.0, 0.0], [-30, -30, 280, 280, 30, 30, 50, 50]),
-    ("face_top_left_corner", [500, 500], [0.0, 0.0, 120.0, 120.0], [256, 256], 80.0, "center", [0.0, 0.0], [-15, -15, 150, 150, 15, 15, 0, 0]),
-    ("rule_of_thirds_landscape", [800, 600], [300.0, 200.0, 160.0, 160.0], [400, 400], 60.0, "rule_of_thirds", [0.0, 0.0], [247, 102, 267, 267, 0, 0, 0, 0]),
-    ("custom_offset_right_down", [600, 600], [250.0, 250.0, 120.0, 120.0], [300, 300], 50.0, "custom", [0.5, 0.3], [250, 226, 240, 240, 0, 0, 0, 0]),
-    ("portrait_output_9x16", [1080, 1920], [400.0, 500.0, 300.0, 300.0], [360, 640], 70.0, "center", [0.0, 0.0], [429, 436, 241, 429, 0, 0, 0, 0]),
-    ("landscape_output_16x9", [1920, 1080], [800.0, 400.0, 260.0, 260.0], [640, 360], 65.0, "center", [0.0, 0.0], [574, 330, 711, 400, 0, 0, 0, 0]),
-    ("small_face_low_pct", [1000, 1000], [450.0, 450.0, 80.0, 80.0], [400, 400], 20.0, "center", [0.0, 0.0], [290, 290, 400, 400, 0, 0, 0, 0]),
+    ([512, 512], [160.0, 160.0, 140.0, 140.0], [256, 256], 70.0, "center", [0.0, 0.0], [130, 130, 200, 200, 0, 0, 0, 0]),
+    ([200, 200], [40.0, 40.0, 140.0, 140.0], [256, 256], 50.0, "center", [0.0, 0.0], [-30, -30, 280, 280, 30, 30, 50, 50]),
+    ([500, 500], [0.0, 0.0, 120.0, 120.0], [256, 256], 80.0, "center", [0.0, 0.0], [-15, -15, 150, 150, 15, 15, 0, 0]),
+    ([800, 600], [300.0, 200.0, 160.0, 160.0], [400, 400], 60.0, "rule_of_thirds", [0.0, 0.0], [247, 102, 267, 267, 0, 0, 0, 0]),
+    ([600, 600], [250.0, 250.0, 120.0, 120.0], [300, 300], 50.0, "custom", [0.5, 0.3], [250, 226, 240, 240, 0, 0, 0, 0]),
+    ([1080, 1920], [400.0, 500.0, 300.0, 300.0], [360, 640], 70.0, "center", [0.0, 0.0], [429, 436, 241, 429, 0, 0, 0, 0]),
+    ([1920, 1080], [800.0, 400.0, 260.0, 260.0], [640, 360], 65.0, "center", [0.0, 0.0], [574, 330, 711, 400, 0, 0, 0, 0]),
+    ([1000, 1000], [450.0, 450.0, 80.0, 80.0], [400, 400], 20.0, "center", [0.0, 0.0], [290, 290, 400, 400, 0, 0, 0, 0]),
 ]
 SCHEMA = "img_w int, img_h int, x float, y float, width float, height float, ow int, oh int, pct float, mode string, hx float, vy float"
 
@@ -27,9 +27,9 @@ def regions(spark, rows):
 
 
 def test_golden_regions(spark):
-    got = regions(spark, [(*g[1], *g[2], *g[3], g[4], g[5], *g[6]) for g in GOLDEN])
-    assert [list(r["r"]) for r in got] == [g[7] for g in GOLDEN]
-    assert [r["padded"] for r in got] == [any(g[7][4:]) for g in GOLDEN]
+    got = regions(spark, [(*g[0], *g[1], *g[2], g[3], g[4], *g[5]) for g in GOLDEN])
+    assert [list(r["r"]) for r in got] == [g[6] for g in GOLDEN]
+    assert [r["padded"] for r in got] == [any(g[6][4:]) for g in GOLDEN]
 
 
 def test_wild_numbers_saturate(spark):
