@@ -38,12 +38,16 @@ def _joined(parts: Column) -> Column:
 
     def add(acc: Column, p: Column) -> Column:
         at = acc["at"] + F.char_length(p["mark"])
-        moved = F.transform(p["spans"], lambda s: F.struct((s["start"] + at).alias("start"), (s["stop"] + at).alias("stop")))
-        return F.struct((at + F.char_length(p["body"])).alias("at"), F.concat(acc["spans"], moved).alias("spans"))
+        return F.struct((at + F.char_length(p["body"])).alias("at"), F.concat(acc["starts"], F.array(at)).alias("starts"))
 
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPAN).alias("spans"))
+    def moved(starts: Column) -> Column:
+        """All spans, each moved by where its part's body starts; none is copied more than once."""
+        place = lambda s, at: F.struct((s["start"] + at).alias("start"), (s["stop"] + at).alias("stop"))
+        return F.flatten(F.transform(parts, lambda p, i: F.transform(p["spans"], lambda s: place(s, F.get(starts, i)))))
+
+    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("starts"))
     text = F.array_join(F.flatten(F.transform(parts, lambda p: F.array(p["mark"], p["body"]))), "")
-    return F.struct(text.alias("body"), F.aggregate(parts, zero, add)["spans"].alias("spans"))
+    return F.struct(text.alias("body"), let(F.aggregate(parts, zero, add)["starts"], moved).alias("spans"))
 
 
 def format_conversations(
