@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, licences, lines, neardup, oracle, packing, pii, ranking, rules, vectors
+from . import bpe, chat, infill, licences, lines, neardup, oracle, packing, pii, ranking, rules, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_chunked_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digests(infill.fill_in_middle(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_bradley_terry": op1_bradley_terry,
     "op2_sum_of_squares_packing": op2_sum_of_squares_packing,
@@ -74,10 +78,12 @@ QUERIES = {
     "op8_pca_tiles": op8_pca_tiles,
     "op9_relational_chat": op9_relational_chat,
     "op10_byte_bpe": op10_byte_bpe,
+    "op13_chunked_infill": op13_chunked_infill,
 }
 
 ORACLE_SQL = {
     "op5_quality_rules": oracle.quality_rules(),
     "op7_line_winnowing": oracle.LINE_DEDUP,
     "op9_relational_chat": oracle.CHAT,
+    "op13_chunked_infill": oracle.FILL_IN_MIDDLE,
 }

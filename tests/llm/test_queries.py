@@ -15,7 +15,7 @@ def test_query_equals_its_sql(spark, sf_dir, name):
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_covers_its_table(spark, sf_dir, name):
     got = QUERIES[name](spark, sf_dir)
-    assert name.split("_")[0] in {f"op{n}" for n in range(1, 11)}
+    assert name.split("_")[0] in {f"op{n}" for n in range(1, 14)}
     key = next(c for c in IDS if c in got.columns)
     table = {"doc_id": "documents", "vec_id": "embeddings", "conv_id": "conversations"}[key]
     want = spark.read.parquet(f"{sf_dir}/{table}.parquet").select(key).distinct()
