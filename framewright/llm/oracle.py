@@ -101,3 +101,28 @@ SELECT doc_id, CAST(n AS BIGINT) AS n, form,
   sha256(t) AS restored_sha256
 FROM p
 """
+
+# The checksum is folded over a feature's bytes with the usual table of 256 remainders, made by its rule.
+IMPORTANCE = r"""
+WITH tab AS (SELECT list_transform(range(0, 256), lambda i: list_reduce(list_concat([CAST(i AS BIGINT)], range(0, 8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS tb),
+d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+both_ AS (SELECT r, t FROM d UNION ALL SELECT -row_number() OVER (), coalesce(text, '') FROM benchmark),
+w AS (SELECT r, regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM both_),
+f AS (
+  SELECT r, unnest(ws) AS x FROM w
+  UNION ALL SELECT r, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) FROM w
+  UNION ALL SELECT r, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) FROM w),
+n AS (SELECT r, x, count(*) AS k FROM f GROUP BY r, x),
+x AS (SELECT DISTINCT x FROM n),
+y AS (SELECT x, list_transform(range(0, octet_length(encode(x))), lambda i: CAST('0x' || substr(hex(encode(x)), CAST(2 * i + 1 AS INTEGER), 2) AS BIGINT)) AS bs FROM x),
+c AS (SELECT x, xor(list_reduce(list_concat([4294967295], bs), lambda c, b: xor(c // 256, tb[xor(c % 256, b) + 1])), 4294967295) % 10000 AS bucket FROM y, tab),
+o AS (SELECT r, bucket, sum(k) AS k FROM n JOIN c USING (x) GROUP BY r, bucket),
+g AS (SELECT bucket, coalesce(sum(k) FILTER (r > 0), 0) AS s, coalesce(sum(k) FILTER (r < 0), 0) AS t FROM o GROUP BY bucket),
+gain AS (SELECT bucket, CAST(floor(1000 * ln((CAST(t + 1 AS DOUBLE) * CAST((SELECT sum(s) FROM g) + 10000 AS DOUBLE)) / (CAST(s + 1 AS DOUBLE) * CAST((SELECT sum(t) FROM g) + 10000 AS DOUBLE)))) AS BIGINT) AS gain FROM g),
+m AS (SELECT r, CAST(sum(k) AS BIGINT) AS n_features, CAST(sum(k * gain) AS BIGINT) AS weight FROM o JOIN gain USING (bucket) GROUP BY r),
+e AS (SELECT d.r, doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, len(ws) >= 20 AS able,
+    CAST('0x' || substr(sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h FROM d JOIN w USING (r) LEFT JOIN m USING (r)),
+z AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM e),
+q AS (SELECT *, row_number() OVER (ORDER BY able DESC, score DESC, doc_id NULLS FIRST, r) AS place FROM z)
+SELECT doc_id, n_features, weight, score, CASE WHEN able AND place <= (SELECT 5 * count(*) // 100 FROM e WHERE able) THEN CAST(place AS BIGINT) END AS rank FROM q
+"""

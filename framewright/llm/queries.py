@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, infill, licences, lines, neardup, oracle, packing, pii, ranking, rules, vectors
+from . import bpe, chat, importance, infill, licences, lines, neardup, oracle, packing, pii, ranking, rules, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_chunked_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.digests(infill.fill_in_middle(table(spark, sf_dir, "documents")))
 
@@ -78,6 +82,7 @@ QUERIES = {
     "op8_pca_tiles": op8_pca_tiles,
     "op9_relational_chat": op9_relational_chat,
     "op10_byte_bpe": op10_byte_bpe,
+    "op12_importance_resampling": op12_importance_resampling,
     "op13_chunked_infill": op13_chunked_infill,
 }
 
@@ -85,5 +90,6 @@ ORACLE_SQL = {
     "op5_quality_rules": oracle.quality_rules(),
     "op7_line_winnowing": oracle.LINE_DEDUP,
     "op9_relational_chat": oracle.CHAT,
+    "op12_importance_resampling": oracle.IMPORTANCE,
     "op13_chunked_infill": oracle.FILL_IN_MIDDLE,
 }
