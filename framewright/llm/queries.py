@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, importance, infill, licences, lines, neardup, oracle, packing, pii, ranking, rules, vectors
+from . import bpe, chat, importance, infill, licences, lines, neardup, oracle, packing, pii, ranking, rules, secret_scan, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_layered_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digests(secret_scan.find_secrets(table(spark, sf_dir, "documents")))
+
+
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -82,6 +86,7 @@ QUERIES = {
     "op8_pca_tiles": op8_pca_tiles,
     "op9_relational_chat": op9_relational_chat,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_layered_secrets": op11_layered_secrets,
     "op12_importance_resampling": op12_importance_resampling,
     "op13_chunked_infill": op13_chunked_infill,
 }
