@@ -2,7 +2,9 @@
 
 Templates are few and fixed, so their inverted index (fingerprint to template and position) is a small
 constant that every task holds.  A text's word runs are looked up in it; hits on nearly the same diagonal
-are one candidate, and its window is aligned with the template inside a band.
+are one candidate, and its window is aligned with the template inside a band.  A licence is named only if
+the words that tell it from others (names, versions, conditions) are all there, in order, and no others of
+that kind are.
 """
 
 from __future__ import annotations
@@ -24,7 +26,8 @@ BAND = 6
 MIN_COVERAGE = 0.8
 
 # Public licences (fixed values): whole texts of short ones without their copyright lines; of long ones the
-# whole notice that they tell authors to put into files (-header); one-line statements (-notice).
+# whole notice that they tell authors to put into files (-header), and their own first lines (-opening), by
+# which whole copies of them are found; one-line statements (-notice).
 TEMPLATES = {
     "mit-notice": "Released under the MIT License.",
     "mit-notice-licensed": "Licensed under the MIT License.",
@@ -44,8 +47,16 @@ TEMPLATES = {
     "gpl-2.0-header": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.",
     "lgpl-2.1-header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details. You should have received a copy of the GNU Lesser General Public License along with this library; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.",
     "mpl-2.0-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "apache-2.0-opening": "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION 1. Definitions. \"License\" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document.",
+    "gpl-3.0-opening": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/> Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed. Preamble The GNU General Public License is a free, copyleft license for software and other kinds of works.",
+    "lgpl-3.0-opening": "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/> Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.",
+    "mpl-2.0-opening": "Mozilla Public License Version 2.0 1. Definitions 1.1. \"Contributor\" means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software.",
 }
 
+# Words that tell licences apart (fixed values): names and conditions; and words that a version follows.
+TELLING = frozenset("mit apache bsd isc zlib gnu gpl lgpl agpl lesser affero mozilla mpl eclipse epl cc creative commons attribution noncommercial sharealike noderivatives noderivs".split())
+VERSION_AFTER = frozenset("version v license licence".split())
+
 _word = re.compile(r"\w+")
 
 
@@ -88,12 +99,14 @@ class Index:
         self.vocab: dict[str, int] = {}
         self.words: list[np.ndarray] = []
         self.bands: list[int] = []
+        self.telling: list[list[str]] = []
         self.places: dict[int, list[tuple[int, int]]] = defaultdict(list)
         self.gram = gram
         for t, text in enumerate(templates.values()):
             ids = np.array([self.vocab.setdefault(w.lower(), len(self.vocab) + 1) for w in _word.findall(text)], dtype=np.int64)
             self.words.append(ids)
             self.bands.append(band_of(len(ids)))
+            self.telling.append(telling(text, [m.span() for m in _word.finditer(text)], 0, len(ids) - 1))
             hashes = _grams(ids, gram)
             for p in winnow(hashes, window):
                 self.places[int(hashes[p])].append((t, p))
@@ -142,6 +155,38 @@ def align(template: np.ndarray, words: np.ndarray, shift: int, band: int = BAND)
     return max(best[-1], key=lambda c: c[0])
 
 
+_number = re.compile(r"v?[0-9]+").fullmatch
+
+
+def telling(text: str, places: list[tuple[int, int]], first: int, last: int) -> list[str]:
+    """The words among ``first`` to ``last`` that tell licences apart, and those joined on to the ends.
+
+    They are names and conditions, what a hyphen joins to one, what follows cc, and versions: numbers after a name or a word
+    like version, with what a full stop joins to them; a version's .0 says nothing.
+    """
+    found: list[str] = []
+    words: list[str] = []
+    marked: list[bool] = []
+    while first and text[places[first - 1][1] : places[first][0]] == "-":
+        first -= 1
+    begin = max(0, first - 3)
+    for k in range(begin, len(places)):
+        a, b = places[k]
+        word = text[a:b].lower()
+        joint = text[places[k - 1][1] : a] if k > begin else ""
+        if k > last and joint not in ("-", "."):
+            break
+        after = marked[-1:] == [True]
+        number = _number(word) is not None
+        mark = word in TELLING or words[-1:] == ["cc"] or (after and (joint == "-" or (number and joint == ".")))
+        mark = mark or (number and (any(marked[-2:]) or any(w in VERSION_AFTER for w in words[-2:])))
+        words.append(word)
+        marked.append(mark)
+        if k >= first and mark and not (word == "0" and joint == "." and after):
+            found.append(word.lstrip("v") if number else word)
+    return found
+
+
 def _common(template: np.ndarray, words: np.ndarray, size: int) -> int:
     """Words in common in whatever order, so no alignment has more."""
     return int(np.minimum(np.bincount(template, minlength=size)[1:], np.bincount(words, minlength=size)[1:]).sum())
@@ -158,7 +203,12 @@ def apart(found: list[tuple[int, float, int, int, int]]) -> list[tuple[int, floa
 
 
 def matches(text: str, index: Index, min_coverage: float = MIN_COVERAGE) -> list[tuple[str, int, float, int, int]]:
-    """(template, matched words, coverage, start, stop) of licence texts found, by start; overlaps go to the one that matches more."""
+    """(template, matched words, coverage, start, stop) of licence texts found, by start; overlaps go to the one that matches more.
+
+    Coverage is the share of the template's words.  A find needs ``min_coverage`` of the template's and the
+    other words within its stretch together, so words put in between cost as much as words left out, and
+    exactly the telling words of the template.
+    """
     look = index.vocab.get
     ids = np.array([look(w.lower(), 0) for w in _word.findall(text)], dtype=np.int64)
     hits = index.hits(ids)
@@ -169,6 +219,7 @@ def matches(text: str, index: Index, min_coverage: float = MIN_COVERAGE) -> list
         if not diagonals[t] or diagonal > diagonals[t][-1] + index.bands[t] // 2:
             diagonals[t].append(diagonal)
     found = []
+    places = [m.span() for m in _word.finditer(text)]
     for t, several in diagonals.items():
         template, band = index.words[t], index.bands[t]
         for diagonal in several:
@@ -177,11 +228,9 @@ def matches(text: str, index: Index, min_coverage: float = MIN_COVERAGE) -> list
             if _common(template, window, len(index.vocab) + 1) < min_coverage * len(template):
                 continue
             n, first, last = align(template, window, diagonal - lo, band)
-            if n / len(template) >= min_coverage:
+            between = last - first + 1 - n
+            if n >= min_coverage * (len(template) + between) and telling(text, places, lo + first, lo + last) == index.telling[t]:
                 found.append((n, n / len(template), lo + first, lo + last, t))
-    if not found:
-        return []
-    places = [m.span() for m in _word.finditer(text)]
     return [(index.names[t], n, c, places[a][0], places[b][1]) for n, c, a, b, t in apart(found)]
 
 

@@ -251,15 +251,17 @@ def sum_of_squares(lengths: list[int], capacity: int = CAPACITY) -> tuple[list[i
 def pack_pieces(pieces: DataFrame, n_groups: int, capacity: int = CAPACITY, id_col: str = "doc_id") -> DataFrame:
     """Add sequence_id and offset to pieces: gapless from 0 within a sequence, at most ``capacity`` in all.
 
-    Groups are dealt by a hash of the whole row, so no document, source or length gathers in one of them,
-    and each is packed by one task whose memory the group's size bounds.  A lost task repeats the same
-    placement, as rows are first ordered by a second hash of their content; rows that tie are equal.  Ids
-    stay in Arrow, so ids of any type, nulls and large numbers among them, come out as they were.
+    Groups are dealt by a hash of each row's number, so no document, source, length or repeated row gathers
+    in one of them, and each is packed by one task whose memory the group's size bounds.  ``pieces`` has to
+    be a written table, whose rows keep their numbers; then a lost task repeats the same placement, as rows
+    are first ordered by a second hash; rows that tie are equal.  Ids stay in Arrow, so ids of any type,
+    nulls and large numbers among them, come out as they were.
     """
     order = [id_col, "piece", "start", "length", "ids_crc32"]
-    group, rank = free_name("__group", pieces.columns), free_name("__rank", pieces.columns)
+    group, rank, row = (free_name(c, pieces.columns) for c in ("__group", "__rank", "__row"))
     columns = [F.col(f"`{c}`") for c in order]
-    dealt = pieces.select(*columns, F.xxhash64(F.lit(1), *columns).alias(rank), F.pmod(F.xxhash64(*columns), F.lit(n_groups)).alias(group))
+    numbered = pieces.select(*columns, F.monotonically_increasing_id().alias(row))
+    dealt = numbered.select(*columns, F.xxhash64(F.lit(1), *columns).alias(rank), F.pmod(F.xxhash64(row), F.lit(n_groups)).alias(group))
     schema = T.StructType([*dealt.schema.fields[:-2], T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def pack(table: pa.Table) -> pa.Table:
@@ -284,10 +286,12 @@ def pack_documents(
 
     Returns one row per piece: ``id_col``, piece, start, length, ids_crc32, sequence_id, offset.  Null
     texts count as empty, ids of any type come out untouched (nulls too), repeated rows are packed each,
-    an empty table gives no rows, very long texts are cut, other columns are not read.  Only the small
-    piece rows are shuffled, never a text.  ``group_pieces`` bounds a task's work; a group wastes about one
-    sequence, one in some thousands.
+    an empty table gives no rows, very long texts are cut, other columns are not read.  An id column with
+    the name of a result column is refused.  Only the small piece rows are shuffled, never a text.
+    ``group_pieces`` bounds a task's work; a group wastes about one sequence, one in some thousands.
     """
+    if id_col.lower() in ("piece", "start", "length", "ids_crc32", "sequence_id", "offset"):
+        raise ValueError(f"the id column {id_col} has the name of a result column")
     with scratch(docs.sparkSession) as result:
         pieces = stage_out(cut_pieces(docs, tokenizer_file, capacity, id_col, text_col), "pieces")
         groups = max(1, -(-pieces.count() // group_pieces))

@@ -115,8 +115,12 @@ ID, MEASURES = "id", "measures"
 
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, measures) of each row; the language is guessed from the text, whatever its column says."""
-    return rules.measured(docs.withColumnRenamed(id_col, ID) if id_col != ID else docs, [ID], MEASURES, text_col)
+    """(id, measures) of each row; the language is guessed from the text, whatever its column says.
+
+    Only the id and the text are read, so other columns may have any names.
+    """
+    slim = docs.select(F.col(f"`{id_col}`").alias(ID), F.col(f"`{text_col}`").cast("string").alias("text"))
+    return rules.measured(slim, [ID], MEASURES, "text")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> Model:
@@ -135,11 +139,12 @@ def fit_measured(table: DataFrame, labels: DataFrame, id_col: str = "doc_id", la
     give a model without preferences.
     """
     references = rules.fit_references(table, MEASURES)
-    usable = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & ~held_out(F.col(id_col)))
+    labels = labels.select(F.col(f"`{id_col}`").alias(ID), F.col(f"`{label_col}`").alias("label"))
+    usable = labels.where(F.col(ID).isNotNull() & F.col("label").isin(0, 1) & ~held_out(F.col(ID)))
     n = usable.count()
     share = min(1.0, sample_rows / max(1, n))
-    chosen = usable.where(F.pmod(F.xxhash64(id_col, F.lit(11)), F.lit(1 << 20)) < int(share * (1 << 20))) if share < 1 else usable
-    settled = chosen.groupBy(id_col).agg(F.min(label_col).alias("y"), F.max(label_col).alias("z")).where("y = z").select(F.col(id_col).alias("__id"), "y")
+    chosen = usable.where(F.pmod(F.xxhash64(ID, F.lit(11)), F.lit(1 << 20)) < int(share * (1 << 20))) if share < 1 else usable
+    settled = chosen.groupBy(ID).agg(F.min("label").alias("y"), F.max("label").alias("z")).where("y = z").select(F.col(ID).alias("__id"), "y")
     # about sample_rows small rows, so their size is bounded by the parameter
     sample = table.join(F.broadcast(settled), table[ID] == F.col("__id"))
     sample = sample.select("__id", "y", F.xxhash64(MEASURES).alias("h"), features(F.col(MEASURES), references).alias("x")).groupBy("__id", "y").agg(F.min_by("x", "h").alias("x"))
@@ -169,8 +174,8 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
     """``id_col``, held_out, score (0 to 1, ``CUT`` at the threshold) and predicted, one row per row of ``docs``.
 
     Null texts are scored as empty; repeated rows score alike; a null id is not held out; an empty table
-    gives no rows; very long texts are scored whole; other columns are not read.  Expressions only, and no
-    shuffle.
+    gives no rows; very long texts are scored whole; other columns are not read, whatever their names, and
+    the id column may have any name but a result column's.  Expressions only, and no shuffle.
     """
     return score_measured(measure(docs, id_col, text_col), model, id_col)
 

@@ -145,8 +145,9 @@ def measures(text: Column, lang: Column) -> Column:
 def measured(docs: DataFrame, keep: list[str], name: str, text_col: str = "text", lang: Column | None = None) -> DataFrame:
     """The columns ``keep`` and the measures of each text as a column ``name``; a null language is unknown."""
     own = F.lit(None).cast("string") if lang is None else lang
-    slim = docs.select(*[F.col(f"`{c}`") for c in keep], text_or_empty(text_col).alias("__text"), own.alias("__lang"))
-    return slim.select(*[F.col(f"`{c}`") for c in keep], measures(F.col("__text"), F.col("__lang")).alias(name))
+    text, said = free_name("__text", keep), free_name("__lang", keep)
+    slim = docs.select(*[F.col(f"`{c}`") for c in keep], text_or_empty(text_col).alias(text), own.alias(said))
+    return slim.select(*[F.col(f"`{c}`") for c in keep], measures(F.col(text), F.col(said)).alias(name))
 
 
 def fit_references(table: DataFrame, name: str, limits: Limits = Limits()) -> dict[str, dict[str, list[float]]]:
