@@ -1,8 +1,8 @@
 """Personal data: exact base patterns, and identifiers that bootstrapped contexts add.
 
 Base spans of four kinds come from fixed patterns.  They are the seeds: the words to their left and right
-become lexical patterns; a word is a run of letters and digits, the same where patterns are made and where
-their words are counted.  Tokens that look only loosely like an identifier are candidates.  Patterns and
+become lexical patterns; a word is a whole run of letters and digits of the text, the same where patterns are
+made and where their words are counted, so a word that a span cuts is none.  Tokens that look only loosely like an identifier are candidates.  Patterns and
 instances form a bipartite graph that Spark scores in rounds: a pattern by the share of all its word's
 occurrences that stand at known instances of a kind (with enough different ones), an instance by the
 patterns it is seen in.  Candidates that reach the threshold join the known instances of the next round,
@@ -38,6 +38,7 @@ _digit = re.compile(r"[0-9]").search
 _not_digit = re.compile(r"[^0-9]+")
 _word = re.compile(r"\w+").finditer
 _words = re.compile(r"\w+").findall
+_word_sign = re.compile(r"\w").match
 
 # Loose shapes of candidates, tried in this order.
 _loose = [
@@ -95,11 +96,19 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def _cut(text: str, at: int) -> bool:
+    """Whether a word goes on across a place."""
+    return 0 < at < len(text) and _word_sign(text[at - 1]) is not None and _word_sign(text[at]) is not None
+
+
 def _near(text: str, start: int, stop: int) -> tuple[str | None, str | None]:
-    """The words before and after, in lower case, whole at any length; only as much text is looked at as it takes."""
+    """The words before and after, in lower case, whole at any length; only as much text is looked at as it takes.
+
+    Words are those of the whole text, as they are counted: where the span cuts one, it has none on that side.
+    """
     left = right = None
     size = 64
-    while left is None:
+    while left is None and not _cut(text, start):
         lo = max(0, start - size)
         last = None
         for last in _word(text[lo:start]):
@@ -110,7 +119,7 @@ def _near(text: str, start: int, stop: int) -> tuple[str | None, str | None]:
             break
         size *= 4
     size = 64
-    while right is None:
+    while right is None and not _cut(text, stop):
         hi = min(len(text), stop + size)
         first = next(_word(text[stop:hi]), None)
         if first and (stop + first.end() < hi or hi == len(text)):
@@ -250,8 +259,8 @@ def bootstrap(occ: DataFrame, count: Callable[[DataFrame], DataFrame], min_suppo
             known.groupBy("kind", "side", "word")
             .agg(F.count("*").alias("support"), F.sum("times").alias("hits"))
             .where(F.col("support") >= min_support)
-            .join(totals, "word", "left")
-            .withColumn("precision", F.col("hits") / F.greatest("hits", F.coalesce("total", F.lit(0))))
+            .join(totals, "word")
+            .withColumn("precision", F.col("hits") / F.col("total"))
             .where(F.col("precision") >= min_precision)
         )
         scores = (

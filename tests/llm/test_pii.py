@@ -100,19 +100,36 @@ def test_overlapping_spans_become_one():
     assert pii.redact_text("0123456789", [(0, 1, 4), (3, 3, 6), (2, 8, 9)]) == "0<EMAIL>67<CARD>9"
 
 
+def by_definition(text):
+    """(kind, instance, known, left, right) of each span; neighbours are whole words of the text that lie outside it."""
+    words = [(m.start(), m.end(), m.group().lower()) for m in re.finditer(r"\w+", text)]
+    spans = [(k, a, b, True) for k, a, b in plain(text)]
+    for m in re.finditer(r"\S+", text):
+        core = m.group().strip(".,;:!?\"'()[]<>")
+        a = m.start() + m.group().find(core)
+        kind = next((k for k, fits in pii._loose if fits(core)), None)
+        if kind is not None and all(a + len(core) <= c or d <= a for _, c, d, known in spans if known):
+            spans.append((kind, a, a + len(core), False))
+    for k, a, b, known in spans:
+        cut = [any(s < at < e for s, e, _ in words) for at in (a, b)]
+        left = None if cut[0] else next((w for s, e, w in reversed(words) if e <= a), None)
+        right = None if cut[1] else next((w for s, e, w in words if s >= b), None)
+        yield k, text[a:b].lower(), known, left, right
+
+
 def brute_bootstrap(texts, support=5, precision=0.2, accept=0.5):
     """Accepted (kind, instance), by plain loops over all occurrences until nothing changes."""
-    occ = [o for t in texts for o in pii.occurrences(t, pii.base_spans(t))]
+    occ = [o for t in texts for o in by_definition(t)]
     totals = Counter(w.lower() for t in texts for w in re.findall(r"\w+", t))
-    known = {(o[0], o[3]) for o in occ if o[4]}
+    known = {(o[0], o[1]) for o in occ if o[2]}
     given, found = set(known), set()
-    seen = [(k, inst, flag, side, w) for k, _, _, inst, flag, left, right in occ for side, w in (("L", left), ("R", right)) if w]
+    seen = [(k, inst, flag, side, w) for k, inst, flag, left, right in occ for side, w in (("L", left), ("R", right)) if w]
     while True:
         trust = {}
         for k, side, w in {(s[0], s[3], s[4]) for s in seen}:
             hits = [s for s in seen if (s[0], s[3], s[4]) == (k, side, w) and ((s[2] and (s[0], s[1]) in given) or (not s[2] and (s[0], s[1]) in found))]
-            if len({(s[1], s[2]) for s in hits}) >= support and len(hits) / max(len(hits), totals[w]) >= precision:
-                trust[k, side, w] = len(hits) / max(len(hits), totals[w])
+            if len({(s[1], s[2]) for s in hits}) >= support and len(hits) / totals[w] >= precision:
+                trust[k, side, w] = len(hits) / totals[w]
         new = set()
         for k, inst in {(s[0], s[1]) for s in seen if not s[2]}:
             left = 1.0
@@ -136,7 +153,8 @@ def test_bootstrapping_equals_brute_force(spark):
         for _ in range(260):
             span = rng.choice(fixed if rng.random() < 0.6 else loose)
             side = rng.choice(["call", "mail"]) if rng.random() < 0.6 else rng.choice(words)
-            texts.append(f"{rng.choice(words)} {side}{rng.choice([':', ' ', ','])} {span} {rng.choice(words)}. {rng.choice(words)}")
+            before, after = rng.choice([""] * 30 + ["x", "call", "_"]), rng.choice([""] * 30 + ["ext", "é", "-", "7"])
+            texts.append(f"{rng.choice(words)} {side}{rng.choice([':', ' ', ','])} {before}{span}{after} {rng.choice(words)}. {rng.choice(words)}")
         want = brute_bootstrap(texts)
         docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
         rows = pii._scan(docs, "doc_id", "text")
@@ -145,3 +163,11 @@ def test_bootstrapping_equals_brute_force(spark):
         assert got == want
         total += len(want)
     assert total > 10
+
+
+def test_words_that_a_span_cuts_are_no_context(spark):
+    fragments = [f"no +4930123456{k}ext 5" for k in range(6)] + ["serial 12345110 ext port"]
+    assert added(spark, fragments) == set()
+    cut = [f"at 10.1.{k}.7abc so" for k in range(6)] + ["abc"] * 11 + ["1.2.3.999 abc"]
+    assert added(spark, cut) == set()
+    assert pii._near("a 1.2.3.4abc d", 2, 9) == ("a", None) and pii._near("tel+1 555 0 x", 3, 11) == ("tel", "x") and pii._near("ab12 c", 2, 4) == (None, "c")
