@@ -39,8 +39,9 @@ SKETCH_WIDTH, SKETCH_DEPTH = 1 << 16, 2
 SKETCH_BLOCK = 32
 #: Share of the corpus added to each document frequency: idf lies between ln 5 (found nowhere) and ln 1.8 (everywhere).
 PSEUDO = 0.25
-#: Weights lie on the grid 2 ** (level / LEVELS_PER_OCTAVE).
-LEVELS_PER_OCTAVE, LOWEST, HIGHEST = 8, -24, 103
+#: Weights lie on the grid 2 ** (level / LEVELS_PER_OCTAVE).  The lowest is that of a shingle found once here
+#: and everywhere else; from there a byte reaches beyond the shingles that the longest text of 2 GB can repeat.
+LEVELS_PER_OCTAVE, LOWEST, HIGHEST = 8, -12, 243
 TABLE_BITS = 16
 SEED = 20240607
 
@@ -193,13 +194,13 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
 
 
 def _payload(shingles: np.ndarray, levels: np.ndarray) -> bytes:
-    """Upper halves of the shingles in order, then the levels."""
-    return (shingles >> np.uint64(32)).astype("<u4").tobytes() + levels.astype(np.int8).tobytes()
+    """Upper halves of the shingles in order, then the levels above the lowest."""
+    return (shingles >> np.uint64(32)).astype("<u4").tobytes() + (levels - LOWEST).astype(np.uint8).tobytes()
 
 
 def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     n = len(data) // 5
-    high, levels = np.frombuffer(data, dtype="<u4", count=n), np.frombuffer(data, dtype=np.int8, offset=4 * n)
+    high, levels = np.frombuffer(data, dtype="<u4", count=n), np.frombuffer(data, dtype=np.uint8, offset=4 * n).astype(np.int16) + LOWEST
     if n > 1 and (high[1:] == high[:-1]).any():  # halves that coincide stay apart by their place
         rank = np.arange(n) - np.searchsorted(high, high)
         return high.astype(np.uint64) << np.uint64(32) | rank.astype(np.uint64), levels
@@ -235,9 +236,9 @@ def alike(a: list[tuple[np.ndarray, np.ndarray]], b: list[tuple[np.ndarray, np.n
         for shingles, levels, row in sides:
             at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
             both = common[at] == shingles
-            keyed.append((at[both] << 8 | levels[both] + 128, row[both]))
+            keyed.append((at[both] << 8 | levels[both] - LOWEST, row[both]))
         columns = np.unique(np.concatenate([k for k, _ in keyed]))
-        of, weight = columns >> 8, np.exp2(((columns & 255) - 128) / LEVELS_PER_OCTAVE)
+        of, weight = columns >> 8, np.exp2(((columns & 255) + LOWEST) / LEVELS_PER_OCTAVE)
         first = np.searchsorted(of, of)
         step = (weight - np.where(first == np.arange(len(of)), 0, np.roll(weight, 1))).astype(np.float32)
         spread = []

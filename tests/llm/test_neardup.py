@@ -174,3 +174,16 @@ def test_small_buckets_are_compared_pair_by_pair(spark):
     groups = [chain(k) for k in range(24)] + [runs(100 + k, 500 + 5 * k) for k in range(12)]
     want = {i: min(g) if i - min(g) < 4 else i for g in groups for i in g}
     assert linked(spark, groups) == want
+
+
+def test_weights_have_no_ceiling(spark):
+    """Texts that differ in how often one shingle stands in them, 20,000 times and more, are as far apart as they are."""
+    often = "same " * 60_004
+    rare = "same " * 20_004
+    shingles, levels = nd.weighted_shingles(nd.word_hashes(often), np.ones(nd.SKETCH_DEPTH * nd.SKETCH_WIDTH, dtype=np.float32))
+    assert len(shingles) == 1 and levels[0] == round(8 * np.log2(60_000)) and nd._unpack(nd._payload(shingles, levels))[1].tolist() == levels.tolist()
+    rows = [(1, often), (2, rare), (3, "same " * 58_004), (4, "a b c d e f g")]
+    got = {r.doc_id: r.class_id for r in nd.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 2, 3: 1, 4: 4}
+    one, two = (nd._unpack(nd._payload(*nd.weighted_shingles(nd.word_hashes(t), np.ones(nd.SKETCH_DEPTH * nd.SKETCH_WIDTH, dtype=np.float32)))) for t in (often, rare))
+    assert nd.weighted_jaccard(one, two) < 0.4 and [len(x) for x in nd.alike([one], [two], 0.8)] == [0, 0]
