@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import color, f32, geometry, naming, points, shapes
 from ..functions.geometry import Box
 from ..operators import detections as det
-from ..operators import imaging, parity, policy
+from ..operators import crowds, imaging, parity, policy
 from ..sources import mapping
 from .catalog import DETECTIONS, IMAGE_H, IMAGE_W, detections, query, table
 
@@ -196,6 +196,28 @@ def dedup_centers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return det.dedup_centers(detections(spark, sf_dir)).select("image_id", "face_idx", "score")
 
 
+# Suppression and matching in images of 5,000 boxes, by rounds of joins.
+
+DENSE_SCORED = f"SELECT *, CAST(0.5 + face_idx * 37 % 400 / 1000.0 AS FLOAT) AS score FROM ({DENSE_BOXES})"
+
+
+def _dense_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dense(spark, sf_dir).withColumn("score", F.expr("CAST(0.5 + face_idx * 37 % 400 / 1000.0D AS FLOAT)"))
+
+
+DENSE_OVER = f"{_iou('p.', 'q.')} > CAST(0.05 AS FLOAT)"
+
+
+@query(f"WITH RECURSIVE {_greedy(DENSE_SCORED, DENSE_OVER, 'a')} SELECT image_id, face_idx, score FROM kept_a")
+def dense_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crowds.suppress_crowded(_dense_scored(spark, sf_dir), 0.05).select("image_id", "face_idx", "score")
+
+
+@query(f"WITH RECURSIVE {_greedy(DENSE_SCORED, _close('p.', 'q.'), 'a')} SELECT image_id, face_idx, score FROM kept_a")
+def dense_center_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crowds.dedup_centers_crowded(_dense_scored(spark, sf_dir)).select("image_id", "face_idx", "score")
+
+
 @query(
     f"WITH RECURSIVE t AS (SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, face_idx) AS k FROM ({SCALED})) WHERE k <= 5), "
     f"{_greedy('SELECT * FROM t', OVER, 'a')}, {_greedy('SELECT * FROM kept_a', _close('p.', 'q.'), 'b')} SELECT image_id, face_idx, x, y, width, height, score FROM kept_b"
@@ -930,7 +952,9 @@ def _two_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return d.where("face_idx % 5 < 4"), shifted
 
 
-MATCHES = f"""t AS MATERIALIZED (SELECT e.image_id, e.face_idx AS e, o.face_idx AS o, {_iou('o.', 'e.')} AS iou, CAST(o.score - e.score AS FLOAT) AS delta FROM {SHIFTED} e JOIN {OURS} o ON e.image_id = o.image_id),
+def _matches(ours: str, expected: str) -> str:
+    """CTEs of the greedy matches; the result is ``w``."""
+    return f"""t AS MATERIALIZED (SELECT e.image_id, e.face_idx AS e, o.face_idx AS o, {_iou('o.', 'e.')} AS iou, CAST(o.score - e.score AS FLOAT) AS delta FROM {expected} e JOIN {ours} o ON e.image_id = o.image_id),
 c AS MATERIALIZED (SELECT image_id, e, list({{'o': o, 'iou': iou, 'delta': delta}} ORDER BY iou DESC, o) AS cs FROM t WHERE iou >= CAST(0.5 AS FLOAT) GROUP BY image_id, e),
 g AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY e) AS k, count(*) OVER (PARTITION BY image_id) AS n FROM c),
 m AS (SELECT image_id, k, n, cs[1:1] AS hit, e, [cs[1].o] AS used FROM g WHERE k = 1
@@ -938,11 +962,35 @@ m AS (SELECT image_id, k, n, cs[1:1] AS hit, e, [cs[1].o] AS used FROM g WHERE k
 w AS (SELECT image_id, e AS expected_idx, hit[1].o AS our_idx, hit[1].iou AS iou, hit[1].delta AS score_delta FROM m WHERE len(hit) > 0)"""
 
 
+MATCHES = _matches(OURS, SHIFTED)
+
+
 @query(f"WITH RECURSIVE {MATCHES} SELECT * FROM w")
 def greedy_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parity.match_greedy(*_two_sides(spark, sf_dir))
 
 
+# Images of 5,000 faces in heaps, where many expected ones want the same of ours.
+HEAP = {
+    "image_id": "CAST(floor(p_partkey / 5000) AS BIGINT)",
+    "face_idx": "p_partkey",
+    "x": "CAST(p_partkey % 31 * 90 + p_partkey * 7 % 11 AS FLOAT)",
+    "y": "CAST(p_partkey % 29 * 90 + p_partkey * 5 % 13 AS FLOAT)",
+    "width": "CAST(60 + p_size % 10 AS FLOAT)",
+    "height": "CAST(60 + p_size % 7 AS FLOAT)",
+    "score": "CAST(0.5 + p_size / 200.0 AS FLOAT)",
+}
+HEAPS = "(SELECT " + ", ".join(f"{e} AS {n}" for n, e in HEAP.items()) + " FROM part)"
+HEAP_EXPECTED = f"(SELECT image_id, face_idx, CAST(x + face_idx % 3 * 4 AS FLOAT) AS x, y, width, height, CAST(1 AS FLOAT) AS score FROM {HEAPS} WHERE face_idx % 4 < 3)"
+
+
+@query(f"WITH RECURSIVE {_matches(f'(SELECT * FROM {HEAPS} WHERE face_idx % 5 < 4)', HEAP_EXPECTED)} SELECT * FROM w")
+def crowded_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    heaps = table(spark, sf_dir, "part").selectExpr(*[f"{e} AS {n}" for n, e in HEAP.items()])
+    expected = heaps.where("face_idx % 4 < 3").withColumns({"x": F.expr("CAST(x + face_idx % 3 * 4 AS FLOAT)"), "score": F.lit(1.0).cast("float")})
+    return crowds.match_crowded(heaps.where("face_idx % 5 < 4"), expected)
+
+
 CASES = f"""cases AS (SELECT image_id, coalesce(ex, 0) AS expected, coalesce(ou, 0) AS ours, coalesce(ma, 0) AS matched,
   CASE WHEN coalesce(ex, 0) = 0 THEN CASE WHEN coalesce(ou, 0) = 0 THEN 1.0 ELSE 0.0 END ELSE CAST(coalesce(ma, 0) AS DOUBLE) / ex END AS recall,
   CASE WHEN coalesce(ou, 0) = 0 THEN CASE WHEN coalesce(ex, 0) = 0 THEN 1.0 ELSE 0.0 END ELSE CAST(coalesce(ma, 0) AS DOUBLE) / ou END AS precision,
