@@ -241,6 +241,13 @@ def stride_cells(model_w: int = 640, model_h: int = 640, strides: tuple[int, ...
     return [(s, h // s, w // s) for s in strides]
 
 
+def stride_heads(model_w: Column, model_h: Column, strides: tuple[int, ...] = (8, 16, 32)) -> Column:
+    """As :func:`stride_cells`, for columns of sizes: an array of structs of stride, rows and cols (longs)."""
+    most = max(strides)
+    w, h = (F.ceil(v / most).cast("long") * most for v in (model_w, model_h))
+    return F.array(*[F.struct(F.lit(s).alias("stride"), F.floor(h / s).alias("rows"), F.floor(w / s).alias("cols")) for s in strides])
+
+
 def decode_cells(heads: DataFrame) -> DataFrame:
     """Boxes, landmarks and scores of head cells.
 

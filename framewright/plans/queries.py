@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import color, f32, geometry, naming, points, shapes
 from ..functions.geometry import Box
 from ..operators import detections as det
-from ..operators import crowds, imaging, parity, policy
+from ..operators import crowds, imaging, parity, policy, tiles
 from ..sources import mapping
 from .catalog import DETECTIONS, IMAGE_H, IMAGE_W, detections, query, table
 
@@ -887,33 +887,53 @@ def channel_histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def crop_and_enhance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One image of 1024 pixels a side for each nation: its face cut to 512 pixels and put through nine filters."""
+    """Each embedding's image, its pixels drawn as squares of 16: a face cut out, levelled, enlarged and enhanced."""
     import numpy as np
 
     from ..operators.pixels import Enhancement, map_images
     from ..sources.settings import Settings
     from . import batch
 
-    def scene(img: np.ndarray) -> np.ndarray:
-        out = np.full((1024, 1024, 4), 64, dtype=np.uint8)
-        y, x = np.mgrid[256:768, 256:768]
-        ramp = ((x + y) % 255).astype(np.uint8)
-        out[256:768, 256:768] = np.dstack([ramp, 255 - ramp, ramp // 2 + 60, ramp])
-        out[..., 3] = 255
-        return out
-
     settings = Settings()
-    settings.crop.output_width = settings.crop.output_height = 512
-    settings.crop.face_height_pct = 75.0
-    settings.enhance = Enhancement(
-        auto_color=True, exposure_stops=0.15, brightness=8, contrast=1.15, saturation=1.2, unsharp_amount=0.6, unsharp_radius=1.2, sharpness=0.2, skin_smooth_amount=0.3
-    )
-    face = "array(named_struct('face_idx', 0L, 'x', 320f, 'y', 320f, 'width', 384f, 'height', 384f, 'score', 0.95f, 'landmarks', array(named_struct('x', 360f, 'y', 380f), named_struct('x', 620f, 'y', 380f))))"
-    blank = table(spark, sf_dir, "nation").repartition(25, "n_nationkey").selectExpr("CAST(n_nationkey AS STRING) AS path", "1 AS width", "1 AS height", "unhex('00000000') AS data", f"{face} AS faces")
-    made = batch.crops(map_images(blank, scene), None, settings)
+    settings.crop.output_width, settings.crop.output_height, settings.crop.face_height_pct = 96, 120, 60.0
+    settings.enhance = Enhancement(exposure_stops=-0.25, brightness=-5, contrast=0.9, saturation=0.8, unsharp_amount=0.4, unsharp_radius=0.9, sharpness=0.1)
+    at = "x', CAST({} + vec_id % 7 * 3 AS FLOAT), 'y', CAST({} + vec_id % 5 * 4 AS FLOAT)"
+    eyes = f"array(named_struct('{at.format(52, 44)}), named_struct('{at.format(34, 41)}))"
+    face = f"array(named_struct('face_idx', vec_id, '{at.format(22, 25)}, 'width', 48f, 'height', 56f, 'score', 0.9f, 'landmarks', {eyes}))"
+    small = _colored(spark, sf_dir).selectExpr("CAST(vec_id AS STRING) AS path", "8 AS width", "8 AS height", "data", f"{face} AS faces")
+    made = batch.crops(map_images(small, lambda img: np.kron(img, np.ones((16, 16, 1), dtype=np.uint8))), None, settings)
     return made.select("path", "width", "height", F.sha2("data", 256).alias("sha256"), F.round("quality_score", 3).alias("quality_score"))
 
 
+# Images too large for a row: mosaics of 64 tiles, one tile an embedding.
+
+MOSAIC = f"(SELECT vec_id // 64 AS image, vec_id % 8 * 8 + i % 8 AS x, vec_id // 8 % 8 * 8 + i // 8 AS y, p FROM {PIXELS})"
+
+
+def _mosaics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _images(spark, sf_dir).selectExpr("vec_id div 64 AS image", "CAST(vec_id div 8 % 8 AS INT) AS ty", "CAST(vec_id % 8 AS INT) AS tx", "8 AS width", "pixels")
+
+
+@query(
+    f"""WITH n AS (SELECT *, lag(x) OVER a = x - 1 AND lead(x) OVER a = x + 1 AND lag(y) OVER b = y - 1 AND lead(y) OVER b = y + 1 AS inner_,
+  lag(p) OVER a + lead(p) OVER a + lag(p) OVER b + lead(p) OVER b - 4 * p AS v
+  FROM {MOSAIC} WINDOW a AS (PARTITION BY image, y ORDER BY x), b AS (PARTITION BY image, x ORDER BY y)),
+l AS (SELECT image, v FROM n WHERE inner_)
+SELECT image, round(avg(CAST(v * v AS DOUBLE)) - avg(CAST(v AS DOUBLE)) * avg(CAST(v AS DOUBLE)), 4) AS sharpness FROM l GROUP BY image"""
+)
+def mosaic_sharpness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiles.sharpness(_mosaics(spark, sf_dir)).select("image", F.round("sharpness", 4).alias("sharpness"))
+
+
+@query(
+    f"""WITH c AS (SELECT image, p, sum(n) OVER (PARTITION BY image ORDER BY p) AS cum, sum(n) OVER (PARTITION BY image) AS total FROM (SELECT image, p, count(*) AS n FROM {MOSAIC} GROUP BY image, p)),
+m AS (SELECT image, p, CASE WHEN lowest = total THEN p ELSE CAST(round(CAST(CAST(CAST(cum - lowest AS DOUBLE) / (total - lowest) AS FLOAT) * CAST(255 AS FLOAT) AS DOUBLE)) AS INTEGER) END AS mapped FROM (SELECT *, min(cum) OVER (PARTITION BY image) AS lowest FROM c))
+SELECT image, CAST(y // 8 AS INTEGER) AS ty, CAST(x // 8 AS INTEGER) AS tx, list(mapped ORDER BY y, x) AS pixels FROM {MOSAIC} JOIN m USING (image, p) GROUP BY image, y // 8, x // 8"""
+)
+def mosaic_equalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiles.equalized(_mosaics(spark, sf_dir)).drop("width")
+
+
 # Head tensors.
 
 HEADS = "SELECT l_orderkey AS image_id, CAST(8 * (1 + l_linenumber % 3) AS INTEGER) AS stride, CAST(l_partkey % 80 AS INTEGER) AS row, CAST(l_suppkey % 80 AS INTEGER) AS col, CAST(l_discount * 10 AS FLOAT) AS cls, CAST(l_tax * 12 AS FLOAT) AS obj, CAST(l_quantity / 50 AS FLOAT) AS dx, CAST(l_tax AS FLOAT) AS dy, CAST(l_discount AS FLOAT) AS k FROM lineitem"
@@ -933,11 +953,16 @@ def decoded_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return det.decode_cells(t).select("image_id", "stride", "row", "col", "score", "nose_x", "x")
 
 
-@query("SELECT s AS stride, CAST(p // (640 // s) AS BIGINT) AS row, CAST(p % (640 // s) AS BIGINT) AS col FROM (SELECT s, unnest(range((640 // s) * (640 // s))) AS p FROM (VALUES (8), (16), (32)) t(s))")
+# Each supplier stands for a detector whose input has sides of its own.
+MODEL_W, MODEL_H = "(160 + s_suppkey % 9 * 40)", "(128 + s_suppkey % 7 * 56)"
+STRIDE = "SELECT s_suppkey, s, {w} // 32 * 32 // s AS cols, {h} // 32 * 32 // s AS rows FROM supplier, (VALUES (8), (16), (32)) t(s)".format(w=f"({MODEL_W} + 31)", h=f"({MODEL_H} + 31)")
+
+
+@query(f"SELECT s_suppkey, s AS stride, CAST(p // cols AS BIGINT) AS row, CAST(p % cols AS BIGINT) AS col FROM (SELECT *, unnest(range(rows * cols)) AS p FROM ({STRIDE}))")
 def stride_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    heads = spark.createDataFrame(det.stride_cells(640, 640), "stride int, rows long, cols long")
-    cells = heads.select("stride", "cols", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") * F.col("cols") - 1)).alias("p"))
-    return cells.select("stride", F.expr("p div cols").alias("row"), F.expr("p % cols").alias("col"))
+    heads = table(spark, sf_dir, "supplier").select("s_suppkey", F.explode(det.stride_heads(F.expr(MODEL_W), F.expr(MODEL_H))).alias("h")).select("s_suppkey", "h.*")
+    cells = heads.select("s_suppkey", "stride", "cols", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") * F.col("cols") - 1)).alias("p"))
+    return cells.select("s_suppkey", "stride", F.expr("p div cols").alias("row"), F.expr("p % cols").alias("col"))
 
 
 # Accuracy.
