@@ -2,24 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Numbers of the order that fall into one range.
-RANGE = 65536
+from .staging import scratch, stage_out
+
+#: Low bits of a row number, which count within a partition.
+_WITHIN = (1 << 33) - 1
 
 
 def with_ranks(rows: DataFrame, order: str, name: str) -> DataFrame:
-    """Number rows from 1 in the order of an integer column, nulls first, as a column ``name``.
+    """Number rows from 1 in the order of a column, nulls first, as a column ``name``; equal ones in any order.
 
-    Ranks are dealt in two steps, by ranges of the order and then within each, so only one small row for
-    each range meets in one task.
+    Rows are dealt by ranges of rows, however their values lie, and equal values by row too, so no range
+    holds much more than its share; a rank is a row's place in its range plus the sizes of the ranges before.
     """
-    block, before = "__block", "__before"
-    placed = rows.withColumn(block, F.floor(F.col(order) / RANGE))
-    sizes = placed.groupBy(block).agg(F.count("*").alias("n"))
-    earlier = Window.orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(F.col(block).alias("__start"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias(before))
-    within = F.row_number().over(Window.partitionBy(block).orderBy(order))
-    joined = placed.join(starts, F.col(block).eqNullSafe(F.col("__start")))
-    return joined.withColumn(name, (F.col(before) + within).cast("long")).drop(block, "__start", before)
+    keys = [F.asc_nulls_first(order), F.asc("__row")]
+    here = F.monotonically_increasing_id().bitwiseAND(_WITHIN)
+    with scratch(rows.sparkSession) as result:
+        sorted_ = rows.withColumn("__row", F.monotonically_increasing_id()).repartitionByRange(*keys).sortWithinPartitions(*keys)
+        dealt = result(sorted_.select("*", F.spark_partition_id().alias("__range"), here.alias("__here")).drop("__row"), "ranks")
+        sizes = stage_out(dealt.groupBy("__range").agg(F.count("*").alias("__n")), "ranks-sizes")  # one row a range
+        before = F.expr("coalesce(sum(__n) OVER (ORDER BY __range ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)")
+        starts = result(sizes.select("__range", before.alias("__before")), "ranks-starts")
+    placed = dealt.join(F.broadcast(starts), "__range")
+    return placed.withColumn(name, F.col("__before") + F.col("__here") + 1).drop("__range", "__before", "__here")
