@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import naming
+from ..operators.staging import scratch
 
 GLOB = "*.{" + ",".join("".join(f"[{c.lower()}{c.upper()}]" for c in e) for e in naming.IMAGE_EXTENSIONS) + "}"
 
@@ -30,21 +31,40 @@ def targets(spark: SparkSession, path: str) -> DataFrame:
     return found
 
 
-def read_decoded(spark: SparkSession, path: str) -> DataFrame:
-    """Files that the JVM can decode (png, jpeg, bmp, gif, tiff) as path, width, height, data in RGBA."""
-    raw = spark.read.format("image").option("dropInvalid", "true").option("recursiveFileLookup", "true").load(path)
+def read_with_errors(spark: SparkSession, path: str) -> DataFrame:
+    """Every image file as path, error, width, height, data in RGBA; a file that the JVM cannot decode is a row with an error and nulls.
+
+    The JVM decodes png, jpeg, bmp, gif and tiff.  Files of no bytes are no rows: Spark does not read them.
+    """
+    raw = spark.read.format("image").option("dropInvalid", "false").option("recursiveFileLookup", "true").option("pathGlobFilter", GLOB).load(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             path_, w, h, n, d = (batch.column(i).to_pylist() for i in range(5))
-            data = [to_rgba(np.frombuffer(x, dtype=np.uint8).reshape(b, a, c)) for a, b, c, x in zip(w, h, n, d)]
-            yield pa.RecordBatch.from_arrays([pa.array(path_), pa.array(w, pa.int32()), pa.array(h, pa.int32()), pa.array([x.tobytes() for x in data], pa.binary())], names=["path", "width", "height", "data"])
+            fine = [a > 0 and b > 0 and x is not None and len(x) == a * b * c for a, b, c, x in zip(w, h, n, d)]
+            data = [to_rgba(np.frombuffer(x, dtype=np.uint8).reshape(b, a, c)).tobytes() if ok else None for ok, a, b, c, x in zip(fine, w, h, n, d)]
+            sizes = [pa.array([v if ok else None for ok, v in zip(fine, side)], pa.int32()) for side in (w, h)]
+            errors = pa.array([None if ok else "cannot be decoded" for ok in fine], pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(path_), errors, *sizes, pa.array(data, pa.binary())], names=["path", "error", "width", "height", "data"])
+
+    return raw.select("image.origin", "image.width", "image.height", "image.nChannels", "image.data").mapInArrow(run, "path string, error string, width int, height int, data binary")
+
+
+def read_decoded(spark: SparkSession, path: str) -> DataFrame:
+    """The files of :func:`read_with_errors` that can be decoded, as path, width, height, data."""
+    return read_with_errors(spark, path).where("error IS NULL").drop("error")
+
+
+def failures(read: DataFrame) -> DataFrame:
+    """What a run logs of images that failed: path and error; the job goes on without them."""
+    return read.where("error IS NOT NULL").select("path", "error")
 
-    return raw.select("image.origin", "image.width", "image.height", "image.nChannels", "image.data").mapInArrow(run, "path string, width int, height int, data binary")
 
+def read_oriented(spark: SparkSession, path: str, broadcast_tags: int = 100_000) -> DataFrame:
+    """As :func:`read_decoded`, turned as each file's orientation tag says.
 
-def read_oriented(spark: SparkSession, path: str) -> DataFrame:
-    """As :func:`read_decoded`, turned as each file's orientation tag says."""
+    Few tags that turn anything, whose number is checked, are broadcast, so that pixels stay where they are.
+    """
 
     def tags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -52,7 +72,10 @@ def read_oriented(spark: SparkSession, path: str) -> DataFrame:
 
     plain = F.regexp_replace("path", "^file:/+", "/").alias("path")
     jpegs = scan(spark, path).where(F.lower("path").rlike(r"\.jpe?g$")).select("path", "content").mapInArrow(tags, "path string, tag int").where("tag > 1").select(plain, "tag")
-    decoded = read_decoded(spark, path).withColumn("path", plain).join(jpegs, "path", "left")
+    with scratch(spark) as result:
+        jpegs = result(jpegs, "image-tags")  # each file's head is read once
+    few = jpegs.limit(broadcast_tags + 1).count() <= broadcast_tags
+    decoded = read_decoded(spark, path).withColumn("path", plain).join(F.broadcast(jpegs) if few else jpegs, "path", "left")
 
     def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

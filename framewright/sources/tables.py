@@ -151,6 +151,7 @@ def _ods_rows(book: zipfile.ZipFile, sheet: str) -> Iterator[list[str]]:
     table = next(t for t in root.iter(f"{_OT}table") if t.get(f"{_OT}name") == sheet)
     for row in table.iter(f"{_OT}table-row"):
         cells: list[str] = []
+        blanks = 0  # only those before a value count, however many
         for c in row.iter(f"{_OT}table-cell"):
             kind = c.get(f"{_OO}value-type")
             text = "\n".join("".join(p.itertext()) for p in c.iter(f"{_OX}p")).strip()
@@ -159,9 +160,9 @@ def _ods_rows(book: zipfile.ZipFile, sheet: str) -> Iterator[list[str]]:
             elif kind == "boolean":
                 text = c.get(f"{_OO}boolean-value", text)
             times = int(c.get(f"{_OT}number-columns-repeated", "1"))
-            cells += [text] * (times if text else min(times, 1024))
-        while cells and not cells[-1]:
-            cells.pop()
+            if text:
+                cells += [""] * blanks + [text] * times
+            blanks = 0 if text else blanks + times
         for _ in range(int(row.get(f"{_OT}number-rows-repeated", "1")) if cells else 1):
             yield list(cells)
 
