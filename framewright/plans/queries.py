@@ -676,6 +676,14 @@ def mapping_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapping.read_parquet(spark, f"{sf_dir}/part.parquet").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
 
 
+SELECTED = "SELECT p_name AS source_path, 'drop; delete ' || p_brand || ' -- ' || CAST(max(ps) AS VARCHAR(20)) AS output_name FROM (SELECT p_name, p_brand, p_size AS ps FROM parts) GROUP BY p_name, p_brand"
+
+
+@query(SELECTED.replace("FROM parts", "FROM part"))
+def mapping_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mapping.read_select(spark, f"{SELECTED} -- update", parts=table(spark, sf_dir, "part"))
+
+
 GUARDED = ["SELECT a FROM t", "select last_update from t", "SELECT updated FROM t", "DELETE FROM t", "SELECT 1; SELECT 2", "WITH x AS (SELECT 1) SELECT * FROM x", " SELECT 'drop' ", "SELECT dropped_at FROM t"]
 
 

@@ -76,6 +76,18 @@ def read_sqlite(spark: SparkSession, path: str, table: str | None = None, query:
     return without_blank_rows(as_strings(spark.read.format("sqlite_rows").options(**options).load()))
 
 
+def read_select(spark: SparkSession, query: str, **tables: DataFrame) -> DataFrame:
+    """A query over the given tables, under the names they are given, as a mapping table.
+
+    The query stands as a subquery, where Spark's grammar has no place for anything that writes, sets or
+    lists, nor for a second statement; so words in literals, names and comments do no harm.
+    """
+    for name, df in tables.items():
+        df.createOrReplaceTempView(name)
+    text = query.strip().removesuffix(";")
+    return without_blank_rows(as_strings(spark.sql(f"SELECT * FROM (\n{text}\n)")))
+
+
 def read_workbook(spark: SparkSession, path: str, sheet: str | None = None, header: bool = True) -> DataFrame:
     """A sheet of an xlsx, xlsm or ods file, by name or the first."""
     spark.dataSource.register(WorkbookSource)

@@ -1,8 +1,10 @@
 import zipfile
 
 import numpy as np
+import pytest
+from pyspark.errors import AnalysisException
 
-from framewright.sources import images, sinks, tables
+from framewright.sources import images, mapping, sinks, tables
 
 ODS = """<?xml version="1.0"?><office:document-content xmlns:office="urn:oasis:names:tc:opendocument:xmlns:office:1.0" xmlns:table="urn:oasis:names:tc:opendocument:xmlns:table:1.0" xmlns:text="urn:oasis:names:tc:opendocument:xmlns:text:1.0">
 <office:body><office:spreadsheet><table:table table:name="one">
@@ -31,3 +33,24 @@ def test_files_that_cannot_be_decoded_are_rows_with_an_error(spark, tmp_path):
     assert images.failures(read).count() == 2 and images.read_decoded(spark, str(tmp_path)).count() == 1
     for most in (100, -1):
         assert images.read_oriented(spark, str(tmp_path), broadcast_tags=most).count() == 1
+
+
+WRITES = """DROP TABLE t|DROP VIEW t|INSERT INTO t VALUES (1)|WITH a AS (SELECT 1) INSERT INTO t SELECT * FROM a|FROM t INSERT INTO u SELECT *|CREATE TABLE u AS SELECT 1
+CREATE OR REPLACE TEMP VIEW t AS SELECT 1|DELETE FROM t|UPDATE t SET a = 1|TRUNCATE TABLE t|ALTER TABLE t RENAME TO u|SET a = 1|CACHE TABLE t|ADD JAR x|SHOW TABLES|EXPLAIN SELECT 1
+SELECT 1; DROP TABLE t|SELECT 1) ; DROP TABLE t; SELECT * FROM (SELECT 1|INSERT OVERWRITE DIRECTORY '/tmp/x' USING parquet SELECT 1|USE default|REFRESH TABLE t""".replace("\n", "|").split("|")
+
+
+@pytest.mark.parametrize("query", WRITES)
+def test_nothing_but_a_query_is_taken(spark, query):
+    with pytest.raises(AnalysisException):
+        mapping.read_select(spark, query, t=spark.range(1).selectExpr("id AS a"))
+
+
+def test_queries_of_any_form_are_taken(spark):
+    t = spark.createDataFrame([("a", 1), ("b", 2), ("", None)], "s string, updated int")
+    for query, want in (
+        ("SELECT s, 'drop; table' AS x FROM t WHERE updated > 1; ", [("b", "drop; table")]),
+        ("WITH delete_me AS (SELECT s FROM t) SELECT s, 1 AS x FROM delete_me /* insert */ -- drop", [("a", "1"), ("b", "1"), ("", "1")]),
+        ("FROM t SELECT s, updated", [("a", "1"), ("b", "2")]),  # a row of blanks goes
+    ):
+        assert sorted(map(tuple, mapping.read_select(spark, query, t=t).collect())) == sorted(want)
