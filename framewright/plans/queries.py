@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from ..functions import color, f32, geometry, naming, points, shapes
 from ..functions.geometry import Box
 from ..operators import detections as det
 from ..operators import crowds, imaging, parity, policy, tiles
+from ..operators.staging import shared_dir
 from ..sources import mapping
 from .catalog import DETECTIONS, IMAGE_H, IMAGE_W, detections, query, table
 
@@ -377,6 +380,12 @@ def export_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policy.plan_exports(_faces(spark, sf_dir), minimum="Medium", skip_without_high=True).select("image_id", "face_idx", "quality", "multi_face", "skipped")
 
 
+@query(f"SELECT image_id, face_idx, quality, FALSE AS multi_face, qrank < 1 AS skipped FROM {FACES} QUALIFY {BEST.format(keys='qrank DESC, quality_score DESC')}")
+def auto_selected_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One face an image, the best, unless it is below the least quality; what is left is no longer one of several."""
+    return policy.plan_exports(_faces(spark, sf_dir), minimum="Medium", auto_select=True).select("image_id", "face_idx", "quality", "multi_face", "skipped")
+
+
 @query(f"SELECT image_id, face_idx, quality FROM {FACES} WHERE face_idx = 1")
 def face_by_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policy.select_faces(_faces(spark, sf_dir), F.lit(2)).select("image_id", "face_idx", "quality")
@@ -676,6 +685,15 @@ def mapping_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapping.read_parquet(spark, f"{sf_dir}/part.parquet").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
 
 
+@query("SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, trim(p_name) || ', \"' || trim(p_brand) || '\"' AS source_path, trim(p_type) AS output_name FROM part")
+def mapping_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts written as CSV, values with commas and quotes among them, and read as a mapping table."""
+    path = f"{shared_dir(spark).rstrip('/')}/mapping-{uuid.uuid4().hex}"
+    parts = table(spark, sf_dir, "part").selectExpr("p_partkey", "trim(p_name) || ', \"' || trim(p_brand) || '\"' AS source_path", "' ' || p_type || '  ' AS output_name")
+    parts.write.option("header", True).option("escape", '"').csv(path)
+    return mapping.read_csv(spark, path)
+
+
 SELECTED = "SELECT p_name AS source_path, 'drop; delete ' || p_brand || ' -- ' || CAST(max(ps) AS VARCHAR(20)) AS output_name FROM (SELECT p_name, p_brand, p_size AS ps FROM parts) GROUP BY p_name, p_brand"
 
 
@@ -1024,6 +1042,24 @@ def crowded_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crowds.match_crowded(heaps.where("face_idx % 5 < 4"), expected)
 
 
+REGION_TEXT = "concat_ws(':', rx, ry, rw, rh, pad_left, pad_top, pad_right, pad_bottom)"
+NAMED_REGION = "SELECT CAST(image_id AS VARCHAR) || '-' || CAST(face_idx AS VARCHAR) AS name, {t} AS region FROM (SELECT image_id, face_idx, {r} FROM {d})"
+SIDES = [NAMED_REGION.format(t=REGION_TEXT, r=_region("70", "413", "531", "'center'", "0", "0"), d=d) for d in (OURS, SHIFTED)]
+
+
+@query(f"SELECT name, a.region AS ours, b.region AS golden, a.region IS NOT DISTINCT FROM b.region AS equal FROM ({SIDES[0]}) a FULL JOIN ({SIDES[1]}) b USING (name)")
+def golden_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Crop regions of detections beside those of expected faces, by name; missing ones differ."""
+
+    def named(faces: DataFrame) -> DataFrame:
+        fixed = [F.lit(413), F.lit(531), F.lit(70.0), F.lit("center"), F.lit(0.0), F.lit(0.0)]
+        region = geometry.crop_region(Box.named(), F.expr(IMAGE_W), F.expr(IMAGE_H), *fixed)
+        flat = faces.select("image_id", "face_idx", region.alias("r")).select(F.concat_ws("-", "image_id", "face_idx").alias("name"), *_flat_region("r"))
+        return flat.select("name", F.expr(REGION_TEXT).alias("region"))
+
+    return parity.compare_named(*map(named, _two_sides(spark, sf_dir)))
+
+
 CASES = f"""cases AS (SELECT image_id, coalesce(ex, 0) AS expected, coalesce(ou, 0) AS ours, coalesce(ma, 0) AS matched,
   CASE WHEN coalesce(ex, 0) = 0 THEN CASE WHEN coalesce(ou, 0) = 0 THEN 1.0 ELSE 0.0 END ELSE CAST(coalesce(ma, 0) AS DOUBLE) / ex END AS recall,
   CASE WHEN coalesce(ou, 0) = 0 THEN CASE WHEN coalesce(ex, 0) = 0 THEN 1.0 ELSE 0.0 END ELSE CAST(coalesce(ma, 0) AS DOUBLE) / ou END AS precision,

@@ -45,9 +45,13 @@ def without_blank_rows(df: DataFrame) -> DataFrame:
     return df.where(F.concat_ws("", *[F.col(f"`{c}`") for c in df.columns]) != "")
 
 
-def read_csv(spark: SparkSession, path: str, header: bool = True, delimiter: str = ",") -> DataFrame:
-    """Rows of another width than the first are an error, as is a file without any row."""
-    options = {"sep": delimiter, "header": "false", "mode": "FAILFAST", "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true", "encoding": "UTF-8"}
+def read_csv(spark: SparkSession, path: str, header: bool = True, delimiter: str = ",", breaks_in_values: bool = False) -> DataFrame:
+    """Rows of another width than the first are an error, as is a file without any row.
+
+    A quote in a quoted value is written twice.  Line breaks in values are read if ``breaks_in_values`` says so,
+    which leaves each file to one task; else they are an error.
+    """
+    options = {"sep": delimiter, "escape": '"', "multiLine": str(breaks_in_values).lower(), "header": "false", "mode": "FAILFAST", "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true", "encoding": "UTF-8"}
     first = spark.read.options(**options).csv(path).limit(1).collect()
     if not first:
         raise ValueError(f"{path} has no rows")

@@ -54,3 +54,11 @@ def test_queries_of_any_form_are_taken(spark):
         ("FROM t SELECT s, updated", [("a", "1"), ("b", "2")]),  # a row of blanks goes
     ):
         assert sorted(map(tuple, mapping.read_select(spark, query, t=t).collect())) == sorted(want)
+
+
+def test_csv_values_with_quotes_commas_and_breaks(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('source,name\n"a, ""b"".png",c\n"two\nlines.png",d\n')
+    got = mapping.read_csv(spark, str(tmp_path / "a.csv"), breaks_in_values=True).collect()
+    assert sorted(map(tuple, got)) == [('a, "b".png', "c"), ("two\nlines.png", "d")]
+    with pytest.raises(Exception, match="(?i)malformed"):
+        mapping.read_csv(spark, str(tmp_path / "a.csv")).collect()
