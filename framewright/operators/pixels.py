@@ -347,6 +347,10 @@ def unpack_rgba(packed: np.ndarray) -> np.ndarray:
 # Operators over rows of images.
 
 
+#: About so many bytes of made images leave a task at once.
+OUT_BYTES = 8_000_000
+
+
 def map_images(images: DataFrame, kernel: Callable[..., np.ndarray], also: str | None = None) -> DataFrame:
     """``images`` with width, height and data replaced by what ``kernel`` returns; null or misfitting data become null.
 
@@ -357,15 +361,25 @@ def map_images(images: DataFrame, kernel: Callable[..., np.ndarray], also: str |
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = []
-            more = [(v,) for v in batch.column(names.index(also)).to_pylist()] if also else [()] * batch.num_rows
-            for w, h, data, args in zip(*(batch.column(i).to_pylist() for i in (iw, ih, at)), more):
+            made, lo, size = [], 0, 0
+
+            def flush() -> pa.RecordBatch:
+                columns = list(batch.slice(lo, len(made)).columns)
+                for i, value in ((iw, lambda m: m.shape[1]), (ih, lambda m: m.shape[0]), (at, lambda m: np.ascontiguousarray(m).tobytes())):
+                    columns[i] = pa.array([None if m is None else value(m) for m in made], type=columns[i].type)
+                return pa.RecordBatch.from_arrays(columns, names=names)
+
+            for k in range(batch.num_rows):
+                w, h, data = (batch.column(i)[k].as_py() for i in (iw, ih, at))
+                args = (batch.column(names.index(also))[k].as_py(),) if also else ()
                 fits = data is not None and w is not None and h is not None and len(data) == 4 * w * h
                 made.append(kernel(np.frombuffer(data, dtype=np.uint8).reshape(h, w, 4), *args) if fits else None)
-            columns = list(batch.columns)
-            for i, value in ((iw, lambda m: m.shape[1]), (ih, lambda m: m.shape[0]), (at, lambda m: np.ascontiguousarray(m).tobytes())):
-                columns[i] = pa.array([None if m is None else value(m) for m in made], type=columns[i].type)
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+                size += made[-1].nbytes if fits else 0
+                if size > OUT_BYTES:  # what comes out may be far larger than what came in
+                    yield flush()
+                    made, lo, size = [], k + 1, 0
+            if made:
+                yield flush()
 
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in images.schema.fields])
     return images.mapInArrow(run, schema)
