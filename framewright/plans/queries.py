@@ -718,7 +718,7 @@ PIXELS = f"(SELECT vec_id, i - 1 AS i, {PIXEL} AS p FROM (SELECT vec_id, unnest(
 
 
 def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pixel = lambda v: F.floor(F.greatest(F.lit(0.0), F.least(F.lit(255.0), (v.cast("double") + 1) * 127.5))).cast("int")
+    pixel = lambda v: F.floor(F.greatest(F.lit(0.0), F.least(F.lit(255.0), f32.mul(f32.add(v, 1.0), 127.5)))).cast("int")
     return table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", pixel).alias("pixels"))
 
 
