@@ -2,21 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import f32 as q
 from ..functions.geometry import Box, centers_close, iou
+from .staging import scratch, stage_out
 
 SCORE_THRESHOLD, NMS_THRESHOLD, TOP_K = 0.9, 0.3, 5000
 RELATIVE_DISTANCE, ABSOLUTE_DISTANCE = 0.5, 8.0
 GRID = 32
 #: Below so many boxes in an image a grid does not pay.
 GRID_FROM = 200
+#: An image of so many boxes, some megabytes, or more is not held by one task.
+SWEEP_TO = 100_000
 LANDMARKS = ["right_eye", "left_eye", "nose", "right_mouth", "left_mouth"]
 
 
@@ -55,7 +61,7 @@ def top_k(rows: DataFrame, k: int = TOP_K, image: str = "image_id", index: str =
     return ranked.where(F.col("rank") <= k) if k else ranked
 
 
-def overlap_pairs(rows: DataFrame, threshold: float, image: str = "image_id", index: str = "face_idx") -> DataFrame:
+def _plain_pairs(rows: DataFrame, threshold: float, image: str, index: str) -> DataFrame:
     """Pairs of boxes of one image whose overlap exceeds ``threshold``, lower index first, by a plain self-join."""
     box = F.struct("x", "y", "width", "height")
     a = rows.select(image, F.col(index).alias("a"), box.alias("ba"))
@@ -64,6 +70,16 @@ def overlap_pairs(rows: DataFrame, threshold: float, image: str = "image_id", in
     return pairs.where(F.col("iou") > q.f32(threshold))
 
 
+def overlap_pairs(rows: DataFrame, threshold: float, image: str = "image_id", index: str = "face_idx") -> DataFrame:
+    """Pairs of boxes of one image whose overlap exceeds ``threshold``, lower index first.
+
+    A self-join where no image has many boxes; else pairs would grow with their square, and it is done as
+    :func:`overlap_pairs_grid` does.
+    """
+    crowded = rows.groupBy(image).count().where(F.col("count") >= GRID_FROM)
+    return _plain_pairs(rows, threshold, image, index) if crowded.isEmpty() else overlap_pairs_grid(rows, threshold, image=image, index=index)
+
+
 def scene_bounds(rows: DataFrame, image: str = "image_id") -> DataFrame:
     """Extent of all boxes of each image; null bounds where it has none."""
     box = Box.named()
@@ -72,23 +88,109 @@ def scene_bounds(rows: DataFrame, image: str = "image_id") -> DataFrame:
     return found.select(image, *[F.when(~flat, F.col(c)).alias(c) for c in ("min_x", "min_y", "max_x", "max_y")])
 
 
-def overlap_pairs_grid(rows: DataFrame, threshold: float, cells: int = GRID, image: str = "image_id", index: str = "face_idx", small: int = GRID_FROM) -> DataFrame:
-    """As :func:`overlap_pairs`, but images of ``small`` boxes and more are joined on grid cells.
+def _spans(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers from each ``first`` on, as many as ``counts`` says, one after another."""
+    ends = np.cumsum(counts)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - counts), counts)
+
+
+def _overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Overlaps, row by row, of boxes (columns x, y, right, bottom, area) in single precision."""
+    wide = np.minimum(a[2], b[2]) - np.maximum(a[0], b[0])
+    tall = np.minimum(a[3], b[3]) - np.maximum(a[1], b[1])
+    inter = np.where((wide > 0) & (tall > 0), wide * tall, np.float32(0))
+    union = a[4] + b[4] - inter
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(union > 0, inter / union, np.float32(0))
 
-    Boxes that overlap at all share a cell, so the result is the same, and only boxes that share a cell are
-    compared.  A pair is taken in its first common cell only, which needs no distinct.
+
+def _measured(x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """What :func:`_overlap` needs of boxes."""
+    x, y, w, h = (v.astype(np.float32) for v in (x, y, w, h))
+    return np.stack([x, y, x + w, y + h, np.maximum(w, 0) * np.maximum(h, 0)])
+
+
+def _sweep(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For rows (image, index, x, y, width, height) in order of image: pairs (image, a, b, iou), an image at a time.
+
+    In order of x, the boxes that may overlap one follow it up to its right edge.  All images of a batch are
+    swept at once, and a million candidates at a time, so only an image's boxes are held, not its pairs.
+    """
+
+    def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        n = rows.num_rows
+        if n < 2:
+            return
+        image = rows.column(0).combine_chunks().dictionary_encode().indices.to_numpy()
+        boxes = _measured(*(rows.column(k).to_numpy() for k in range(2, 6)))
+        order = np.lexsort((boxes[0], image))
+        image, boxes = image[order], boxes[:, order]
+        # How many boxes of the images so far begin before each right edge: edges go before beginnings as far right.
+        both = np.lexsort((np.repeat([0, 1], n), np.concatenate([boxes[2], boxes[0]]), np.concatenate([image, image])))
+        before = np.empty(2 * n, dtype=np.int64)
+        before[both] = np.cumsum(both >= n)
+        counts = np.maximum(before[:n] - np.arange(1, n + 1), 0)
+        ends, lo = np.cumsum(counts), 0
+        while lo < n:
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + 1_000_000, "right")))
+            i = np.repeat(np.arange(lo, hi), counts[lo:hi])
+            j = _spans(np.arange(lo + 1, hi + 1), counts[lo:hi])
+            lo = hi
+            near = (boxes[1, i] < boxes[3, j]) & (boxes[1, j] < boxes[3, i])
+            i, j = i[near], j[near]
+            over = _overlap(boxes[:, i], boxes[:, j])
+            hit = over > np.float32(threshold)
+            i, j, over = order[i[hit]], order[j[hit]], over[hit]
+            a, b = (rows.column(1).take(pa.array(k)) for k in (i, j))
+            lower = pc.less(a, b)
+            made = pa.table([rows.column(0).take(pa.array(i)), pc.if_else(lower, a, b), pc.if_else(lower, b, a), pa.array(over)], names=["image", "a", "b", "iou"])
+            yield from made.filter(pc.not_equal(a, b)).combine_chunks().to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            image = batch.column(0).dictionary_encode().indices.to_numpy()
+            last = int(np.flatnonzero(image == image[-1])[0])
+            if last or (held and held[-1].column(0)[0] != batch.column(0)[0]):
+                yield from pairs(pa.Table.from_batches([*held, batch.slice(0, last)]))
+                held = []
+            held.append(batch.slice(last))
+        if held:
+            yield from pairs(pa.Table.from_batches(held))
+
+    return run
+
+
+def overlap_pairs_grid(rows: DataFrame, threshold: float, cells: int = GRID, image: str = "image_id", index: str = "face_idx", small: int = GRID_FROM, large: int = SWEEP_TO) -> DataFrame:
+    """As :func:`overlap_pairs`, without comparing all boxes of an image.
+
+    Images of less than ``large`` boxes are swept along x, one image in a task's memory at a time.  Larger ones
+    are joined on grid cells: boxes that overlap at all share a cell, and a pair is taken in its first common
+    cell only, which needs no distinct.  Images with values that are null or not finite go by self-join, or by
+    cells from ``small`` boxes on.
     """
     box = Box.named()
-    whole = Window.partitionBy(image)
-    ends = {"n": F.count("*"), "min_x": F.min("x"), "min_y": F.min("y"), "max_x": F.max(box.right), "max_y": F.max(box.bottom)}
-    known = rows.withColumns({f"__{c}": e.over(whole) for c, e in ends.items()})
     names = [image, index, "x", "y", "width", "height"]
-    few = overlap_pairs(known.where(F.col("__n") < small).select(*names), threshold, image, index)
+    rows = rows.select(*names).where(F.col(image).isNotNull() & F.col(index).isNotNull())
+    ends = [F.count("*").alias("__n"), F.min("x").alias("__min_x"), F.min("y").alias("__min_y"), F.max(box.right).alias("__max_x"), F.max(box.bottom).alias("__max_y")]
+    odd = ~F.coalesce(q.is_finite(box.x) & q.is_finite(box.y) & q.is_finite(box.right) & q.is_finite(box.bottom) & q.is_finite(box.area), F.lit(False))
+    with scratch(rows.sparkSession) as result:
+        found = stage_out(rows.groupBy(image).agg(*ends, F.max(odd).alias("__odd")).where((F.col("__n") >= large) | F.col("__odd") | F.lit(threshold < 0)), "overlap-images")
+        special = None if found.isEmpty() else result(found, "overlap-images")
+    swept = rows if special is None else rows.join(special, image, "left_anti").select(*names)
+    schema = T.StructType([swept.schema[image], *[T.StructField(c, swept.schema[index].dataType) for c in "ab"], T.StructField("iou", T.FloatType())])
+    near = swept.select(image, index, *[q.f32(F.col(c)).alias(c) for c in names[2:]]).repartition(image).sortWithinPartitions(image).mapInArrow(_sweep(threshold), schema)
+    if special is None:
+        return near
 
     def cell(v: Column, lo: str, hi: str) -> Column:
         k = F.floor(F.try_divide((v - F.col(lo)).cast("double"), (F.col(hi) - F.col(lo)).cast("double")) * cells)
         return F.coalesce(F.greatest(F.lit(0), F.least(F.lit(cells - 1), k)).cast("int"), F.lit(0))
 
+    known = rows.join(special, image)
+    few = _plain_pairs(known.where(F.col("__n") < small).select(*names), threshold, image, index)
     placed = known.where(F.col("__n") >= small).select(
         image,
         F.col(index).alias("i"),
@@ -104,7 +206,7 @@ def overlap_pairs_grid(rows: DataFrame, threshold: float, cells: int = GRID, ima
     first = (F.col("cx") == F.greatest("ax", "bx")) & (F.col("cy") == F.greatest("ay", "by"))
     pairs = a.join(b, [image, "cx", "cy"]).where((F.col("a") < F.col("b")) & first)
     many = pairs.select(image, "a", "b", iou(Box.of("ba"), Box.of("bb")).alias("iou")).where(F.col("iou") > q.f32(threshold))
-    return few.union(many)
+    return near.union(few).union(many)
 
 
 def _fold(sorted_rows: Column, drops: Callable[[Column, Column], Column]) -> Column:
@@ -214,10 +316,7 @@ def postprocess_rows(rows: np.ndarray, scale_x: float, scale_y: float, score: fl
 
 
 def suppress_arrow(rows: DataFrame, threshold: float = NMS_THRESHOLD, image: str = "image_id", index: str = "face_idx") -> DataFrame:
-    """As :func:`suppress`, vectorised per image: for images with more than some hundred rows.
-
-    Images travel as arrays, many in an Arrow batch, so small ones cost little.
-    """
+    """As :func:`suppress`, vectorised over the images of an Arrow batch, in which they travel as arrays."""
     if threshold <= 0:
         return rows
 

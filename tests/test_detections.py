@@ -89,3 +89,29 @@ def test_named_and_ranked_comparison(spark):
     a = spark.createDataFrame([("x", 1), ("y", 2)], "name string, region int")
     b = spark.createDataFrame([("x", 1), ("z", 2)], "name string, region int")
     assert {r.name: r.equal for r in parity.compare_named(a, b).collect()} == {"x": True, "y": False, "z": False}
+
+
+def boxes_of(seed, images, most):
+    rnd = np.random.default_rng(seed)
+    rows = []
+    for image in range(images):
+        for i in range(int(rnd.integers(0, most))):
+            rows.append((image, i * 3, *(float(v) for v in rnd.integers(0, 200, 2)), *(float(v) for v in rnd.integers(-2, 60, 2))))
+    return rows
+
+
+def test_swept_and_large_and_odd_images_give_the_plain_pairs(spark):
+    odd = [(100, 1, float("nan"), 1.0, 9.0, 9.0), (100, 2, 1.0, 1.0, 9.0, 9.0), (100, 3, 2.0, 2.0, 9.0, 9.0), (101, 1, None, 1.0, 9.0, 9.0), (101, 2, 3.0, 1.0, 9.0, 9.0), (None, 1, 1.0, 1.0, 5.0, 5.0), (None, 2, 1.0, 1.0, 5.0, 5.0)]
+    rows = boxes_of(1, 12, 260) + odd + [(102, 5, 1.0, 1.0, 5.0, 5.0)] * 2 + [(103, i, 7.0, 7.0, 3.0, 3.0) for i in range(40)]
+    df = spark.createDataFrame(rows, "image_id long, face_idx long, x float, y float, width float, height float").repartition(5)
+    want = sorted(map(repr, det._plain_pairs(df, 0.1, "image_id", "face_idx").collect()))
+    for options in ({}, {"large": 50, "small": 20}, {"large": 1}):
+        assert sorted(map(repr, det.overlap_pairs_grid(df, 0.1, **options).collect())) == want and want
+    assert sorted(map(repr, det.overlap_pairs(df, 0.1).collect())) == want
+
+
+def test_images_of_many_boxes_are_not_joined_with_themselves(spark):
+    df = spark.createDataFrame(boxes_of(2, 1, 2) + [(7, i, float(i), 1.0, 3.0, 3.0) for i in range(det.GRID_FROM)], "image_id long, face_idx long, x float, y float, width float, height float")
+    plan = det.overlap_pairs(df, 0.1)._jdf.queryExecution().toString()
+    assert "Join" not in plan
+
