@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -315,14 +314,49 @@ def postprocess_rows(rows: np.ndarray, scale_x: float, scale_y: float, score: fl
     return rows[separate_centers(rows[:, :4])]
 
 
+def _sizes(lists: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _suppressed(boxes: np.ndarray, sizes: np.ndarray, threshold: float) -> np.ndarray:
+    """Which boxes of many images stay; an image's boxes follow each other, best score first.
+
+    As :func:`suppress_boxes`, but the first boxes of all images drop others at once, then the second ones, and so on.
+    """
+    ends = np.cumsum(sizes)
+    starts, alive = ends - sizes, np.ones(boxes.shape[1], dtype=bool)
+    going, k = np.flatnonzero(sizes > 1), 0
+    while len(going):
+        i = starts[going] + k
+        stays = alive[i]
+        i, counts = i[stays], (ends[going] - starts[going] - k - 1)[stays]
+        j, i = _spans(i + 1, counts), np.repeat(i, counts)
+        left = alive[j]
+        i, j = i[left], j[left]
+        alive[j[_overlap(boxes[:, i], boxes[:, j]) > np.float32(threshold)]] = False
+        k += 1
+        going = going[sizes[going] > k + 1]
+    return alive
+
+
+def _numbered(chosen: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """For each image the places, within it, of its chosen rows."""
+    ends = np.cumsum(sizes)
+    at = np.flatnonzero(chosen)
+    image = np.repeat(np.arange(len(sizes)), sizes)[at]
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(image, minlength=len(sizes)))]).astype(np.int32)
+    return pa.ListArray.from_arrays(offsets, (at - (ends - sizes)[image]).astype(np.int32))
+
+
 def suppress_arrow(rows: DataFrame, threshold: float = NMS_THRESHOLD, image: str = "image_id", index: str = "face_idx") -> DataFrame:
     """As :func:`suppress`, vectorised over the images of an Arrow batch, in which they travel as arrays."""
     if threshold <= 0:
         return rows
 
-    @F.pandas_udf("array<int>")
-    def kept(x: pd.Series, y: pd.Series, w: pd.Series, h: pd.Series) -> pd.Series:
-        return pd.Series([suppress_boxes(np.stack(b, axis=1), threshold).tolist() for b in zip(x, y, w, h)])
+    @F.arrow_udf("array<int>")
+    def kept(x: pa.Array, y: pa.Array, w: pa.Array, h: pa.Array) -> pa.Array:
+        sides = [v.flatten().to_numpy(zero_copy_only=False) for v in (x, y, w, h)]
+        return _numbered(_suppressed(_measured(*sides), sizes := _sizes(x), threshold), sizes)
 
     ranked = _ranked_rows(rows, image, index)
     sides = [F.transform("ds", lambda d: d["r"]["x"]), F.transform("ds", lambda d: d["r"]["y"]), F.transform("ds", lambda d: d["r"]["width"]), F.transform("ds", lambda d: d["r"]["height"])]

@@ -115,3 +115,12 @@ def test_images_of_many_boxes_are_not_joined_with_themselves(spark):
     plan = det.overlap_pairs(df, 0.1)._jdf.queryExecution().toString()
     assert "Join" not in plan
 
+
+def test_images_are_suppressed_at_once_as_one_by_one():
+    rnd = np.random.default_rng(3)
+    sizes = rnd.integers(0, 30, 200)
+    images = [np.stack([*rnd.integers(0, 90, (2, n)), *rnd.integers(-1, 40, (2, n))], axis=1).astype(np.float32).reshape(n, 4) for n in sizes]
+    images[5] = np.where(rnd.random(images[5].shape) < 0.2, np.nan, images[5]).astype(np.float32)
+    alive = det._suppressed(det._measured(*np.concatenate(images).T), sizes, 0.3)
+    numbers = det._numbered(alive, sizes).to_pylist()
+    assert numbers == [det.suppress_boxes(b, 0.3).tolist() for b in images]
