@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import detections as det
+
 MATCH_IOU = 0.5
 GAP = 0.999
 
@@ -21,30 +23,33 @@ def sample_cases(cases: DataFrame, per_category: int = 3, stem: str = "stem") ->
     return cases.withColumn("category", category(F.col(stem))).withColumn("n", F.row_number().over(w)).where(F.col("n") <= per_category)
 
 
-def _overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Overlaps of all rows of two box arrays in single precision."""
-    a, b = a.astype(np.float32)[:, None, :], b.astype(np.float32)[None, :, :]
-    wide = np.minimum(a[..., 0] + a[..., 2], b[..., 0] + b[..., 2]) - np.maximum(a[..., 0], b[..., 0])
-    tall = np.minimum(a[..., 1] + a[..., 3], b[..., 1] + b[..., 3]) - np.maximum(a[..., 1], b[..., 1])
-    inter = np.where((wide > 0) & (tall > 0), wide * tall, np.float32(0))
-    area = lambda x: np.maximum(x[..., 2], 0) * np.maximum(x[..., 3], 0)
-    union = area(a) + area(b) - inter
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return np.where(union > 0, inter / union, np.float32(0))
-
-
-def _matched(ours: np.ndarray, expected: np.ndarray, threshold: float) -> list[tuple[int, int, float]]:
-    """(expected row, our row, overlap) of the matches of two box arrays."""
-    if not len(ours) or not len(expected):
-        return []
-    table, free, out = _overlaps(expected, ours), np.ones(len(ours), dtype=bool), []
-    for e, row in enumerate(table):
-        open_ = np.where(free, row, np.float32(-1))
-        k = int(open_.argmax())  # the first of equals
-        if open_[k] >= np.float32(threshold) and open_[k] > 0:
-            free[k] = False
-            out.append((e, k, float(open_[k])))
-    return out
+def _matched(ours: np.ndarray, n_ours: np.ndarray, expected: np.ndarray, n_expected: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(expected row, our row, overlap) of the matches of many images; an image's boxes follow each other on both sides.
+
+    The first expected boxes of all images choose at once, then the second ones, and so on; the first of equals is taken.
+    """
+    first_o, first_e = np.cumsum(n_ours) - n_ours, np.cumsum(n_expected) - n_expected
+    free, found, k = np.ones(ours.shape[1], dtype=bool), [], 0
+    going = np.flatnonzero((n_ours > 0) & (n_expected > 0))
+    while len(going):
+        e, counts = first_e[going] + k, n_ours[going]
+        j = det._spans(first_o[going], counts)
+        over = np.where(free[j], det._overlap(expected[:, np.repeat(e, counts)], ours[:, j]), np.float32(-1))
+        begins = np.cumsum(counts) - counts
+        best = np.maximum.reduceat(over, begins)
+        at = np.where(over == np.repeat(best, counts), np.arange(len(over)), len(over))
+        at = np.minimum.reduceat(at, begins)
+        hit = (best >= np.float32(threshold)) & (best > 0)
+        o = j[at[hit]]
+        free[o] = False
+        found.append((e[hit], o, best[hit]))
+        k += 1
+        going = going[n_expected[going] > k]
+    if not found:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32)
+    e, o, v = (np.concatenate(c) for c in zip(*found))
+    order = np.argsort(e)
+    return e[order], o[order], v[order]
 
 
 def match_greedy(ours: DataFrame, expected: DataFrame, threshold: float = MATCH_IOU, image: str = "image_id", index: str = "face_idx") -> DataFrame:
@@ -59,9 +64,16 @@ def match_greedy(ours: DataFrame, expected: DataFrame, threshold: float = MATCH_
         packed = df.groupBy(image).agg(F.sort_array(F.collect_list(face)).alias("f"))
         return packed.select(image, F.col("f").alias(f"f{s}"), F.flatten(F.transform("f", lambda d: F.array(d["x"], d["y"], d["width"], d["height"]))).alias(f"b{s}"))
 
-    @F.pandas_udf("array<struct<e:int,o:int,iou:float>>")
-    def matched(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([[{"e": e, "o": o, "iou": v} for e, o, v in _matched(np.asarray(x).reshape(-1, 4), np.asarray(y).reshape(-1, 4), threshold)] for x, y in zip(a, b)])
+    @F.arrow_udf("array<struct<e:int,o:int,iou:float>>")
+    def matched(a: pa.Array, b: pa.Array) -> pa.Array:
+        boxes = [det._measured(*x.flatten().to_numpy(zero_copy_only=False).reshape(-1, 4).T) for x in (a, b)]
+        n_o, n_e = (det._sizes(x) // 4 for x in (a, b))
+        e, o, v = _matched(boxes[0], n_o, boxes[1], n_e, threshold)
+        ends = np.cumsum(n_e)
+        of = np.searchsorted(ends, e, "right")
+        offsets = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(n_e)))]).astype(np.int32)
+        places = [(x - (np.cumsum(n) - n)[of]).astype(np.int32) for x, n in ((e, n_e), (o, n_o))]
+        return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([*map(pa.array, places), pa.array(v, pa.float32())], ["e", "o", "iou"]))
 
     both = side(ours, "o").join(side(expected, "e"), image)
     found = both.select(image, "fo", "fe", F.explode(matched("bo", "be")).alias("m"))

@@ -124,3 +124,23 @@ def test_images_are_suppressed_at_once_as_one_by_one():
     alive = det._suppressed(det._measured(*np.concatenate(images).T), sizes, 0.3)
     numbers = det._numbered(alive, sizes).to_pylist()
     assert numbers == [det.suppress_boxes(b, 0.3).tolist() for b in images]
+
+
+def test_images_are_matched_at_once_as_one_by_one():
+    rnd = np.random.default_rng(5)
+    n_o, n_e = rnd.integers(0, 12, (2, 150))
+    box = lambda n: np.stack([*rnd.integers(0, 30, (2, n)), *rnd.integers(-1, 40, (2, n))], axis=1).astype(np.float32).reshape(n, 4)
+    ours, expected = [box(n) for n in n_o], [box(n) for n in n_e]
+    ours[3] = np.full_like(ours[3], np.nan)
+    e, o, v = parity._matched(det._measured(*np.concatenate(ours).T), n_o, det._measured(*np.concatenate(expected).T), n_e, 0.5)
+    want, at_o, at_e = [], 0, 0
+    for a, b in zip(ours, expected):
+        free = [True] * len(a)
+        for k, row in enumerate(b):
+            over = [float(det._overlap(det._measured(*row[:, None]), det._measured(*x[:, None]))[0]) if free[i] else -1.0 for i, x in enumerate(a)]
+            best = int(np.argmax(over)) if over else -1
+            if over and over[best] >= 0.5:
+                free[best] = False
+                want.append((at_e + k, at_o + best, over[best]))
+        at_o, at_e = at_o + len(a), at_e + len(b)
+    assert list(zip(e.tolist(), o.tolist(), v.tolist())) == want and want
