@@ -1149,10 +1149,12 @@ def frame_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT p_partkey, i AS idx, round((40 + p_partkey % 60) / 2.0 * (1 + cos(i * 2 * pi() / 128)), 4) AS x, round((30 + p_partkey % 50) / 2.0 * (1 + sin(i * 2 * pi() / 128)), 4) AS y FROM (SELECT p_partkey, unnest(range(128)) AS i FROM part)"
 )
 def ellipse_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part")
-    points = shapes.ellipse_outline(F.expr("40 + p_partkey % 60"), F.expr("30 + p_partkey % 50"))
-    p = p.select("p_partkey", F.posexplode(points).alias("i", "at"))
-    return p.select("p_partkey", F.col("i").cast("long").alias("idx"), F.round("at.x", 4).alias("x"), F.round("at.y", 4).alias("y"))
+    numbers = F.sequence(F.lit(0), F.lit(shapes.ELLIPSE_SEGMENTS - 1))
+    # A part is a few bytes and makes 128 points: dealt by rows, as its file is one split.
+    p = table(spark, sf_dir, "part").select("p_partkey").repartition(4 * spark.sparkContext.defaultParallelism)
+    p = p.select("p_partkey", F.explode(numbers).alias("i"))
+    x, y = shapes.ellipse_point(F.expr("40 + p_partkey % 60"), F.expr("30 + p_partkey % 50"), F.col("i"))
+    return p.select("p_partkey", F.col("i").cast("long").alias("idx"), F.round(x, 4).alias("x"), F.round(y, 4).alias("y"))
 
 
 GRID_POINT = "SELECT p_partkey, p_partkey % 40 + 0.5 AS px, p_partkey // 40 % 30 + 0.5 AS py FROM part"

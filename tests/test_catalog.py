@@ -43,3 +43,7 @@ def edge_pixels(tmp_path_factory):
 @pytest.mark.parametrize("name", DRAWN.split())
 def test_pixels_on_the_edge_of_a_value(spark, edge_pixels, name):
     assert_same(spark, edge_pixels, CATALOG[name].run, CATALOG[name].sql)
+
+
+def test_outlines_are_dealt_by_rows(spark, sf_dir):
+    assert CATALOG["ellipse_outlines"].run(spark, sf_dir).rdd.getNumPartitions() > 1
