@@ -8,14 +8,19 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 ROOT = str(Path(__file__).resolve().parents[2])
+#: Rows with images go to Python in batches of so many bytes; 10,000 rows of a large image each would fill a worker.
+BATCH_BYTES = 32 << 20
+BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Make this package importable in Python workers that start later."""
+    """Make this package importable in Python workers that start later, and bound their batches unless the session does."""
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
+    if spark.conf.get(BATCH_KEY, None) is None:
+        spark.conf.set(BATCH_KEY, str(BATCH_BYTES))
     return spark
 
 

@@ -96,3 +96,15 @@ def test_rows_of_images(spark):
     got = {r.id: r for r in px.score_images(px.enhance_images(df, "natural")).collect()}
     want = px.enhance(img, px.PRESETS["natural"])
     assert got[1].data == want.tobytes() and got[1].quality_score == pytest.approx(px.sharpness(want)) and got[2].data is None and got[3].data is None
+
+
+def test_batches_of_images_are_bounded_by_their_bytes(spark):
+    import pyarrow as pa
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    images = spark.range(0, 1500, numPartitions=1).selectExpr("id", "CAST(repeat('x', 65536) AS BINARY) AS data")
+    most = max(r["n"] for r in images.mapInArrow(sizes, "n long").collect())
+    assert most < 40_000_000
