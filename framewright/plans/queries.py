@@ -913,7 +913,7 @@ def channel_histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def crop_and_enhance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each embedding's image, its pixels drawn as squares of 16: a face cut out, levelled, enlarged and enhanced."""
+    """Each embedding's image, its pixels drawn as squares of 16: a face cut out, levelled, enlarged and put through all nine filters."""
     import numpy as np
 
     from ..operators.pixels import Enhancement, map_images
@@ -922,9 +922,11 @@ def crop_and_enhance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     settings = Settings()
     settings.crop.output_width, settings.crop.output_height, settings.crop.face_height_pct = 96, 120, 60.0
-    settings.enhance = Enhancement(exposure_stops=-0.25, brightness=-5, contrast=0.9, saturation=0.8, unsharp_amount=0.4, unsharp_radius=0.9, sharpness=0.1)
+    settings.crop.eye_line_align = True
+    tones = {"auto_color": True, "exposure_stops": -0.25, "brightness": -5, "contrast": 0.9, "saturation": 0.8}
+    settings.enhance = Enhancement(**tones, unsharp_amount=0.4, unsharp_radius=0.9, sharpness=0.1, skin_smooth_amount=0.25, red_eye_removal=True, background_blur=True)
     at = "x', CAST({} + vec_id % 7 * 3 AS FLOAT), 'y', CAST({} + vec_id % 5 * 4 AS FLOAT)"
-    eyes = f"array(named_struct('{at.format(52, 44)}), named_struct('{at.format(34, 41)}))"
+    eyes = f"array(named_struct('{at.format(34, 41)}), named_struct('{at.format(52, 44)}))"
     face = f"array(named_struct('face_idx', vec_id, '{at.format(22, 25)}, 'width', 48f, 'height', 56f, 'score', 0.9f, 'landmarks', {eyes}))"
     small = _colored(spark, sf_dir).selectExpr("CAST(vec_id AS STRING) AS path", "8 AS width", "8 AS height", "data", f"{face} AS faces")
     made = batch.crops(map_images(small, lambda img: np.kron(img, np.ones((16, 16, 1), dtype=np.uint8))), None, settings)

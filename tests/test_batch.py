@@ -1,5 +1,6 @@
 """The crop job, the encoder it writes with, the model it may detect with, and the frame loop."""
 
+import hashlib
 import json
 import os
 import struct
@@ -65,6 +66,40 @@ def test_order_of_steps_alignment_and_masks(spark):
     assert (np.frombuffer(r.data, np.uint8) == want.ravel()).all() and r.quality_score == px.sharpness(want) and box.size == 4
 
 
+def test_crop_and_enhance_does_every_step(spark, sf_dir):
+    """Each row of the query against the kernels, one after another."""
+    from framewright.plans import queries
+
+    pixels = {r.vec_id: np.array(r.pixels, dtype=np.int64).reshape(8, 8) for r in queries._images(spark, sf_dir).collect()}
+    got = {int(r.path): r for r in queries.crop_and_enhance(spark, sf_dir).collect()}
+    assert got.keys() == pixels.keys()
+    turn = -float(np.float32(np.arctan2(3.0, 18.0)))  # of upright faces, which stay upright
+    steps = [
+        px.equalize,
+        lambda x: px.remove_red_eye(x, 1.5),
+        lambda x: px.exposure(x, -0.25),
+        lambda x: px.brightness(x, -5),
+        lambda x: px.contrast(x, 0.9),
+        lambda x: px.saturation(x, 0.8),
+        lambda x: px.smooth_skin(x, 0.25, 3.0, 25.0),
+        lambda x: px.unsharp(x, 0.4 + 0.1, 0.9),
+        lambda x: px.blur_background(x, 15.0, 0.6),
+    ]
+    changed = [0] * len(steps)
+    for v in sorted(pixels)[:35]:
+        p = pixels[v]
+        img = np.kron(np.dstack([p, p * 3 % 256, p * 7 % 256, 255 - p % 64]), np.ones((16, 16, 1))).astype(np.uint8)
+        left, top = 22 + v % 7 * 3 + 24 - 56 / 0.6 * 0.4, 25 + v % 5 * 4 + 28 - 56 / 0.6 * 0.5
+        region = (round(left), round(top), 75, 93)
+        out = px.crop(img, region, 96, 120, (0, 0, 0, 255), turn)
+        for k, step in enumerate(steps):
+            before, out = out, step(out)
+            changed[k] += (before != out).any()
+        assert (got[v].width, got[v].height, got[v].sha256) == (96, 120, hashlib.sha256(out.tobytes()).hexdigest())
+        assert got[v].quality_score == pytest.approx(px.sharpness(out), abs=1e-3)
+    assert all(changed)
+
+
 def test_level_eyes_come_out_level():
     img = np.zeros((101, 101, 4), np.uint8)
     img[..., 3] = 255

@@ -29,6 +29,41 @@ def test_filters_leave_flat_images():
         assert (out == 90).all()
 
 
+def test_smoothing_equals_pixel_by_pixel():
+    h, w, sigma, amount = 9, 7, 1.4, np.float32(0.3)
+    img = image(h, w)
+    img[..., :3] //= 4  # near colours, so that they mix
+    r, rgb = 3, img[..., :3].astype(np.float64)
+    want = img.copy()
+    for y in range(h):
+        for x in range(w):
+            total, weights = np.zeros(3), 0.0
+            for dy in range(-r, r + 1):
+                for dx in range(-r, r + 1):
+                    other = rgb[min(max(y + dy, 0), h - 1), min(max(x + dx, 0), w - 1)]
+                    weight = np.exp(-(dy * dy + dx * dx) / (2 * sigma**2) - ((other - rgb[y, x]) ** 2).sum() / (2 * 25.0**2))
+                    total, weights = total + weight * other, weights + weight
+            smooth = np.floor(total / weights + 0.5)
+            want[y, x, :3] = np.floor((rgb[y, x] + np.float64(amount) * (smooth - rgb[y, x])).astype(np.float32) + 0.5)
+    assert (px.smooth_skin(img, 0.3, sigma, 25.0) == want).all() and (want != img).any()
+
+
+@pytest.mark.parametrize("h,w,sigma", [(1, 1, 2.0), (5, 90, 0.9), (200, 3, 15.0), (7, 150, 9.0)])
+def test_blur_of_any_size_equals_plain_sums(h, w, sigma):
+    img = image(h, w)
+
+    def plain(n):
+        at = np.arange(n)
+        lo = np.maximum(np.floor(at + 0.5 - (2 * sigma + 1)), 0)
+        far = at[None, :] - lo[:, None]
+        weight = np.exp(-((at[None, :] - at[:, None]) ** 2) / (2 * sigma**2)) * (far >= 0) * (far < np.ceil(2 * (2 * sigma + 1)) + 2)
+        return weight / weight.sum(axis=1, keepdims=True)
+
+    want = np.einsum("ab,bcd,ec->aed", plain(h), img.astype(np.float64), plain(w))
+    got = px.blur(img, sigma).astype(np.float64)
+    assert np.abs(got - want).max() < 0.5 + 1e-3
+
+
 def test_red_eye():
     img = np.full((5, 5, 4), 50, np.uint8)
     img[2, 2] = (200, 40, 60, 255)
